@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_coder
+from . import decontaminate, token_coder, warc
 from .tokens import vocabulary_path
 
 
@@ -18,8 +18,16 @@ def op1_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_coder.op1_query(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op2_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op2_query(_table(spark, sf_dir, "pages"))
+
+
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op3_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_coder,)}
+    return {f.__name__: f for f in (op1_token_coder, op2_warc_ranges, op3_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
