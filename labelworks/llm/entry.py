@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_coder, warc
+from . import decontaminate, language, media, packing, quality, token_coder, toxicity, warc
 from .tokens import vocabulary_path
 
 
@@ -26,8 +26,28 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op4_query(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op5_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op6_query(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op9_query(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_coder, op2_warc_ranges, op3_winnowing)}
+    return {f.__name__: f for f in (op1_token_coder, op2_warc_ranges, op3_winnowing, op4_linear_grouping, op5_toxicity_ftrl, op6_transport_streams, op8_quality_fourier, op9_language_profiles)}
 
 
 def oracle_sql() -> dict[str, str]:
