@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, media, packing, quality, token_coder, toxicity, warc
+from . import decontaminate, html_density, language, media, ngram_join, packing, quality, token_coder, toxicity, warc
 from .tokens import vocabulary_path
 
 
@@ -38,6 +38,10 @@ def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op6_query(_table(spark, sf_dir, "documents"))
 
 
+def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.op7_query(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,8 +50,12 @@ def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op9_query(_table(spark, sf_dir, "documents"))
 
 
+def op10_count_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op10_query(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_coder, op2_warc_ranges, op3_winnowing, op4_linear_grouping, op5_toxicity_ftrl, op6_transport_streams, op8_quality_fourier, op9_language_profiles)}
+    return {f.__name__: f for f in (op1_token_coder, op2_warc_ranges, op3_winnowing, op4_linear_grouping, op5_toxicity_ftrl, op6_transport_streams, op7_text_density, op8_quality_fourier, op9_language_profiles, op10_count_tree)}
 
 
 def oracle_sql() -> dict[str, str]:

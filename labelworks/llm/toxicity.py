@@ -3,7 +3,7 @@
 A document's features are the distinct buckets of its words, word pairs and pairs with one word between. The learner
 keeps for each bucket the sums z and n of FTRL-proximal: a rate of its own per coordinate, and L1 so that most weights are
 exactly 0. It learns on at most ``most_rows`` labelled rows (a documented bound: they are chosen by a hash of the id), in
-``shards`` parts side by side whose weights are averaged. The weights that are not 0 are broadcast as two short arrays.
+shards of ``rows_of_shard`` rows side by side whose weights are averaged. The weights that are not 0 are broadcast as two short arrays.
 
 Scoring covers whole texts. Edge cases: a null or empty text has only the intercept; null labels are not learned from;
 a null doc id is scored, never learned from and not held out; with no labelled rows every score is 0.5; with repeated
@@ -88,12 +88,13 @@ def _learn_shard(rows: pd.DataFrame, epochs: int, alpha: float, beta: float, l1:
     return pd.DataFrame({"bucket": np.where(at == 1 << BITS, -1, at), "weight": w[at]})
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, kept_out: int = 1, most_rows: int = MOST_ROWS, shards: int = 4, epochs: int = 3, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.0, l2: float = 0.0) -> FtrlModel:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, kept_out: int = 1, most_rows: int = MOST_ROWS, rows_of_shard: int = 14_000, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> FtrlModel:
     """Learn from labelled rows of the training folds, at most about ``most_rows`` of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, kept_out))
     total = known.count()
     turn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
     share = min(1.0, most_rows / max(total, 1))
+    shards = max(1, round(total * share / rows_of_shard))
     # At most about most_rows ids of 16 bytes: small enough to broadcast, so that no text is shuffled but the sample's features.
     sample = known.withColumn("turn", turn).where(F.col("turn") < int(share * (1 << 30)))
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
