@@ -28,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ from pyspark.sql.window import Window
 
 from .common import WordHasher, bytes_of, pieces, rolling, stored
 
-WORDS, GROUPS, LEAF, FAN = 5, 64, 16, 8
+WORDS, GROUPS, LEAF, FAN = 5, 64, 32, 8
 #: Ids that a semi-join may broadcast (8 MB of them); more are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 COMMON_SHARE = 0.001
@@ -68,6 +67,21 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def pack_points(counts: np.ndarray) -> bytes:
+    """A count vector in the narrowest whole numbers that hold it."""
+    return counts.astype(next(k for k in (np.uint8, np.uint16, np.int32) if counts.max(initial=0) <= np.iinfo(k).max)).tobytes()
+
+
+def unpack_points(packed: list[bytes]) -> np.ndarray:
+    """A row (int32) for each packed count vector."""
+    out, widths = np.empty((len(packed), GROUPS), np.int32), np.fromiter(map(len, packed), np.int64, len(packed)) // GROUPS
+    for width, kind in ((1, np.uint8), (2, np.uint16), (4, np.int32)):
+        rows = np.flatnonzero(widths == width)
+        if len(rows):
+            out[rows] = np.frombuffer(b"".join(packed[i] for i in rows), kind).reshape(-1, GROUPS)
+    return out
+
+
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Least overlap that links sets of these sizes: 100 i >= 80 (na + nb - i)."""
     return -(-4 * (na + nb) // 9)
@@ -129,12 +143,12 @@ def _describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
                 rows = []
                 for s in shingle_sets(bytes_of(part, "text")):
                     n = len(s)
-                    points = np.bincount((s & (GROUPS - 1)), minlength=GROUPS).astype(np.int32)
+                    points = pack_points(np.bincount(s & (GROUPS - 1), minlength=GROUPS))
                     first = n - -(-4 * n // 5) + 1 if n else 0
                     if len(often) and n:
                         late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                         s = np.concatenate([s[~late], s[late]]) if late.any() else s
-                    rows.append((n, hashlib.blake2b(np.sort(s).tobytes() if len(often) else s.tobytes(), digest_size=16).digest(), points.tobytes(), s[:first]))
+                    rows.append((n, hashlib.blake2b(np.sort(s).tobytes() if len(often) else s.tobytes(), digest_size=16).digest(), points, s[:first]))
                 n, key, points, first = zip(*rows, strict=True)
                 lengths = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(first), pa.int64()))], names=["doc_id", "n_shingles", "key", "points", "first"])
@@ -203,7 +217,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, points: DataFrame) -> Data
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in ("pa", "pb"))
+                pa_, pb = (unpack_points(batch.column(c).to_pylist()) for c in ("pa", "pb"))
                 na, nb = pa_.sum(1), pb.sum(1)
                 kept = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (np.minimum(pa_, pb).sum(1) >= needed(na, nb))
                 yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept))
@@ -227,27 +241,75 @@ def _verified(pairs: DataFrame, documents: DataFrame, points: DataFrame) -> Data
     return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * 80).select("a", "b").distinct()
 
 
+def cell_pairs(token: np.ndarray, ids: np.ndarray, component: np.ndarray, own: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller id, larger id) of different components that the count vectors don't rule out, in each cell.
+
+    Rows of a cell stand together. A cell of at most LEAF rows is one leaf; leaves of many cells are scanned at once.
+    Guests (not ``own``) are only compared with the cell's own members.
+    """
+    sizes = points.sum(1)
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
+    lengths = np.diff(np.append(starts, len(token)))
+    found_a, found_b = [], []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        fits = (own[i] | own[j]) & (component[i] != component[j]) & (5 * np.minimum(sizes[i], sizes[j]) >= 4 * np.maximum(sizes[i], sizes[j]))
+        i, j = i[fits], j[fits]
+        for lo in range(0, len(i), 50_000):
+            x, y = i[lo : lo + 50_000], j[lo : lo + 50_000]
+            fits = np.minimum(points[x], points[y]).sum(1) >= needed(sizes[x], sizes[y])
+            found_a.append(ids[x[fits]])
+            found_b.append(ids[y[fits]])
+
+    for m in np.unique(lengths).tolist():
+        first = starts[lengths == m]
+        if 1 < m <= LEAF:
+            i, j = np.triu_indices(m, 1)
+            per = max(1, 500_000 // len(i))
+            for lo in range(0, len(first), per):
+                base = first[lo : lo + per, None]
+                keep((base + i).ravel(), (base + j).ravel())
+        elif m > LEAF:
+            for a in first.tolist():
+                tree = CountTree(points[a : a + m], sizes[a : a + m])
+                for i in np.flatnonzero(own[a : a + m]).tolist():
+                    j = tree.search(points[a + i], int(sizes[a + i]))
+                    j = j[(j > i) | ~own[a + j]]
+                    keep(np.full(len(j), a + i), a + j)
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _tree_pairs(cells: DataFrame) -> DataFrame:
-    """Candidate pairs of different components in each (token, size class), by an R-tree over the cell's points."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        points = np.frombuffer(b"".join(pdf["points"]), np.int32).reshape(-1, GROUPS)
-        ids, component, sizes, own = pdf["id"].to_numpy(), pdf["component"].to_numpy(), points.sum(1), pdf["own"].to_numpy()
-        tree = CountTree(points, sizes)
-        out = []
-        for i in range(len(ids)):
-            if own[i]:
-                j = tree.search(points[i], int(sizes[i]))
-                j = j[(component[j] != component[i]) & ((ids[j] > ids[i]) | ~own[j])]
-                out.append((np.full(len(j), ids[i]), ids[j]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    """Candidate pairs of different components in each (token, size class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            key = held.column("cell").to_numpy()
+            # The last cell may go on in the next batch.
+            last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            if last:
+                yield pairs_of(held.slice(0, last))
+                held = held.slice(last).combine_chunks()
+        if held is not None:
+            yield pairs_of(held)
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        a, b = cell_pairs(t.column("cell").to_numpy(), t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("own").to_numpy(zero_copy_only=False), unpack_points(t.column("points").to_pylist()))
+        own = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
+        return pa.record_batch([pa.array(own[0]), pa.array(own[1])], names=["a", "b"])
 
     # Linked sizes differ by a factor of 1.25 at most: each document is in its own class, and a guest of the next smaller one.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    dealt = cells.withColumn("c", size_class).select("token", "id", "component", "points", F.explode(F.array(F.struct(F.col("c").alias("c"), F.lit(True).alias("own")), F.struct((F.col("c") - 1).alias("c"), F.lit(False).alias("own")))).alias("x"))
-    return dealt.select("token", "id", "component", "points", "x.c", "x.own").groupBy("token", "c").applyInPandas(run, "a long, b long").distinct()
+    places = F.array(F.struct(F.col("c").alias("c"), F.lit(True).alias("own")), F.struct((F.col("c") - 1).alias("c"), F.lit(False).alias("own")))
+    dealt = cells.withColumn("c", size_class).select("token", "id", "component", "points", F.explode(places).alias("x"))
+    dealt = dealt.select(F.xxhash64("token", "x.c").alias("cell"), "id", "component", "points", "x.own").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
