@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -11,6 +12,14 @@ import numpy as np
 BLANKS = [chr(i) for i in range(1, 0x3001) if chr(i).isspace() and i != 32]
 
 
+OTHERS = [c for c in BLANKS if c != "\n"]
+#: A full stop or comma between a letter and a blank or the end: pre-tokenizers always cut before it.
+MARK = re.compile(r"(?<=[^\W\d_])([.,])(?= |\Z)")
+#: The visible character that byte-level tokenizers use for each byte.
+_seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+VISIBLE = {b: chr(b) if b in _seen else chr(256 + b - sum(x < b for x in _seen)) for b in range(256)}
+
+
 class WordwiseTokenizer:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
@@ -19,12 +28,17 @@ class WordwiseTokenizer:
     The memory is bounded: at ``most`` words, or 32 MB of them, it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # A word of letters alone is one piece for the pre-tokenizers: the model can take it directly. Tried out first.
+        self.lower = self.tokenizer.normalizer is not None
+        self.blank = "" if self.lower else VISIBLE[32]
+        tried = ["Then", "then", "\0Éét", "ñandú", "\0the", "WORD", "straße", "Übung", "ça"]
+        self.direct = [self._ids(w) for w in tried] == [e.ids for e in self._encode(tried)]
         self.most = most
         self._reset()
 
@@ -34,10 +48,23 @@ class WordwiseTokenizer:
         self.used = self.chars = 0
         self.offset, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def _encode(self, words: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast([w[1:] if w[0] == "\0" else " " + w for w in words], add_special_tokens=False)
+
+    def _ids(self, word: str) -> list[int]:
+        """Ids of a word of Latin-1 letters, from the model."""
+        bare, blank = (word[1:], "") if word[0] == "\0" else (word, self.blank)
+        if self.lower:
+            bare = bare.lower()
+        if not bare.isascii():
+            bare = bare.encode().decode("latin-1").translate(VISIBLE)
+        return [t.id for t in self.tokenizer.model.tokenize(blank + bare)]
+
     def _learn(self, words: list[str]) -> None:
-        """A word's key is the word as it follows a blank; a text's first word has a NUL before it."""
-        encoded = self.tokenizer.encode_batch_fast([w[1:] if w[0] == "\0" else " " + w for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
+        """A word's key is the word as it follows a blank; a NUL before it stands for no blank."""
+        plain = [self.direct and (w[1:] if w[0] == "\0" else w).isalpha() and max(w) < "\u0100" for w in words]
+        rest = iter(self._encode([w for w, p in zip(words, plain, strict=True) if not p]))
+        ids = [self._ids(w) if p else next(rest).ids for w, p in zip(words, plain, strict=True)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         k, n, total = len(self.known), len(words), int(counts.sum())
         while self.used + total > len(self.ids):
@@ -52,11 +79,13 @@ class WordwiseTokenizer:
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        """Words between single blanks; the first one marked by NUL. Other blanks stay inside a word."""
+        """Words between single blanks, a word without a blank before it marked by NUL; other blanks stay inside a word."""
         if not text:
             return []
-        words = text.split(" ")
+        if "\0" in text:
+            return ["\0" + text]
         if text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in (BLANKS[:9] if text.isascii() else BLANKS)):
+            words = text.split(" ")
             joined = [words[0]]
             for w in words[1:]:
                 last = joined[-1]
@@ -64,9 +93,11 @@ class WordwiseTokenizer:
                     joined.append(w)
                 else:
                     joined[-1] = f"{last} {w}"
-            words = joined
-        words[0] = "\0" + words[0]
-        return words
+            joined[0] = "\0" + joined[0]
+            return joined
+        if "\n" in text and "\n\n" not in text and text[0] != "\n" and text[-1] != "\n" and not any(c in text for c in (OTHERS[:8] if text.isascii() else OTHERS)):
+            text = text.replace("\n", " \0\n \0")
+        return ("\0" + MARK.sub(r" \0\1", text)).split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and each text's number of ids."""
