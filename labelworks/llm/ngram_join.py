@@ -82,6 +82,21 @@ def unpack_points(packed: list[bytes]) -> np.ndarray:
     return out
 
 
+def fine_groups(n: int) -> int:
+    """Groups of the finer count vector that a set of n shingles has: GROUPS, or a power of two from n / 8 to n / 4."""
+    return max(GROUPS, 1 << max(0, n.bit_length() - 3))
+
+
+def fine_overlap(a: bytes, na: int, b: bytes, nb: int) -> int:
+    """Sum of the smaller counts of two finer vectors; the longer one is folded onto the shorter one."""
+    x, y = (np.frombuffer(p, {1: np.uint8, 2: np.uint16, 4: np.int32}[len(p) // fine_groups(n)]).astype(np.int64) for p, n in ((a, na), (b, nb)))
+    if len(x) > len(y):
+        x = x.reshape(-1, len(y)).sum(0)
+    elif len(y) > len(x):
+        y = y.reshape(-1, len(x)).sum(0)
+    return int(np.minimum(x, y).sum())
+
+
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Least overlap that links sets of these sizes: 100 i >= 80 (na + nb - i)."""
     return -(-4 * (na + nb) // 9)
@@ -143,17 +158,19 @@ def _describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
                 rows = []
                 for s in shingle_sets(bytes_of(part, "text")):
                     n = len(s)
-                    points = pack_points(np.bincount(s & (GROUPS - 1), minlength=GROUPS))
+                    groups = fine_groups(n)
+                    counts = np.bincount(s & (groups - 1), minlength=groups)
+                    points, fine = pack_points(counts.reshape(-1, GROUPS).sum(0)), pack_points(counts)
                     first = n - -(-4 * n // 5) + 1 if n else 0
                     if len(often) and n:
                         late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                         s = np.concatenate([s[~late], s[late]]) if late.any() else s
-                    rows.append((n, hashlib.blake2b(np.sort(s).tobytes() if len(often) else s.tobytes(), digest_size=16).digest(), points, s[:first]))
-                n, key, points, first = zip(*rows, strict=True)
+                    rows.append((n, hashlib.blake2b(np.sort(s).tobytes() if len(often) else s.tobytes(), digest_size=16).digest(), points, fine, s[:first]))
+                n, key, points, fine, first = zip(*rows, strict=True)
                 lengths = np.cumsum([0, *map(len, first)]).astype(np.int32)
-                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(first), pa.int64()))], names=["doc_id", "n_shingles", "key", "points", "first"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(first), pa.int64()))], names=["doc_id", "n_shingles", "key", "points", "fine", "first"])
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, key binary, points binary, first array<bigint>")
+    return documents.mapInArrow(run, "doc_id long, n_shingles long, key binary, points binary, fine binary, first array<bigint>")
 
 
 def common_shingles(documents: DataFrame, share: float = COMMON_SHARE, step: int = 2_000_000) -> np.ndarray:
@@ -216,15 +233,13 @@ def _verified(pairs: DataFrame, documents: DataFrame, points: DataFrame) -> Data
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                pa_, pb = (unpack_points(batch.column(c).to_pylist()) for c in ("pa", "pb"))
-                na, nb = pa_.sum(1), pb.sum(1)
-                kept = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (np.minimum(pa_, pb).sum(1) >= needed(na, nb))
-                yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept))
-
-    left = points.select(F.col("id").alias("a"), F.col("points").alias("pa"))
-    right = points.select(F.col("id").alias("b"), F.col("points").alias("pb"))
-    pairs = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(bounded, "a long, b long"), "pairs")
+            a, b, na, nb = (batch.column(c).to_pylist() for c in ("fa", "fb", "na", "nb"))
+            kept = [5 * min(x, y) >= 4 * max(x, y) and fine_overlap(p, x, q, y) >= needed(x, y) for p, q, x, y in zip(a, b, na, nb, strict=True)]
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    left = points.select(F.col("id").alias("a"), F.col("fine").alias("fa"), F.col("n_shingles").alias("na"))
+    right = points.select(F.col("id").alias("b"), F.col("fine").alias("fb"), F.col("n_shingles").alias("nb"))
+    pairs = stored(pairs.join(left, "a").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "fa", "fb", "na", "nb").mapInArrow(bounded, "a long, b long"), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
     few = ids.count() <= MOST_BROADCAST_IDS
 
@@ -319,8 +334,12 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     every = stored(_describe(documents, common_shingles(documents)), "shingles")
     known = every.where("n_shingles > 0 and doc_id is not null")
     first = stored(known.groupBy("key").agg(F.min("doc_id").alias("id")), "first-of-sets")
-    singles = known.join(first, "key").where("doc_id = id")
-    points = stored(singles.select("id", "points").dropDuplicates(["id"]), "points")
+    # Later copies of an equal set are few enough to broadcast, or else shuffled: the sets' long rows stay where they are.
+    copies = stored(known.select("doc_id", "key").join(first, "key").where("doc_id <> id").select("doc_id", "key", "id"), "copies")
+    few = copies.count() <= MOST_BROADCAST_IDS
+    later = copies.select("doc_id", "key").distinct()
+    singles = known.join(F.broadcast(later) if few else later, ["doc_id", "key"], "left_anti").withColumnRenamed("doc_id", "id")
+    points = stored(singles.select("id", "n_shingles", "points", "fine"), "points")
     cell = Window.partitionBy("token")
     posts = singles.select(F.explode("first").alias("token"), "id", F.col("n_shingles").cast("int").alias("n"))
     cells = posts.withColumn("hub", F.min(F.struct("id", "n")).over(cell)).withColumn("members", F.count("*").over(cell)).where("members > 1")
@@ -330,10 +349,10 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     near = components(links, spark)
     labelled = cells.select("token", "id", "n").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.withColumn("lo", F.min("component").over(cell)).withColumn("hi", F.max("component").over(cell)).where("lo <> hi")
-    rest = stored(_tree_pairs(mixed.join(points, "id").select("token", "id", "n", "component", "points")), "tree-pairs")
+    rest = stored(_tree_pairs(mixed.join(points.select("id", "points"), "id").select("token", "id", "n", "component", "points")), "tree-pairs")
     more = _verified(rest, documents, points)
     # Links of documents with equal ids but different sets, and of equal sets, go in as well.
-    same = known.select("doc_id", "key").join(first, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    same = copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     linked = components(links.union(more).union(same), spark)
     found = every.select("doc_id", "n_shingles").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
