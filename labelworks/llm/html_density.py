@@ -150,7 +150,8 @@ def measure(root: Node) -> Node:
             plain, links, tags = max(n.chars - n.link_chars, 1), max(n.link_chars, 1), max(n.tags, 1)
             base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
             ratio = n.chars / links * tags / max(n.link_tags, 1)
-            n.density = n.chars / tags * max(math.log(max(ratio, 1e-9)), 0.0) / max(math.log(base), 1.0)
+            # Shifted so that a text without any link or tag, however short, still has a density.
+            n.density = n.chars / tags * math.log(math.e - 1 + ratio) / max(math.log(base), 1.0)
     for n in nodes:
         n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.dropped) + (n.density if any(isinstance(k, str) and k.strip() for k in n.kids) else 0.0)
     return body

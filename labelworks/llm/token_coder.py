@@ -1,7 +1,7 @@
 """Operator 1: token ids of whole texts in a compressed binary format.
 
 Ids go through an adaptive context-mixing range coder. A block holds whole documents, is reset independently of all
-others and carries a checksum. Inside a block the ids are dealt to up to 1,024 lanes (runs of neighbouring ids) that
+others and carries a checksum. Inside a block the ids are dealt to up to 2,048 lanes (runs of neighbouring ids) that
 are coded in step, so that NumPy works on all lanes at once; the lanes share the block's models:
 
 * order 0: frequencies of the block's ids so far, renewed after each run of steps;
@@ -10,7 +10,8 @@ are coded in step, so that NumPy works on all lanes at once; the lanes share the
 Each id is coded once, with the mixed probability ``m2 * [p2 = x] + m1 * [p1 = x] + (1 - m2 - m1) * order0(x)``, where the
 weights m2 and m1 follow how often predictions of that confidence have come true in the block.
 
-A block, little-endian: ``magic, version, n_docs, n_ids, n_alphabet, lanes, crc32 of the ids, lengths of the sections``,
+A block, little-endian: ``magic, version, n_docs, n_ids, n_alphabet, lanes, crc32 of the ids, crc32 of all that follows the
+header, lengths of the sections``,
 then, zlib-compressed, doc ids, ids per document and the alphabet (gaps of the sorted ids), then each lane's number of
 16-bit units and the units. Edge cases: a null text is an empty one; null and repeated doc ids are kept; a block
 without ids has no lanes.
@@ -32,10 +33,10 @@ from .common import fresh_path, pieces, texts_of
 from .tokens import tokenizer
 
 MAGIC = b"LWTK"
-HEAD = struct.Struct("<4sBIIIIIIII")
+HEAD = struct.Struct("<4sBIIIIIIIII")
 #: Ids after which a block is closed; a longer document makes a longer block.
-BLOCK_IDS = 1 << 19
-LANES, RUN, ORDER2_BITS, TOTAL_BITS = 1024, 32, 17, 20
+BLOCK_IDS = 1 << 20
+LANES, RUN, ORDER2_BITS, TOTAL_BITS = 2048, 32, 17, 20
 CODE_MASK = np.uint64((1 << 48) - 1)
 NO_ID = np.iinfo(np.int64).min
 
@@ -211,15 +212,17 @@ def pack_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> byte
     alphabet, x = np.unique(ids, return_inverse=True)
     lanes = _code(x, len(alphabet)) if len(ids) else []
     meta = [zlib.compress(np.ascontiguousarray(a).tobytes(), 6) for a in (np.diff(doc_ids.astype("<i8"), prepend=np.int64(0)), counts.astype("<u4"), np.diff(alphabet, prepend=np.uint32(0)).astype("<u4"))]
-    head = HEAD.pack(MAGIC, 1, len(doc_ids), len(ids), len(alphabet), len(lanes), zlib.crc32(ids.tobytes()), *map(len, meta))
-    return b"".join([head, *meta, np.array([len(b) // 2 for b in lanes], "<u4").tobytes(), *lanes])
+    body = b"".join([*meta, np.array([len(b) // 2 for b in lanes], "<u4").tobytes(), *lanes])
+    return HEAD.pack(MAGIC, 1, len(doc_ids), len(ids), len(alphabet), len(lanes), zlib.crc32(ids.tobytes()), zlib.crc32(body), *map(len, meta)) + body
 
 
 def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Doc ids, ids per document and all ids of a block; a damaged block raises ValueError."""
-    magic, version, n_docs, n, n_alphabet, n_lanes, crc, *sizes = HEAD.unpack_from(block)
+    magic, version, n_docs, n, n_alphabet, n_lanes, crc, body_crc, *sizes = HEAD.unpack_from(block)
     if magic != MAGIC or version != 1:
         raise ValueError("not a token block")
+    if zlib.crc32(memoryview(block)[HEAD.size :]) != body_crc:
+        raise ValueError("a token block's checksum is wrong")
     at, parts = HEAD.size, []
     for k, kind in zip(sizes, ("<i8", "<u4", "<u4"), strict=True):
         parts.append(np.frombuffer(zlib.decompress(block[at : at + k]), kind))
