@@ -66,14 +66,17 @@ class _Models:
         self.weight = (rate * room * np.array([[0.33], [0.66]])).astype(np.int64)
 
     def slots(self) -> np.ndarray:
-        return np.repeat(np.arange(self.n), np.diff(self.cum))
+        return np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.cum))
 
-    def key2(self, last1: np.ndarray, last2: np.ndarray) -> np.ndarray:
-        return ((last2 * 40503 + last1) * 2654435761 >> 13) & ((1 << ORDER2_BITS) - 1)
+    @staticmethod
+    def key2(last1: np.ndarray, last2: np.ndarray) -> np.ndarray:
+        """Slot of a pair of ids (uint32 arithmetic, so that it wraps)."""
+        return (last2 * np.uint32(0x9E3779B1) + last1 * np.uint32(0x85EBCA77)) >> np.uint32(32 - ORDER2_BITS)
 
-    def learn(self, table: np.ndarray, key: np.ndarray, entry: np.ndarray, hit: np.ndarray, x: np.ndarray) -> None:
-        conf = entry & 3
-        table[key] = np.where(hit, (x << 2) | np.minimum(conf + 1, 3), np.where(conf > 1, (entry & ~3) | (conf - 2), x << 2))
+    @staticmethod
+    def learn(table: np.ndarray, key: np.ndarray, entry: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> None:
+        """An entry is id * 4 + confidence. A hit raises the confidence to 3 at most; a miss takes 2 off, or takes in the new id."""
+        table[key] = np.where(hit, np.minimum(entry + 1, entry | 3), np.where(entry & 2, entry - 2, fresh))
 
     def note(self, k2: np.ndarray, hit2: np.ndarray, k1: np.ndarray, hit1: np.ndarray, x: np.ndarray) -> None:
         """Take the outcomes of a run of steps into the statistics."""
@@ -92,14 +95,14 @@ def _code(x: np.ndarray, alphabet: int) -> list[bytes]:
     """Range-code ids that are indices into the alphabet; one string of units for each lane."""
     n, lanes = len(x), _lanes(len(x))
     steps = -(-n // lanes)
-    grid = np.zeros(steps * lanes, np.int64)
+    grid = np.zeros(steps * lanes, np.int32)
     grid[:n] = x
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     alive = np.ascontiguousarray((np.arange(steps * lanes) < n).reshape(lanes, steps).T)
     m = _Models(alphabet)
-    before1 = np.vstack([np.full((1, lanes), alphabet), grid[:-1]])
-    before2 = np.vstack([np.full((1, lanes), alphabet), before1[:-1]])
-    keys2 = m.key2(before1, before2)
+    none = np.full((1, lanes), alphabet, np.int32)
+    before1 = np.vstack([none, grid[:-1]])
+    keys2 = m.key2(before1.view(np.uint32), np.vstack([none, before1[:-1]]).view(np.uint32))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, CODE_MASK, np.uint64)
     out, at = np.zeros((lanes, 2 * steps + 8), np.uint32), np.zeros(lanes, np.int64)
     b16, b32 = np.uint64(16), np.uint64(32)
@@ -109,10 +112,10 @@ def _code(x: np.ndarray, alphabet: int) -> list[bytes]:
         e1, e2 = (np.empty(grid[rows].shape, np.int32) for _ in range(2))
         for i in range(first, rows.stop):
             s = i - first
-            k1, k2 = before1[i], keys2[i]
+            k1, k2, own, fresh = before1[i], keys2[i], grid[i], grid[i] << 2
             e1[s], e2[s] = a1, a2 = m.after1[k1], m.after2[k2]
-            m.learn(m.after1, k1, a1, (a1 >> 2) == grid[i], grid[i])
-            m.learn(m.after2, k2, a2, (a2 >> 2) == grid[i], grid[i])
+            m.learn(m.after1, k1, a1, (a1 >> 2) == own, fresh)
+            m.learn(m.after2, k2, a2, (a2 >> 2) == own, fresh)
         x, live = grid[rows], alive[rows]
         p1, p2, c1, c2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
         w1, w2 = m.weight[0][c1], m.weight[1][c2]
@@ -120,11 +123,13 @@ def _code(x: np.ndarray, alphabet: int) -> list[bytes]:
         start0, end0 = m.cum[x] * rest >> m.bits, m.cum[x + 1] * rest >> m.bits
         start = (start0 + w1 * (p1 < x) + w2 * (p2 < x)).astype(np.uint64)
         freq = (end0 - start0 + w1 * (p1 == x) + w2 * (p2 == x)).astype(np.uint64)
+        every = bool(live.all())
         for s in range(x.shape[0]):
             unit = span >> np.uint64(TOTAL_BITS)
-            on = live[s]
-            low = np.where(on, low + unit * start[s], low)
-            span = np.where(on, unit * freq[s], span)
+            if every:
+                low, span = low + unit * start[s], unit * freq[s]
+            else:
+                low, span = np.where(live[s], low + unit * start[s], low), np.where(live[s], unit * freq[s], span)
             over = np.flatnonzero(low > CODE_MASK)
             if len(over):
                 out[over, at[over] - 1] += 1
@@ -156,25 +161,27 @@ def _decode(n: int, alphabet: int, lanes: int, units: list[np.ndarray]) -> np.nd
     b16, top, low20 = np.uint64(16), np.uint64(1 << 32), np.uint64(TOTAL_BITS)
     code = (data[:, 0] << np.uint64(32)) | (data[:, 1] << b16) | data[:, 2]
     at, span = np.full(lanes, 3), np.full(lanes, CODE_MASK, np.uint64)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     alive = np.ascontiguousarray((np.arange(steps * lanes) < n).reshape(lanes, steps).T)
-    last1 = np.full(lanes, alphabet, np.int64)
+    last1 = np.full(lanes, alphabet, np.int32)
     last2 = last1.copy()
     for first in range(0, steps, RUN):
         stop = min(steps, first + RUN)
         shape = (stop - first, lanes)
         c1, c2, h1, h2 = np.empty(shape, np.int32), np.empty(shape, np.int32), np.empty(shape, bool), np.empty(shape, bool)
         slots, cum, whole = m.slots(), m.cum, 1 << m.bits
+        weight1, weight2, every = m.weight[0], m.weight[1], bool(alive[first:stop].all())
         for i in range(first, stop):
             s = i - first
-            k2 = m.key2(last1, last2)
+            k2 = m.key2(last1.view(np.uint32), last2.view(np.uint32))
             e1, e2 = m.after1[last1], m.after2[k2]
-            p1, p2 = (e1 >> 2).astype(np.int64), (e2 >> 2).astype(np.int64)
+            p1, p2 = e1 >> 2, e2 >> 2
             c1[s], c2[s] = e1 & 3, e2 & 3
-            w1, w2 = m.weight[0][c1[s]], m.weight[1][c2[s]]
+            w1, w2 = weight1[c1[s]], weight2[c2[s]]
             rest = (1 << TOTAL_BITS) - w1 - w2
             unit = span >> low20
-            v = np.minimum(code // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
+            # Quotients of such small whole numbers are exact enough in floating point to be rounded down.
+            v = np.minimum(code / unit, (1 << TOTAL_BITS) - 1).astype(np.int64)
             # The interval of a predicted id, if the value lies in it; else the value without the weights below it.
             s1 = (cum[p1] * rest >> m.bits) + w2 * (p2 < p1)
             t1 = (cum[p1 + 1] * rest >> m.bits) + w2 * (p2 <= p1) + w1
@@ -182,25 +189,28 @@ def _decode(n: int, alphabet: int, lanes: int, units: list[np.ndarray]) -> np.nd
             t2 = (cum[p2 + 1] * rest >> m.bits) + w1 * (p1 <= p2) + w2
             in1, in2 = (v >= s1) & (v < t1), (v >= s2) & (v < t2)
             v0 = v - w1 * (v >= t1) - w2 * (v >= t2)
-            guess = np.clip(((v0 + 1 << m.bits) - 1) // rest, 0, whole - 1)
+            guess = np.clip((((v0 + 1 << m.bits) - 1) / rest).astype(np.int64), 0, whole - 1)
             x = np.where(in1, p1, np.where(in2, p2, slots[guess]))
-            x = np.where(alive[i], x, 0)
+            if not every:
+                x = np.where(alive[i], x, np.int32(0))
             grid[i] = x
             start0, end0 = cum[x] * rest >> m.bits, cum[x + 1] * rest >> m.bits
             h1[s], h2[s] = p1 == x, p2 == x
             start = (start0 + w1 * (p1 < x) + w2 * (p2 < x)).astype(np.uint64)
             freq = (end0 - start0 + w1 * h1[s] + w2 * h2[s]).astype(np.uint64)
-            on = alive[i]
-            code = np.where(on, code - unit * start, code)
-            span = np.where(on, unit * freq, span)
+            if every:
+                code, span = code - unit * start, unit * freq
+            else:
+                code, span = np.where(alive[i], code - unit * start, code), np.where(alive[i], unit * freq, span)
             small = np.flatnonzero(span < top)
             while len(small):
                 code[small] = (code[small] << b16) | data[small, at[small]]
                 at[small] += 1
                 span[small] <<= b16
                 small = small[span[small] < top]
-            m.learn(m.after1, last1, e1, h1[s], x)
-            m.learn(m.after2, k2, e2, h2[s], x)
+            fresh = x << 2
+            m.learn(m.after1, last1, e1, h1[s], fresh)
+            m.learn(m.after2, k2, e2, h2[s], fresh)
             last2, last1 = last1, x
         m.note(c2, h2, c1, h1, grid[first:stop])
     return grid.T.reshape(-1)[:n]
