@@ -84,4 +84,4 @@ def first_json(text: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def json_substring(text: pd.Series) -> pd.Series:
-    return text.map(first_json, na_action="ignore").where(text.notna(), None)
+    return pd.Series([first_json(x) if isinstance(x, str) else None for x in text], dtype=object)

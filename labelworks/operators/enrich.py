@@ -49,7 +49,7 @@ def user_stage(df: DataFrame, name: str, inputs: list[str], outputs: dict[str, s
                 got = fn(pdf[inputs].reset_index(drop=True))
             except Exception as e:  # the stage's failure is the rows' result
                 got = pd.DataFrame({**{c: [None] * len(pdf) for c in columns}, "error": [str(e)] * len(pdf)})
-            yield pd.DataFrame({"_key": pdf["_key"].to_numpy(), **{c: list(got[c]) for c in columns}, "_error": list(got["error"])})
+            yield pd.DataFrame({"_key": pdf["_key"].to_numpy(object), **{c: list(got[c]) for c in columns}, "_error": list(got["error"])}, dtype=object)
 
     made = todo.mapInPandas(run, ", ".join(["_key string", *[f"`{c}` string" for c in columns], "_error string"]))
     new = made.where("_error is null").select(F.col("_key").alias("key"), *columns)

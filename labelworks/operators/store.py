@@ -57,7 +57,7 @@ def call_model(prompts: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], call
                     texts, errors = list(got["text"]), list(got["error"])
                 except Exception as e:  # the provider's failure is the rows' result
                     texts, errors = [None] * len(part), [f"llm_provider_error: {e}"] * len(part)
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "response": texts, "error": errors})
+                yield pd.DataFrame({"key": part["key"].to_numpy(object), "response": texts, "error": errors}, dtype=object)
 
     return prompts.select("key", "prompt").repartition(calls).mapInPandas(run, "key string, response string, error string")
 

@@ -78,6 +78,6 @@ def file_pages(spark: SparkSession, paths: str, extract: Callable[[bytes], list[
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 pages = extract(bytes(content))
-                yield pd.DataFrame({"path": [path] * len(pages), "page_num": range(1, len(pages) + 1), "text": pages})
+                yield pd.DataFrame({"path": pd.Series([path] * len(pages), dtype=object), "page_num": range(1, len(pages) + 1), "text": pd.Series(pages, dtype=object)})
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, page_num long, text string")
