@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_density, language, media, ngram_join, packing, quality, token_coder, toxicity, warc
+from . import decontaminate, html_density, language, media, ngram_join, packing, quality, sql, token_coder, toxicity, warc
 from .tokens import vocabulary_path
 
 
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_ranges": sql.OP2, "op3_winnowing": sql.OP3, "op10_count_tree": sql.OP10}
