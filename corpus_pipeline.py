@@ -16,7 +16,7 @@ from labelworks.llm.tokens import vocabulary_path
 #: A document goes if its quality score is lower.
 LEAST_QUALITY = 0.3
 #: A document goes if the cosine with its language's prototype, moved to 0..1, is lower.
-LEAST_LANGUAGE = 0.55
+LEAST_LANGUAGE = 0.51
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
