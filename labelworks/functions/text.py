@@ -61,5 +61,6 @@ def similar_text(a: Column, b: Column, least: float = 0.95) -> Column:
     a, b = F.replace(a, F.lit('"'), F.lit("'")), F.replace(b, F.lit('"'), F.lit("'"))
     longer = F.greatest(F.length(a), F.length(b)) + F.lit(1e-5)
     near = F.least(F.length(a), F.length(b)) / longer > least
-    ratio = F.when(near & (a != b), common_substring_length(a, b)).when(a == b, F.length(a)).otherwise(0) / longer
+    # Python functions see all rows, whatever stands around them: rows that are decided come as nulls.
+    ratio = F.when(near & (a != b), common_substring_length(F.when(near & (a != b), a), b)).when(a == b, F.length(a)).otherwise(0) / longer
     return F.coalesce(ratio > least, F.lit(False))

@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import common_substring_length, normalize, similar_text, tokens
+from .vectors import small
 
 ATTRIBUTE = "attribute"
 
@@ -164,7 +165,7 @@ def run_cost(df: DataFrame, prices: DataFrame, model: str = "model", prompt_toke
     """Adds ``cost``: tokens times price; no answer counts as ``most_tokens``; only rows that are not ``cached`` cost."""
     p = F.col(prompt_tokens) + (F.col(images) * image_tokens if images else 0)
     cost = p * F.col("prompt_price") + F.coalesce(F.col(answer_tokens), F.lit(most_tokens)) * F.col("answer_price")
-    joined = df.join(F.broadcast(prices), model, "left")
+    joined = df.join(small(prices), model, "left")
     return joined.withColumn("cost", F.when(F.col("cached"), 0.0).otherwise(cost) if "cached" in df.columns else cost).drop("prompt_price", "answer_price")
 
 

@@ -14,6 +14,15 @@ from pyspark.sql.window import Window
 MOST_BROADCAST_NUMBERS = 8_000_000
 
 
+#: Rows of a table of seeds, labels or prices that a join may broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if it is short enough for that."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else df
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double; null where one is all zeros."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -80,7 +89,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "qid",
 
 def chosen_examples(found: DataFrame, seeds: DataFrame, fields: list[str], corpus_id: str = "cid") -> DataFrame:
     """Per query an array of its examples' structs in rank order; the texts are attached last."""
-    rows = found.join(F.broadcast(seeds.select(F.col(corpus_id).alias("cid"), *fields)), "cid")
+    rows = found.join(small(seeds.select(F.col(corpus_id).alias("cid"), *fields)), "cid")
     return rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("ranked")).select("qid", F.transform("ranked", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("examples"))
 
 
@@ -128,19 +137,21 @@ def label_diverse_fixed(seeds: DataFrame, k: int, labels: int, label: str = "lab
 def fixed_with_labels(rows: DataFrame, seeds: DataFrame, k: int, row: str, selected: dict[str, str], position: str = "position") -> DataFrame:
     """First k seeds whose label is in the row's selected labels, for every attribute {seed label column: row array column}.
 
-    The seeds are few and broadcast.
+    An equi-join on the first attribute's label; the other attributes filter its matches.
     """
-    fits = F.lit(True)
-    for own, chosen in selected.items():
-        fits &= F.array_contains(F.col(chosen), F.col(f"seed.{own}"))
-    paired = rows.join(F.broadcast(seeds.select(F.struct(*seeds.columns).alias("seed"))), fits)
+    first, *others = selected.items()
+    wanted = rows.select(*rows.columns, F.explode(F.array_distinct(first[1])).alias("_label"))
+    shot = small(seeds.select(F.struct(*seeds.columns).alias("seed"), F.col(first[0]).alias("_label")))
+    paired = wanted.join(shot, "_label")
+    for own, chosen in others:
+        paired = paired.where(F.array_contains(F.col(chosen), F.col(f"seed.{own}")))
     rank = F.row_number().over(Window.partitionBy(row).orderBy(f"seed.{position}"))
     return paired.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select(row, "rank", "seed.*")
 
 
 def select_labels(queries: DataFrame, labels: DataFrame, most: int, query_id: str = "qid", label_id: str = "cid", vector: str = "v", label: str = "label", description: str = "description") -> DataFrame:
     """qid, the nearest labels in order, and a map label to description."""
-    found = top_k(queries, labels, most, query_id, label_id, vector).join(F.broadcast(labels.select(F.col(label_id).cast("long").alias("cid"), F.col(label).cast("string").alias("label"), F.col(description).cast("string").alias("description"))), "cid")
+    found = top_k(queries, labels, most, query_id, label_id, vector).join(small(labels.select(F.col(label_id).cast("long").alias("cid"), F.col(label).cast("string").alias("label"), F.col(description).cast("string").alias("description"))), "cid")
     ranked = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "label", "description"))).alias("r"))
     return ranked.select("qid", F.transform("r", lambda x: x["label"]).alias("labels"), F.map_from_entries(F.transform("r", lambda x: F.struct(x["label"], x["description"]))).alias("descriptions"))
 
