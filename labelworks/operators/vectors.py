@@ -49,27 +49,41 @@ def _local(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
     return out[np.isfinite(out["score"])]
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "qid", corpus_id: str = "cid", vector: str = "v", block_rows: int = 100_000, digits: int = 6) -> DataFrame:
-    """qid, cid, score and rank of the k corpus rows with the largest cosine, ties to the lower id.
+def _local_of_each(qid: np.ndarray, q: np.ndarray, corpus: pd.DataFrame, unit: np.ndarray, k: int, digits: int, by: str | None) -> pd.DataFrame:
+    """The same, or the best k of each value of a column."""
+    cid = corpus["cid"].to_numpy(np.int64)
+    if by is None:
+        return _local(qid, q, cid, unit, k, digits)
+    return pd.concat([_local(qid, q, cid[at], unit[at], k, digits).assign(**{by: value}) for value, at in corpus.reset_index(drop=True).groupby(by).indices.items()])
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "qid", corpus_id: str = "cid", vector: str = "v", block_rows: int = 100_000, digits: int = 6, by: str | None = None) -> DataFrame:
+    """qid, cid, score and rank of the k corpus rows with the largest cosine, ties to the lower id; with ``by``, of each value
+    of that corpus column (rows where it is null are left out).
 
     Scores are rounded to ``digits`` before ranking. Each batch or block keeps its own best k only; a window merges them.
     """
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vector).alias("v")).where("v is not null")
-    c = corpus.select(F.col(corpus_id).cast("long").alias("cid"), F.col(vector).alias("v")).where("v is not null")
+    extra = [by] if by else []
+    c = corpus.select(F.col(corpus_id).cast("long").alias("cid"), F.col(vector).alias("v"), *extra).where("v is not null")
+    schema = "qid long, cid long, score double"
+    if by:
+        c = c.where(F.col(by).isNotNull())
+        schema += f", `{by}` {corpus.schema[by].dataType.simpleString()}"
     rows, numbers = c.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     if numbers <= MOST_BROADCAST_NUMBERS:
         small = c.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((small["cid"].to_numpy(np.int64), _unit(list(small["v"])) if len(small) else np.empty((0, 0))))
+        shared = queries.sparkSession.sparkContext.broadcast((small.drop(columns="v"), _unit(list(small["v"])) if len(small) else np.empty((0, 0))))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cid, c_unit = shared.value
+            rows_, c_unit = shared.value
             for pdf in batches:
                 for a in range(0, len(pdf), 1000):
                     part = pdf.iloc[a : a + 1000]
-                    if len(cid):
-                        yield _local(part["qid"].to_numpy(), _unit(list(part["v"])), cid, c_unit, k, digits)
+                    if len(rows_):
+                        yield _local_of_each(part["qid"].to_numpy(), _unit(list(part["v"])), rows_, c_unit, k, digits, by)
 
-        found = q.mapInPandas(run, "qid long, cid long, score double")
+        found = q.mapInPandas(run, schema)
     else:
         # A grid: every query meets every block of the corpus once.
         blocks = int(-(-rows // block_rows))
@@ -78,13 +92,13 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "qid",
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                return pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")} | {n: pd.Series(dtype=object) for n in extra})
             unit = _unit(list(right["v"]))
-            return pd.concat([_local(left["qid"].to_numpy()[a : a + 1000], _unit(list(left["v"][a : a + 1000])), right["cid"].to_numpy(), unit, k, digits) for a in range(0, len(left), 1000)])
+            return pd.concat([_local_of_each(left["qid"].to_numpy()[a : a + 1000], _unit(list(left["v"][a : a + 1000])), right, unit, k, digits, by) for a in range(0, len(left), 1000)])
 
-        found = dealt_q.groupBy("block").cogroup(dealt_c.groupBy("block")).applyInPandas(meet, "qid long, cid long, score double")
-    by = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    return found.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+        found = dealt_q.groupBy("block").cogroup(dealt_c.groupBy("block")).applyInPandas(meet, schema)
+    order = Window.partitionBy("qid", *extra).orderBy(F.desc("score"), "cid")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def chosen_examples(found: DataFrame, seeds: DataFrame, fields: list[str], corpus_id: str = "cid") -> DataFrame:
@@ -116,12 +130,10 @@ def mmr(queries: DataFrame, corpus: DataFrame, k: int, fetch_k: int | None = Non
 def label_diverse(queries: DataFrame, corpus: DataFrame, k: int, labels: list, query_id: str = "qid", corpus_id: str = "cid", vector: str = "v", label: str = "label") -> DataFrame:
     """Top ceil(k / number of labels) of each label, ordered by label then score, cut to k."""
     each = -(-k // len(labels))
-    parts = [top_k(queries, corpus.where(F.col(label) == x), each, query_id, corpus_id, vector).withColumn("label", F.lit(x)) for x in labels]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    by = Window.partitionBy("qid").orderBy("label", F.desc("score"), "cid")
-    return found.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+    own = corpus.where(F.col(label).isin(labels))
+    found = top_k(queries, own, each, query_id, corpus_id, vector, by=label)
+    order = Window.partitionBy("qid").orderBy(label, F.desc("score"), "cid")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def fixed_examples(seeds: DataFrame, k: int, position: str = "position") -> DataFrame:

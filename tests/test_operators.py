@@ -172,6 +172,10 @@ def test_top_k_blocks_agree(spark, monkeypatch):
     small = sorted(map(tuple, vectors.top_k(q, c, 7).collect()))
     monkeypatch.setattr(vectors, "MOST_BROADCAST_NUMBERS", 0)
     assert small == sorted(map(tuple, vectors.top_k(q, c, 7, block_rows=9).collect())) and len(small) == 35
+    own = c.withColumn("kind", F.when(F.col("cid") % 3 > 0, (F.col("cid") % 3).cast("string")))
+    each = sorted(map(tuple, vectors.top_k(q, own, 2, by="kind", block_rows=9).collect()))
+    monkeypatch.undo()
+    assert each == sorted(map(tuple, vectors.top_k(q, own, 2, by="kind").collect())) and len(each) == 20
     assert vectors.mmr(q, c, 3).where("rank = 1").join(vectors.top_k(q, c, 1), ["qid", "cid"]).count() == 5
 
 
