@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import WordHasher, bytes_of, pieces, rolling
+from .common import WordHasher, bytes_of, pieces, rolling, stored
 
 K, WINDOW = 7, 7
 SPAN = K + WINDOW - 1
@@ -157,7 +158,7 @@ def _marked(documents: DataFrame, items: list[tuple[str, bytes]], spans: bool) -
     """Documents with the result columns or, with spans, with the hit words and items of this block."""
     shared = documents.sparkSession.sparkContext.broadcast(items)
     made: list[Matcher] = []
-    names = [c for c in documents.columns]
+    names = documents.columns
     added = ["n_words", "hit_words", "hit_items"] if spans else ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())] if spans else [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
@@ -182,8 +183,6 @@ def _marked(documents: DataFrame, items: list[tuple[str, bytes]], spans: bool) -
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     extra = "n_words long, hit_words array<long>, hit_items array<string>" if spans else RESULT
-    from pyspark.sql.types import StructType
-
     schema = StructType([*documents.schema.fields, *StructType.fromDDL(extra).fields])
     return documents.mapInArrow(run, schema)
 
@@ -198,14 +197,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, block_words:
     if len(blocks) == 1:
         return _marked(documents, blocks[0], spans=False)
     # Several blocks: rows keep a number of their own, hits are united by it.
-    from .common import stored
-
     numbered = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
-    parts = [_marked(numbered.select("_row", "text"), b, spans=True).select("_row", "n_words", "hit_words", "hit_items") for b in _blocks(benchmark, block_words)]
+    # One block after the other: the driver never holds more than one.
+    parts = [stored(_marked(numbered.select("_row", "text"), b, spans=True).select("_row", "n_words", "hit_words", "hit_items"), "decontaminate-hits") for b in _blocks(benchmark, block_words)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = stored(every, "decontaminate-hits")
     words = every.select("_row", F.explode("hit_words").alias("w")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
     items = every.where(F.size("hit_items") > 0).groupBy("_row").agg(F.sort_array(F.flatten(F.collect_list("hit_items"))).alias("i"))
     sizes = parts[0].select("_row", "n_words")

@@ -14,7 +14,7 @@ BLANKS = [chr(i) for i in range(1, 0x3001) if chr(i).isspace() and i != 32]
 
 OTHERS = [c for c in BLANKS if c != "\n"]
 #: A full stop or comma between a letter and a blank or the end: pre-tokenizers always cut before it.
-MARK = re.compile(r"(?<=[^\W\d_])([.,])(?= |\Z)")
+MARK = re.compile(r"([.,])(?<=[^\W\d_][.,])(?= |\Z)")
 #: The visible character that byte-level tokenizers use for each byte.
 _seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 VISIBLE = {b: chr(b) if b in _seen else chr(256 + b - sum(x < b for x in _seen)) for b in range(256)}
@@ -28,7 +28,7 @@ class WordwiseTokenizer:
     The memory is bounded: at ``most`` words, or 32 MB of them, it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
