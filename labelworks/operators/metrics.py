@@ -49,13 +49,15 @@ def matched(long: DataFrame, fuzzy: bool = True) -> DataFrame:
     return long.where(valid()).withColumn("match", match).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
 
 
-def threshold_table(long: DataFrame, fuzzy: bool = True) -> DataFrame:
+def threshold_table(long: DataFrame, fuzzy: bool = True, digits: int | None = None) -> DataFrame:
     """For each attribute and distinct confidence: positives and negatives at and above it, the rates, and the share of rows
     strictly above it (completion).
 
-    The windows run over distinct confidences of an attribute, not over rows.
+    The windows run over distinct confidences of an attribute, not over rows; ``digits`` rounds them, so that there are few
+    however many rows there are.
     """
-    counts = matched(long, fuzzy).groupBy(ATTRIBUTE, F.col("conf").alias("threshold")).agg(F.count_if("match").alias("pos"), F.count_if(~F.col("match")).alias("neg"))
+    conf = F.col("conf") if digits is None else F.round("conf", digits)
+    counts = matched(long, fuzzy).groupBy(ATTRIBUTE, conf.alias("threshold")).agg(F.count_if("match").alias("pos"), F.count_if(~F.col("match")).alias("neg"))
     down = Window.partitionBy(ATTRIBUTE).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(ATTRIBUTE)
     x = counts.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
@@ -63,9 +65,9 @@ def threshold_table(long: DataFrame, fuzzy: bool = True) -> DataFrame:
     return x.select(ATTRIBUTE, "threshold", rate("tp", "p").alias("tpr"), rate("fp", "n").alias("fpr"), ((F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")) / (F.col("p") + F.col("n"))).alias("completion"), "pos", "neg", "tp", "fp", "p", "n")
 
 
-def auroc(long: DataFrame, fuzzy: bool = True) -> DataFrame:
+def auroc(long: DataFrame, fuzzy: bool = True, digits: int | None = None) -> DataFrame:
     """attribute and the area under the curve, ties half; one class only: 1 if all match, else 0."""
-    t = threshold_table(long, fuzzy)
+    t = threshold_table(long, fuzzy, digits)
     won = F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") * 0.5))
     return t.groupBy(ATTRIBUTE).agg(won.alias("w"), F.first("p").alias("p"), F.first("n").alias("n")).select(ATTRIBUTE, F.when(F.col("n") == 0, 1.0).when(F.col("p") == 0, 0.0).otherwise(F.col("w") / (F.col("p") * F.col("n"))).alias("auroc"))
 
