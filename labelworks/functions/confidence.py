@@ -103,9 +103,10 @@ def confidence_by_label(delimiter: str = ";"):
 
 def text_chunks(df: DataFrame, text: str, chunk_size: int, keys: list[str]) -> DataFrame:
     """keys, chunk_no and chunk: ``chunk_size`` tokens each; texts without tokens give none."""
-    own = words(F.col(text))
-    starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(chunk_size)))
-    return df.select(*keys, F.posexplode(F.transform(starts, lambda s: F.array_join(F.slice(own, s, chunk_size), " "))).alias("chunk_no", "chunk"))
+    # The words are bound to a variable once: an expression inside the inner lambda would be split anew for each chunk.
+    starts = lambda w: F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(chunk_size)), lambda s: s <= F.size(w))
+    chunks = F.transform(F.array(words(F.col(text))), lambda w: F.transform(starts(w), lambda s: F.array_join(F.slice(w, s, chunk_size), " ")))
+    return df.select(*keys, F.posexplode(F.flatten(chunks)).alias("chunk_no", "chunk"))
 
 
 def merge_chunks(chunks: DataFrame, keys: list[str], confidence: str = "confidence", how: str = "max") -> DataFrame:

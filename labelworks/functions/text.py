@@ -12,8 +12,10 @@ from pyspark.sql.types import LongType
 def normalize(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks. Null stays null."""
     bare = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    without = F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(without, r"(?U)\s+", " "))
+    # Where only white space parts words they are filtered as a list; other marks need the slower Unicode word bounds.
+    words = F.filter(F.split(bare, r"\s+"), lambda w: ~w.isin("", "a", "an", "the"))
+    bounded = F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), r"(?U)\s+", " "))
+    return F.when(bare.rlike(r"[^\x00-\x7F\p{L}\p{N}]"), bounded).otherwise(F.array_join(words, " "))
 
 
 def tokens(text: Column) -> Column:

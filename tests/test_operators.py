@@ -114,6 +114,18 @@ def test_confidence(spark):
     assert got == pytest.approx({"joy": math.exp(-0.1), "love": math.exp(-0.4)})
 
 
+def test_normalize(spark):
+    cases = {"The  cat, a DOG!": "cat dog", "\u201ca\u201d éa the\u00a0an x": "\u201c \u201d éa x", "": "", "a an the": "", "A_b then": "ab then", "é the ça": "é ça"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, n string")
+    assert [r.got for r in df.select(text.normalize(F.col("t")).alias("got")).collect()] == [*cases.values(), None]
+
+
+def test_chunks(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, None), (4, "x y")], "k long, t string")
+    got = sorted(map(tuple, confidence.text_chunks(df, "t", 2, ["k"]).collect()))
+    assert got == [(1, 0, "a b"), (1, 1, "c d"), (1, 2, "e"), (4, 0, "x y")]
+
+
 def test_common_substring(spark):
     df = spark.createDataFrame([("abcdef", "zabcy", 3), ("", "a", 0), ("same", "same", 4), (None, "a", None), ("é1", "xé1", 2)], "a string, b string, n long")
     assert all(r.n == r.got for r in df.select("n", text.common_substring_length("a", "b").alias("got")).collect())
