@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once; a longer text is cut at a word's end and joined again.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 # The multipliers and shifts of the public splitmix64 finalizer.
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -67,6 +67,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2 * STEP_BYTES) -> It
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a worker goes on to other stages: it gives back what it doesn't need
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -77,6 +78,21 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+_BASE = 0x9E3779B97F4A7C13
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64; one table for all hashers of a worker."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            a = np.full(max(n, STEP_BYTES + 64), b, np.uint64)
+            a[0] = 1
+            _powers.append(np.multiply.accumulate(a))
+    return _powers[0][:n], _powers[1][:n]
+
+
 class WordHasher:
     """Hashes all words of many byte strings at once.
 
@@ -90,17 +106,6 @@ class WordHasher:
         if lower:
             values[65:91] = values[97:123]
         self.values = values
-        self.base = np.uint64(0x9E3779B97F4A7C13)
-        self.back = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            m = max(n, 1 << 16)
-            for name, b in (("powers", self.base), ("inverses", self.back)):
-                a = np.full(m, b, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, text numbers, starts and ends of all words, in order."""
@@ -118,11 +123,13 @@ class WordHasher:
         while at < len(starts):
             till = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP_BYTES, "right")))
             first, last = int(starts[at]), int(ends[till - 1])
-            self._grow(last - first + 1)
+            up, down = powers(last - first)
             sums = np.zeros(last - first + 1, np.uint64)
-            np.cumsum(self.values[data[first:last]] * self.powers[: last - first], out=sums[1:])
+            terms = self.values[data[first:last]]
+            terms *= up
+            np.cumsum(terms, out=sums[1:])
             a, b = starts[at:till] - first, ends[at:till] - first
-            hashes[at:till] = (sums[b] - sums[a]) * self.inverses[a]
+            hashes[at:till] = (sums[b] - sums[a]) * down[a]
             at = till
         owner = np.searchsorted(np.cumsum(sizes), starts, "right").astype(np.int64)
         return mix(hashes), owner, starts, ends

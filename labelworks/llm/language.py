@@ -27,7 +27,7 @@ from .common import held_out, pieces, spark_sum_vectors, texts_of
 
 D, N, CLASSES, SEED = 512, 3, 128, 11
 #: Most n-gram vectors that a worker keeps; beyond that it starts anew.
-MOST_GRAMS = 40_000
+MOST_GRAMS = 30_000
 
 
 class Encoder:
@@ -35,7 +35,7 @@ class Encoder:
 
     def __init__(self):
         rng = np.random.default_rng(SEED)
-        self.letters = rng.choice(np.array([-1.0, 1.0], np.float32), (CLASSES, D))
+        self.letters = rng.choice(np.array([-1, 1], np.int8), (CLASSES, D))
         self.class_of = np.zeros(0x3000, np.uint8)
         for c in range(0x3000):
             if chr(c).isalpha():
@@ -49,7 +49,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.row_of = np.full(CLASSES**N, -1, np.int32)
-        self.rows = np.empty((1024, D), np.float32)
+        self.rows = np.empty((1024, D), np.int8)
         self.used = 0
 
     def _classes(self, text: str) -> np.ndarray:
@@ -79,14 +79,14 @@ class Encoder:
         if len(new):
             while self.used + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            made = np.ones((len(new), D), np.float32)
+            made = np.ones((len(new), D), np.int8)
             for place in range(N):
                 letter = new // CLASSES ** (N - 1 - place) % CLASSES
                 made *= np.roll(self.letters, N - 1 - place, axis=1)[letter]
             self.rows[self.used : self.used + len(new)] = made
             self.row_of[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
-        return self.rows[self.row_of[codes]]
+        return self.rows[self.row_of[codes]].astype(np.float32)
 
     def bundle(self, codes: np.ndarray) -> np.ndarray:
         own, counts = np.unique(codes, return_counts=True)

@@ -28,7 +28,7 @@ class WordwiseTokenizer:
     The memory is bounded: at ``most`` words, or 32 MB of them, it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
