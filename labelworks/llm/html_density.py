@@ -46,7 +46,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "dropped", "kids", "link_chars", "link_tags", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "density", "dropped", "kids", "link_chars", "link_tags", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
