@@ -3,10 +3,15 @@
 Each node of the page's tree gets a density: its characters per tag, lowered where much of its text is link text or many
 of its tags are links, against the share of links in the whole body. A node's density sum adds the densities of its
 children. The node with the largest sum tells the threshold: the least density on its way up to the body. From the body
-down, a node at or above the threshold is content, and of its subtree the node with the largest density sum is taken.
+down, of each subtree whose top is at or above the threshold the node with the largest density sum is content, and the
+walk goes on with the children, so that text in several wrappers is found in each. The log of the density grows with a
+node's size; so a wrapper of several texts with no larger share of links than the body also passes by its characters per
+tag alone. A chosen node brings the article around it, the one with the largest sum else the main element around it, and
+an inline one the running text that it stands in.
 
 Scripts, styles, forms and page furniture (menus, sidebars, notices, adverts, reader comments, and headers and footers
-outside an article), known by tag, role, class or id, are never counted nor printed.
+outside an article), known by tag, role, class or id, are never counted nor printed. Inside an article or main element,
+ids that may as well name a chapter (discussion, legal, related, ...) do not tell furniture.
 Text: character references are decoded, white space inside a block becomes one blank, blocks are joined by an empty line.
 
 Edge cases: a null or empty page, and one without text, gives an empty text; unclosed, misnested and unknown tags are
@@ -42,6 +47,10 @@ FURNITURE = re.compile(
     r"comments?|comment-?list|reader-?comments?|discussion|disqus|repl(?:y|ies)|share|sharing|social|related|recommend\w*|widgets?|login|search|pagination|pager|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+#: Words of FURNITURE that tell furniture by an id inside an article too.
+SURE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|popup|newsletter|nav|navbar|breadcrumbs?|side-?bars?|foot(?:er)?|masthead|site-?header|page-?header|comments?|comment-?list|reader-?comments?|disqus|pagination|pager)(?:$|[\s_-])", re.I
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
@@ -62,7 +71,8 @@ def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and FURNITURE.search(value) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
+        words = SURE if name == "id" and inside_article else FURNITURE
+        if name in ("class", "id") and words.search(value) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
     return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None
 
@@ -158,20 +168,45 @@ def measure(root: Node) -> Node:
     return body
 
 
+def _plain(n: Node) -> float:
+    return n.chars / max(n.tags, 1)
+
+
+def _around(n: Node, body: Node, tags: tuple[str, ...]) -> Node:
+    """The innermost of these elements around a node; else the node with the text that runs through it."""
+    up = n
+    while up is not body and up.tag not in tags:
+        up = up.parent
+    if up.tag in tags:
+        return up
+    while n is not body and n.tag not in BLOCK and n.parent is not body and any(isinstance(k, str) and k.strip() for k in n.parent.kids):
+        n = n.parent
+    return n
+
+
 def content(body: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
     nodes = _order(body)
     best = max(nodes, key=lambda n: n.total, default=body)
-    threshold, up = best.density, best
-    while up is not body and up is not None:
-        threshold, up = min(threshold, up.density), up.parent
-    threshold = min(threshold, body.density)
+    threshold, plain, up = best.density, _plain(best), best
+    while up is not body:
+        up = up.parent
+        threshold, plain = min(threshold, up.density), min(plain, _plain(up))
+    # The node with the largest sum of each subtree, found from the leaves up; the first of equals.
+    most: dict[Node, Node] = {}
+    for n in reversed(nodes):
+        most[n] = max([n, *(most[k] for k in n.kids if isinstance(k, Node) and not k.dropped)], key=lambda x: x.total)
+    chosen = set()
+    for n in nodes:
+        wrapper = sum(isinstance(k, Node) and not k.dropped and k.chars > 0 for k in n.kids) > 1
+        alike = wrapper and n.link_chars * body.chars <= body.link_chars * n.chars and _plain(n) >= plain
+        if n.density > 0 and (n.density >= threshold or alike):
+            chosen.add(_around(most[n], body, ("article", "main") if most[n] is best else ("article",)))
     out, stack = [], [body]
     while stack:
         n = stack.pop()
-        if n.density >= threshold and n.density > 0:
-            inside = _order(n)
-            out.append(max(inside, key=lambda x: x.total) if n is not best else best)
+        if n in chosen:
+            out.append(n)
         else:
             stack += [k for k in reversed(n.kids) if isinstance(k, Node) and not k.dropped]
     return out

@@ -186,6 +186,25 @@ def test_main_text(given, text):
     assert html_density.main_text(given) == text
 
 
+def words(n, of="abcd "):
+    return (of * n)[:n].strip()
+
+
+@pytest.mark.parametrize(("given", "lost", "kept"), [
+    # Two wrappers side by side, of equal and of unequal size.
+    ("<section>" + f"<p>{words(99, 'left ')}</p>" * 4 + "</section><section>" + f"<p>{words(99, 'right ')}</p>" * 4 + "</section>", (), ("left", "right")),
+    ("<ul><li><a href=x>elsewhere</a></li><li><a href=y>elsewhere</a></li></ul><div>" + f"<p>{words(99, 'left ')}</p>" * 3 + "</div><div>" + f"<p>{words(120, 'right ')}</p>" * 7 + "</div>", ("elsewhere",), ("left", "right")),
+    # A heading beside the content.
+    ("<div><a href=x>elsewhere</a></div><article><h1>Title</h1><div>" + f"<p>{words(99, 'text ')}</p>" * 6 + "</div></article>", ("elsewhere",), ("Title", "text")),
+    ("<div><a href=x>elsewhere</a></div><main><h1>Title</h1><div>" + f"<p>{words(99, 'text ')}</p>" * 6 + "</div></main>", ("elsewhere",), ("Title", "text")),
+    # A chapter's id inside an article, and furniture of the same name outside.
+    (f"<div id=discussion><p>{words(99, 'rude ')}</p></div><article><p>{words(99, 'text ')}</p><section id=discussion><p>{words(99, 'chapter ')}</p></section><div id=reader-comments><p>{words(99, 'rude ')}</p></div></article>", ("rude",), ("text", "chapter")),
+])
+def test_main_text_in_several_places(given, lost, kept):
+    text, whole = html_density.main_text(page(given)), re.sub("<[^>]*>", " ", given)
+    assert {w: text.count(w) for w in (*kept, *lost)} == {w: whole.count(w) for w in kept} | dict.fromkeys(lost, 0)
+
+
 def test_deep_pages_do_not_overflow():
     assert html_density.main_text("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
 
