@@ -108,14 +108,14 @@ class Matcher:
             at, found = fingerprints(hashes, owner)
             at, found = at[at < last], found[at < last]
             there, first, after = self._lookup(self.found, found)
-            tried: set[tuple[int, int]] = set()
+            tried: set[tuple[int, int, int]] = set()
             for p, a, b in zip(at[there].tolist(), first.tolist(), after.tolist(), strict=True):
                 for j in range(a, b):
-                    item, shift = int(self.item[j]), p - int(self.place[j])
-                    if (item, shift) in tried:
+                    t, item, shift = int(owner[p]), int(self.item[j]), p - int(self.place[j])
+                    if (t, item, shift) in tried:
                         continue
-                    tried.add((item, shift))
-                    words, t = self.words[item], int(owner[p])
+                    tried.add((t, item, shift))
+                    words = self.words[item]
                     lo, hi = max(int(bounds[t]), shift), min(int(bounds[t + 1]), shift + len(words))
                     same = np.concatenate([[False], hashes[lo:hi] == words[lo - shift : hi - shift], [False]])
                     turns = np.flatnonzero(same[1:] != same[:-1])

@@ -104,6 +104,13 @@ def test_winnowing_equals_brute_force(texts, items):
         assert (int(n[i]), sorted({int(x) for h in mine for x in h[2]}), {h[1] for h in mine}) == (size, hit, own)
 
 
+def test_winnowing_of_an_item_split_over_neighbours():
+    words = [f"w{i}" for i in range(75)]
+    texts = ["a b c " + " ".join(words[:30]), " ".join(words[30:60]), " ".join(words[60:]) + " d"]
+    n, hits = decontaminate.Matcher([("i", " ".join(words).encode())]).match([t.encode() for t in texts])
+    assert n.tolist() == [33, 30, 16] and sorted((t, item, at.tolist()) for t, item, at in hits) == [(0, 0, list(range(3, 33))), (1, 0, list(range(30))), (2, 0, list(range(15)))]
+
+
 def test_word_hashes_depend_on_words_alone(monkeypatch):
     texts = [b"one two, ONE", b"", "é one".encode(), b"two"]
     h, owner, starts, ends = WordHasher(decontaminate.word_bytes())(texts)
