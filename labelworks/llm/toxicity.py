@@ -2,8 +2,8 @@
 
 A document's features are the distinct buckets of its words, word pairs and pairs with one word between. The learner
 keeps for each bucket the sums z and n of FTRL-proximal: a rate of its own per coordinate, and L1 so that most weights are
-exactly 0. It learns on at most ``most_rows`` labelled rows (a documented bound: they are chosen by a hash of the id), in
-shards of ``rows_of_shard`` rows side by side whose weights are averaged. The weights that are not 0 are broadcast as two short arrays.
+exactly 0. It learns on at most ``most_rows`` labelled rows (a documented bound: they are chosen by a hash of the id). One
+learner sees them all, whatever their number. The weights that are not 0 are broadcast as two short arrays.
 
 Scoring covers whole texts. Edge cases: a null or empty text has only the intercept; null labels are not learned from;
 a null doc id is scored, never learned from and not held out; with no labelled rows every score is 0.5; with repeated
@@ -63,10 +63,10 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _learn_shard(rows: pd.DataFrame, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> pd.DataFrame:
-    """FTRL-proximal over the rows of a shard, in the order of their hash; the weights that are not 0, bucket -1 the intercept."""
+def _learn(rows: pd.DataFrame, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> pd.DataFrame:
+    """FTRL-proximal over the rows, in the order of their hash; the weights that are not 0, bucket -1 the intercept."""
     rows = rows.sort_values("turn", kind="stable")
-    xs = [np.concatenate([np.frombuffer(b, np.int32), [1 << BITS]]) for b in rows["x"]]
+    xs = rows["x"].to_numpy()
     ys = rows["y"].to_numpy(float)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -75,7 +75,8 @@ def _learn_shard(rows: pd.DataFrame, epochs: int, alpha: float, beta: float, l1:
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     for _ in range(epochs):
-        for x, y in zip(xs, ys, strict=True):
+        for b, y in zip(xs, ys, strict=True):
+            x = np.concatenate([np.frombuffer(b, np.int32), [1 << BITS]])
             w = weights(x)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
             g = p - y
@@ -88,13 +89,12 @@ def _learn_shard(rows: pd.DataFrame, epochs: int, alpha: float, beta: float, l1:
     return pd.DataFrame({"bucket": np.where(at == 1 << BITS, -1, at), "weight": w[at]})
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, kept_out: int = 1, most_rows: int = MOST_ROWS, rows_of_shard: int = 14_000, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> FtrlModel:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, kept_out: int = 1, most_rows: int = MOST_ROWS, epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> FtrlModel:
     """Learn from labelled rows of the training folds, at most about ``most_rows`` of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, kept_out))
     total = known.count()
     turn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
     share = min(1.0, most_rows / max(total, 1))
-    shards = max(1, round(total * share / rows_of_shard))
     # At most about most_rows ids of 16 bytes: small enough to broadcast, so that no text is shuffled but the sample's features.
     sample = known.withColumn("turn", turn).where(F.col("turn") < int(share * (1 << 30)))
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
@@ -110,8 +110,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
                 yield pa.record_batch([part.column("turn"), part.column("y"), pa.array(xs, pa.binary())], names=["turn", "y", "x"])
 
     rows = chosen.select("text", "turn", "y").mapInArrow(extract, "turn long, y int, x binary")
-    learned = rows.groupBy((F.col("turn") % shards).alias("shard")).applyInPandas(lambda pdf: _learn_shard(pdf, epochs, alpha, beta, l1, l2), "bucket long, weight double")
-    got = learned.groupBy("bucket").agg((F.sum("weight") / shards).alias("weight")).toPandas().sort_values("bucket")
+    # One group: the sample is bounded, and averaged weights of several learners would depend on their number.
+    learned = rows.groupBy(F.lit(0).alias("learner")).applyInPandas(lambda pdf: _learn(pdf, epochs, alpha, beta, l1, l2), "bucket long, weight double")
+    got = learned.toPandas().sort_values("bucket")
     is_bias = got["bucket"] < 0
     return FtrlModel(got.loc[~is_bias, "bucket"].to_numpy(np.int64), got.loc[~is_bias, "weight"].to_numpy(np.float32), float(got.loc[is_bias, "weight"].sum()))
 

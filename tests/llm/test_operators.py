@@ -112,6 +112,18 @@ def labelled_texts(spark, n=400):
     return spark.createDataFrame(rows, "doc_id long, toxic_text string, quality_text string, bad int, lang string")
 
 
+def test_toxicity_has_one_learner_at_every_size(spark):
+    rows = [(i, f"w{i % 7} w{i % 11}" + (" bad" if i % 5 == 0 else "") + (" rare" if i % 1000 == 0 else ""), int(i % 5 == 0)) for i in range(33_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d, d.select("doc_id", "toxic"), epochs=1)
+    turn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
+    known = d.where(~toxicity.held_out("doc_id", 3, 1)).select(turn.alias("turn"), "text", F.col("toxic").alias("y")).toPandas()
+    known["x"] = [np.unique(np.concatenate([b for b, _ in toxicity.features([t.encode()])])).astype(np.int32).tobytes() for t in known["text"]]
+    once = toxicity._learn(known, 1, 1.0, 1.0, 4.0, 0.0).sort_values("bucket")
+    assert len(known) > 21_000 and once["bucket"].tolist() == [-1, *model.at.tolist()]
+    assert np.allclose(once["weight"], [model.intercept, *model.weight], rtol=1e-3, atol=1e-5)
+
+
 def test_toxicity(spark, docs, empty):
     t = labelled_texts(spark)
     d = t.select("doc_id", F.col("toxic_text").alias("text"))
