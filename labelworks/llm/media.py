@@ -188,9 +188,12 @@ def feature(stream: Stream) -> str:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Decode the column ``media``: payload size and digests, and a feature; doc_id and n_bytes stay."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """Decode the column ``media``: payload size and digests, a feature, and what to seek by; doc_id and n_bytes stay.
+
+    ``stamps`` are the units' time stamps in clock ticks, ``random_points`` the numbers of the packets to start reading from.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps", "random_points"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +201,11 @@ def read_media(media: DataFrame) -> DataFrame:
                 rows = []
                 for raw in part.column("media").to_pylist():
                     s = decode_stream(raw)
-                    rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s)))
+                    rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s), s.stamps, s.random_points))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, random_points array<long>")
 
 
 def op6_query(documents: DataFrame) -> DataFrame:
-    return read_media(stored(to_media(documents), "media", compression="zstd"))
+    return read_media(stored(to_media(documents), "media", compression="zstd")).drop("stamps", "random_points")

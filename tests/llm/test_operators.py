@@ -172,6 +172,19 @@ def test_media(docs, empty):
     assert len(same) == 1 and media.op6_query(empty).count() == 0
 
 
+def test_media_index_to_seek_by(spark):
+    docs = spark.createDataFrame([(1, "a" * 30_000), (2, None)], "doc_id long, text string")
+    streams = media.to_media(docs)
+    raw = {r.doc_id: bytes(r.media) for r in streams.collect()}
+    for r in media.read_media(streams).collect():
+        units = -(-r.payload_bytes // media.UNIT_BYTES)
+        assert len(r.stamps) == units and r.stamps == sorted(set(r.stamps)) and len(r.random_points) == -(-units // media.RANDOM_EVERY)
+        for k, n in enumerate(r.random_points):
+            packet = raw[r.doc_id][media.PACKET * n :][: media.PACKET]
+            t = packet[5 + packet[4] :][9:14]
+            assert packet[5] & 0x40 and (t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1 == r.stamps[k * media.RANDOM_EVERY]
+
+
 def test_main_text_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>a", "x"), (2, None, "<p>a", "x")], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_density.op7_query(pages).collect())) == sorted(["Row(page_id=1, url='u', text='', n_chars=0)"] + ["Row(page_id=2, url=None, text='a', n_chars=1)"] * 2)
