@@ -4,19 +4,26 @@ A document is the set of its distinct 5-word shingles. Shingles are hashed into
 number of shingles in each group. For any two documents the sum of the smaller coordinates is at least their overlap,
 and a Jaccard similarity of 0.8 needs an overlap of 4/9 of both sizes' sum: pairs that the sum rules out are never
 compared. The points are held in R-trees: a node keeps the largest coordinates and the range of sizes below it, which
-bounds the overlap with everything in it. Pairs that survive are verified on the shingles themselves.
+bounds the overlap with everything in it, and a tree is joined with itself node by node. Pairs that survive are verified
+on the shingles themselves.
 
 The join is dealt out by shingles, without losing a pair: in one fixed order of all shingles two linked documents share
-one among the first n - ceil(0.8 n) + 1 of each. Common shingles (in 0.1 % of documents or more; there are at most 1,000
-times the mean size of a set of them) come last in that order, so that a passage that many documents share deals nothing
-together. The order decides only the cost. In each shingle's cell
+one among the first n - ceil(0.8 n) + 1 (the prefix) of each. The order decides only the cost: shingles go by their hash,
+those of 0.1 % of the documents or more after the others (at most 1,000 times the mean size of a set of them), and those
+that more than MOST_MEMBERS documents have among their first ones at the very end. Each document deals out a quarter more
+than its prefix, so that it can give up shingles of the last kind. Then
 
 1. documents with equal sets count as one, the smallest id;
-2. each member is compared with the cell's smallest id: this links a group of copies by as many pairs as it has members;
-3. cells whose members are now in different components, and only those, search an R-tree for the remaining pairs.
+2. each member of a shingle's cell is compared with the cell's smallest id: this links a group of copies by as many pairs
+   as it has members;
+3. cells whose members are now in different components, and only those, search an R-tree for the remaining pairs. They
+   have MOST_MEMBERS members at most. Documents that would have to give up more than they have dealt out (families of
+   near copies, in the main) meet all others in the order before that, in cells of any size, cut into blocks that meet
+   two by two. A pair is passed over where both had the same cell just before, as it was met there, and where the
+   shingles behind their places in both prefixes are too few.
 
 Components of the links are found by contraction, in tables. Sets are only made of documents in a surviving pair, from
-their texts; texts are never shuffled by content.
+their texts; texts are never shuffled by content, and pairs of one document with many others are spread over tasks.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than five words
 are one shingle; documents with the same id are one document; a null id is linked with nothing and has a null component.
@@ -35,7 +42,13 @@ from pyspark.sql.window import Window
 
 from .common import WordHasher, bytes_of, pieces, rolling, stored
 
-WORDS, GROUPS, LEAF, FAN = 5, 64, 32, 8
+WORDS, GROUPS, LEAF, FAN = 5, 64, 16, 8
+#: A cell with more members gives up its shingle; only documents that cannot do without it meet there.
+MOST_MEMBERS = 64
+#: Rows of a block of a large cell; two blocks meet in one task.
+BLOCK = 2_048
+#: Pairs of one document that one task verifies; more are spread over tasks, and the document with them.
+MOST_PAIRS = 256
 #: Ids that a semi-join may broadcast (8 MB of them); more are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 COMMON_SHARE = 0.001
@@ -97,6 +110,16 @@ def fine_overlap(a: bytes, na: int, b: bytes, nb: int) -> int:
     return int(np.minimum(x, y).sum())
 
 
+def overlap_bound(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Sum of the smaller coordinates of rows i of x and rows j of y."""
+    return np.concatenate([np.empty(0, np.int64), *(np.minimum(x[i[k : k + step]], y[j[k : k + step]]).sum(1) for k in range(0, len(i), step))])
+
+
+def prefix_length(n: int) -> int:
+    """Shingles of a set of n, in the fixed order, among which a linked one has a shingle too."""
+    return n + 1 - -(-4 * n // 5) if n else 0
+
+
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Least overlap that links sets of these sizes: 100 i >= 80 (na + nb - i)."""
     return -(-4 * (na + nb) // 9)
@@ -126,29 +149,39 @@ class CountTree:
             starts = np.arange(0, len(hi), FAN)
             self.levels.append((np.maximum.reduceat(hi, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)))
 
-    def search(self, q: np.ndarray, n: int) -> np.ndarray:
-        """Rows whose count vector does not rule out a link with the point q of size n."""
-        low, high = -(-4 * n // 5), 5 * n // 4
-        at = np.arange(len(self.levels[-1][0]))
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of leaves, the first one not after the second, whose bounds do not rule out a link between their rows."""
+        a, b = np.triu_indices(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            hi, least, most = (x[at] for x in self.levels[depth])
-            fits = (most >= low) & (least <= high)
-            fits &= np.minimum(hi, q).sum(1) >= needed(np.maximum(least, low), n)
-            at = at[fits]
-            if not len(at):
-                return at
+            hi, least, most = self.levels[depth]
+            fits = (5 * most[a] >= 4 * least[b]) & (5 * most[b] >= 4 * least[a])
+            a, b = a[fits], b[fits]
+            fits = overlap_bound(hi, hi, a, b) >= needed(least[a], least[b])
+            a, b = a[fits], b[fits]
             if depth:
-                at = (at[:, None] * FAN + np.arange(FAN)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        rows = np.concatenate([self.leaves[i] for i in at])
-        sizes = self.sizes[rows]
-        fits = (sizes >= low) & (sizes <= high)
-        fits &= np.minimum(self.points[rows], q).sum(1) >= needed(sizes, n)
-        return rows[fits]
+                x, y = np.broadcast_arrays(a[:, None, None] * FAN + np.arange(FAN)[:, None], b[:, None, None] * FAN + np.arange(FAN))
+                x, y = x.ravel(), y.ravel()
+                fits = (x <= y) & (y < len(self.levels[depth - 1][0]))
+                a, b = x[fits], y[fits]
+        return a, b
+
+    def row_pairs(self, leaf_pairs: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of joined leaves, two by two, in steps of bounded size."""
+        rows = np.full((len(self.leaves), max(map(len, self.leaves))), -1)
+        for k, leaf in enumerate(self.leaves):
+            rows[k, : len(leaf)] = leaf
+        a, b = self.joined()
+        place = np.arange(rows.shape[1])
+        for lo in range(0, len(a), leaf_pairs):
+            x, y = a[lo : lo + leaf_pairs], b[lo : lo + leaf_pairs]
+            i, j = np.broadcast_arrays(rows[x][:, :, None], rows[y][:, None, :])
+            fits = (i >= 0) & (j >= 0) & ((x < y)[:, None, None] | (place[:, None] < place))
+            yield i[fits], j[fits]
 
 
 def _describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
-    """A row per document: doc_id, n_shingles, a digest of the set, the count vector and the first shingles."""
+    """A row per document: doc_id, n_shingles, a digest of the set, the count vectors, the first shingles (a quarter more
+    than the prefix) and how many of these aren't common."""
     shared = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,20 +194,23 @@ def _describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
                     groups = fine_groups(n)
                     counts = np.bincount(s & (groups - 1), minlength=groups)
                     points, fine = pack_points(counts.reshape(-1, GROUPS).sum(0)), pack_points(counts)
-                    first = n - -(-4 * n // 5) + 1 if n else 0
+                    key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    first, rare = min(n, -(-5 * prefix_length(n) // 4)), n
                     if len(often) and n:
                         late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                        s = np.concatenate([s[~late], s[late]]) if late.any() else s
-                    rows.append((n, hashlib.blake2b(np.sort(s).tobytes() if len(often) else s.tobytes(), digest_size=16).digest(), points, fine, s[:first]))
-                n, key, points, fine, first = zip(*rows, strict=True)
+                        rare = n - int(late.sum())
+                        s = np.concatenate([s[~late], s[late]]) if rare < n else s
+                    rows.append((n, key, points, fine, s[:first], min(rare, first)))
+                n, key, points, fine, first, rare = zip(*rows, strict=True)
                 lengths = np.cumsum([0, *map(len, first)]).astype(np.int32)
-                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(first), pa.int64()))], names=["doc_id", "n_shingles", "key", "points", "fine", "first"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(first), pa.int64())), pa.array(rare, pa.int32())], names=["doc_id", "n_shingles", "key", "points", "fine", "first", "rare"])
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, key binary, points binary, fine binary, first array<bigint>")
+    return documents.mapInArrow(run, "doc_id long, n_shingles long, key binary, points binary, fine binary, first array<bigint>, rare int")
 
 
-def common_shingles(documents: DataFrame, share: float = COMMON_SHARE, step: int = 2_000_000) -> np.ndarray:
-    """Sorted shingles seen in at least ``share`` of all documents, counting those that are frequent where they were read."""
+def common_shingles(documents: DataFrame, step: int = 2_000_000) -> np.ndarray:
+    """Sorted shingles seen in COMMON_SHARE of all documents at least, counting those that are frequent where they were read."""
+    share = COMMON_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -237,9 +273,26 @@ def _verified(pairs: DataFrame, documents: DataFrame, points: DataFrame) -> Data
             kept = [5 * min(x, y) >= 4 * max(x, y) and fine_overlap(p, x, q, y) >= needed(x, y) for p, q, x, y in zip(a, b, na, nb, strict=True)]
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    left = points.select(F.col("id").alias("a"), F.col("fine").alias("fa"), F.col("n_shingles").alias("na"))
-    right = points.select(F.col("id").alias("b"), F.col("fine").alias("fb"), F.col("n_shingles").alias("nb"))
-    pairs = stored(pairs.join(left, "a").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "fa", "fb", "na", "nb").mapInArrow(bounded, "a long, b long"), "pairs")
+    ends = pairs.select("a").unionAll(pairs.select("b")).groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "id")
+    ends = stored(ends, "pair-ids")
+    many = ends.where(F.col("n") > MOST_PAIRS).select("id", F.ceil(F.col("n") / MOST_PAIRS).cast("int").alias("parts"))
+    spread = many.count()
+
+    def attach(rows: DataFrame, side: DataFrame, end: str, other: str) -> DataFrame:
+        """``rows`` with the columns of ``side`` (id, ...) for their ``end``; one with many pairs goes to several tasks."""
+        side = side.withColumnRenamed("id", end)
+        if not spread:
+            return rows.join(side, end)
+        parts = many.withColumnRenamed("id", end)
+        parts = F.broadcast(parts) if spread <= MOST_BROADCAST_IDS else parts
+        rows = rows.join(parts, end, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), "parts").cast("int"), F.lit(0))).drop("parts")
+        side = side.join(parts, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return rows.join(side, [end, "part"]).drop("part")
+
+    vectors = points.select("id", "fine", "n_shingles")
+    found = attach(pairs, vectors.withColumnsRenamed({"fine": "fa", "n_shingles": "na"}), "a", "b")
+    found = attach(found, vectors.withColumnsRenamed({"fine": "fb", "n_shingles": "nb"}), "b", "a")
+    pairs = stored(found.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "fa", "fb", "na", "nb").mapInArrow(bounded, "a long, b long"), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
     few = ids.count() <= MOST_BROADCAST_IDS
 
@@ -251,52 +304,54 @@ def _verified(pairs: DataFrame, documents: DataFrame, points: DataFrame) -> Data
                 yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(sets), pa.int64()))], names=["id", "s"])
 
     sets = stored(documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(make, "id long, s array<bigint>"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    joined = attach(attach(pairs, sets.withColumnRenamed("s", "sb"), "b", "a"), sets.withColumnRenamed("s", "sa"), "a", "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return joined.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * 80).select("a", "b").distinct()
 
 
-def cell_pairs(token: np.ndarray, ids: np.ndarray, component: np.ndarray, own: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller id, larger id) of different components that the count vectors don't rule out, in each cell.
+CELL_ROWS = "cell long, id long, component long, own boolean, side int, probe boolean, place int, before long, points binary"
 
-    Rows of a cell stand together. A cell of at most LEAF rows is one leaf; leaves of many cells are scanned at once.
-    Guests (not ``own``) are only compared with the cell's own members.
+
+def cell_pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller id, larger id) that may be linked, of each cell of a table of CELL_ROWS, in steps of bounded size.
+
+    Rows of a cell stand together. A pair needs one row that is its cell's own, one that is a probe, rows of both sides in
+    a cell of two blocks (side 2: one block), and different components. Leaves of many small cells are scanned at once.
     """
+    cell, ids, component, own, side, probe, place = (rows.column(c).to_numpy() for c in ("cell", "id", "component", "own", "side", "probe", "place"))
+    before, first = rows.column("before").fill_null(0).to_numpy(), rows.column("before").is_null().to_numpy()
+    points = unpack_points(rows.column("points").to_pylist())
     sizes = points.sum(1)
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
-    lengths = np.diff(np.append(starts, len(token)))
-    found_a, found_b = [], []
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+    lengths = np.diff(np.append(starts, len(cell)))
 
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        fits = (own[i] | own[j]) & (component[i] != component[j]) & (5 * np.minimum(sizes[i], sizes[j]) >= 4 * np.maximum(sizes[i], sizes[j]))
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fits = (component[i] != component[j]) & (own[i] | own[j]) & (probe[i] | probe[j]) & ((side[i] == 2) | (side[i] != side[j]))
+        fits &= first[i] | first[j] | (before[i] != before[j])
         i, j = i[fits], j[fits]
-        for lo in range(0, len(i), 50_000):
-            x, y = i[lo : lo + 50_000], j[lo : lo + 50_000]
-            fits = np.minimum(points[x], points[y]).sum(1) >= needed(sizes[x], sizes[y])
-            found_a.append(ids[x[fits]])
-            found_b.append(ids[y[fits]])
+        # What both have from here on in the order has to suffice.
+        fits = 9 * np.minimum(sizes[i] - place[i], sizes[j] - place[j]) >= 4 * (sizes[i] + sizes[j])
+        i, j = i[fits], j[fits]
+        fits = overlap_bound(points, points, i, j) >= needed(sizes[i], sizes[j])
+        a, b = ids[i[fits]], ids[j[fits]]
+        return np.minimum(a, b), np.maximum(a, b)
 
     for m in np.unique(lengths).tolist():
-        first = starts[lengths == m]
+        begins = starts[lengths == m]
         if 1 < m <= LEAF:
             i, j = np.triu_indices(m, 1)
-            per = max(1, 500_000 // len(i))
-            for lo in range(0, len(first), per):
-                base = first[lo : lo + per, None]
-                keep((base + i).ravel(), (base + j).ravel())
+            per = max(1, 100_000 // len(i))
+            for lo in range(0, len(begins), per):
+                base = begins[lo : lo + per, None]
+                yield kept((base + i).ravel(), (base + j).ravel())
         elif m > LEAF:
-            for a in first.tolist():
-                tree = CountTree(points[a : a + m], sizes[a : a + m])
-                for i in np.flatnonzero(own[a : a + m]).tolist():
-                    j = tree.search(points[a + i], int(sizes[a + i]))
-                    j = j[(j > i) | ~own[a + j]]
-                    keep(np.full(len(j), a + i), a + j)
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
-    return np.minimum(a, b), np.maximum(a, b)
+            for at in begins.tolist():
+                for i, j in CountTree(points[at : at + m], sizes[at : at + m]).row_pairs():
+                    yield kept(at + i, at + j)
 
 
 def _tree_pairs(cells: DataFrame) -> DataFrame:
-    """Candidate pairs of different components in each (token, size class)."""
+    """Candidate pairs of ``cells`` (kind, token, id, n, component, probe, place, before, members, points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -309,24 +364,85 @@ def _tree_pairs(cells: DataFrame) -> DataFrame:
             # The last cell may go on in the next batch.
             last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
             if last:
-                yield pairs_of(held.slice(0, last))
+                yield from found(held.slice(0, last))
                 held = held.slice(last).combine_chunks()
         if held is not None:
-            yield pairs_of(held)
-
-    def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        a, b = cell_pairs(t.column("cell").to_numpy(), t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("own").to_numpy(zero_copy_only=False), unpack_points(t.column("points").to_pylist()))
-        own = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-        return pa.record_batch([pa.array(own[0]), pa.array(own[1])], names=["a", "b"])
+            yield from found(held)
+
+    def found(rows: pa.Table, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+        steps: list[np.ndarray] = []
+        size = 0
+        for a, b in cell_pairs(rows):
+            steps.append(np.stack([a, b]))
+            size += len(a)
+            if size > most:
+                yield batch_of(steps)
+                steps, size = [], 0
+        if size:
+            yield batch_of(steps)
+
+    def batch_of(steps: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(steps, axis=1), axis=1)
+        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     # Linked sizes differ by a factor of 1.25 at most: each document is in its own class, and a guest of the next smaller one.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    places = F.array(F.struct(F.col("c").alias("c"), F.lit(True).alias("own")), F.struct((F.col("c") - 1).alias("c"), F.lit(False).alias("own")))
-    dealt = cells.withColumn("c", size_class).select("token", "id", "component", "points", F.explode(places).alias("x"))
-    dealt = dealt.select(F.xxhash64("token", "x.c").alias("cell"), "id", "component", "points", "x.own").repartition("cell").sortWithinPartitions("cell")
+    classes = F.array(F.struct(size_class.alias("c"), F.lit(True).alias("own")), F.struct((size_class - 1).alias("c"), F.lit(False).alias("own")))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.explode(classes))
+    side = F.when(F.col("block") == F.col("meets"), 2).otherwise((F.col("block") > F.col("meets")).cast("int"))
+    cell = F.xxhash64("kind", "token", "x.c", F.least("block", "meets"), F.greatest("block", "meets"))
+    dealt = dealt.select(cell.alias("cell"), "id", "component", "x.own", side.alias("side"), "probe", "place", "before", "points").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _cells(singles: DataFrame) -> DataFrame:
+    """token, place, id, n, members, hub and hub_n of each first shingle that several sets have."""
+    posts = singles.select(F.posexplode("first").alias("place", "token"), "id", F.col("n_shingles").cast("int").alias("n"), "rare")
+    hub, members = F.min(F.struct("id", "n")), F.count("*")
+    cell = Window.partitionBy("token")
+    rare = posts.where("place < rare").withColumn("hub", hub.over(cell)).withColumn("members", members.over(cell))
+    # A common shingle may be in a third of all rows: these are counted on the map side first.
+    common = posts.where("place >= rare")
+    counted = stored(common.groupBy("token").agg(hub.alias("hub"), members.alias("members")), "common-cells")
+    few = counted.count() <= MOST_BROADCAST_IDS
+    common = common.join(F.broadcast(counted) if few else counted, "token")
+    names = ["token", "place", "id", "n", "members", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")]
+    return rare.select(*names).unionAll(common.select(*names)).where("members > 1")
+
+
+def _search_rows(cells: DataFrame, singles: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of ``cells`` that still have to be searched, as ``_tree_pairs`` takes them.
+
+    Kind 0: the prefixes of documents that can give up the shingles of large cells. Kind 1: the prefixes of all documents in
+    the order before that, in cells of the others (probes). Documents whose id has several sets are probes, too.
+    """
+    large = cells.where(F.col("members") > MOST_MEMBERS).select("id", "n", "place", F.lit(False).alias("several"))
+    several = singles.groupBy("id").agg(F.count("*").alias("k"), F.max("n_shingles").cast("int").alias("n")).where("k > 1")
+    told = large.unionByName(several.select("id", "n", F.lit(None).cast("int").alias("place"), F.lit(True).alias("several")))
+    told = told.groupBy("id").agg(F.sort_array(F.collect_list("place")).alias("given"), F.max("several").alias("several"), F.max("n").alias("most"))
+    prefix = lambda n: n + 1 - F.ceil(4 * n / 5)
+    dealt = lambda n: F.least(n, F.ceil(5 * prefix(n) / 4))
+    told = told.select("id", "given", "several", (F.col("several") | (dealt(F.col("most")) - F.size("given") < prefix(F.col("most")))).alias("probe"))
+    rows = cells.select("token", "place", "id", "n", "members").join(near, "id", "left").join(told, "id", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "id")).withColumn("probe", F.coalesce("probe", F.lit(False))).withColumn("several", F.coalesce("several", F.lit(False)))
+    # Places in the two orders; null where the row isn't of that kind.
+    given = F.coalesce(F.size(F.filter("given", lambda x: x < F.col("place"))), F.lit(0))
+    rows = rows.withColumn("place0", F.when(~F.col("probe") & (F.col("members") <= MOST_MEMBERS) & (F.col("place") - given < prefix(F.col("n"))), F.col("place") - given))
+    rows = rows.withColumn("place1", F.when(F.col("place") < prefix(F.col("n")), F.col("place")))
+    rows = stored(rows.where("place0 is not null or place1 is not null").select("token", "id", "component", "probe", "several", "place0", "place1"), "prefix-rows")
+    # Only cells of different components, and of kind 1 only those with a probe.
+    state = rows.groupBy("token").agg(*[F.expr(f"{how}(if(place{kind} is not null, component, null))").alias(f"{name}{kind}") for kind in (0, 1) for how, name in (("min", "lo"), ("max", "hi"), ("count", "m"))], F.max(F.col("probe") & F.col("place1").isNotNull()).alias("asked"))
+    state = state.select("token", F.expr("if(lo0 <> hi0, m0, null)").alias("m0"), F.expr("if(asked and lo1 <> hi1, m1, null)").alias("m1")).where("m0 is not null or m1 is not null")
+    kinds = F.array(*[F.when(F.col(f"place{k}").isNotNull() & F.col(f"m{k}").isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(f"place{k}").alias("place"), F.col(f"m{k}").alias("members"))) for k in (0, 1)])
+    rows = rows.join(state, "token").select("token", "id", "component", "probe", "several", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("as"))
+    rows = rows.select("as.*", "token", "id", "component", "probe", "several").repartition("id")
+    in_order = Window.partitionBy("kind", "id").orderBy("place")
+    rows = rows.withColumn("before", F.when(~F.col("several"), F.lag("token").over(in_order)))
+    rows = rows.withColumn("probe", F.col("probe") | (F.col("kind") == 0))
+    return rows.join(singles.select("id", "points", F.col("n_shingles").cast("int").alias("n")), "id")
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row (doc_id and text are used)."""
     spark = documents.sparkSession
@@ -339,17 +455,12 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     few = copies.count() <= MOST_BROADCAST_IDS
     later = copies.select("doc_id", "key").distinct()
     singles = known.join(F.broadcast(later) if few else later, ["doc_id", "key"], "left_anti").withColumnRenamed("doc_id", "id")
+    singles = singles.select("id", "n_shingles", "points", "fine", "first", "rare")
     points = stored(singles.select("id", "n_shingles", "points", "fine"), "points")
-    cell = Window.partitionBy("token")
-    posts = singles.select(F.explode("first").alias("token"), "id", F.col("n_shingles").cast("int").alias("n"))
-    cells = posts.withColumn("hub", F.min(F.struct("id", "n")).over(cell)).withColumn("members", F.count("*").over(cell)).where("members > 1")
-    cells = stored(cells.select("token", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "cells")
+    cells = stored(_cells(singles), "cells")
     stars = cells.where("id <> hub and 5 * least(n, hub_n) >= 4 * greatest(n, hub_n)").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_verified(stars, documents, points), "star-links")
-    near = components(links, spark)
-    labelled = cells.select("token", "id", "n").join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.withColumn("lo", F.min("component").over(cell)).withColumn("hi", F.max("component").over(cell)).where("lo <> hi")
-    rest = stored(_tree_pairs(mixed.join(points.select("id", "points"), "id").select("token", "id", "n", "component", "points")), "tree-pairs")
+    links = stored(_verified(stored(stars, "stars"), documents, points), "star-links")
+    rest = stored(_tree_pairs(_search_rows(cells, points, components(links, spark))), "tree-pairs")
     more = _verified(rest, documents, points)
     # Links of documents with equal ids but different sets, and of equal sets, go in as well.
     same = copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))

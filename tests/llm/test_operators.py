@@ -232,9 +232,20 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert set(kept) == {c for _, _, c in expected_components(rows)}
 
 
-def test_cells_larger_than_a_leaf(monkeypatch, spark):
-    monkeypatch.setattr(ngram_join, "LEAF", 4)
-    base = words(7, 60).split()
+@pytest.mark.parametrize("bounds", [{}, {"LEAF": 4}, {"LEAF": 2, "FAN": 2, "MOST_MEMBERS": 3, "BLOCK": 5, "MOST_PAIRS": 4}, {"MOST_MEMBERS": 8, "BLOCK": 3, "COMMON_SHARE": 0.2}])
+def test_large_cells_and_hubs(monkeypatch, spark, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    base, r = words(7, 60).split(), random.Random(3)
     rows = [(i, " ".join(base[:40] + words(50 + i // 3, 25).split() + ([f"x{i}"] if i % 3 else []))) for i in range(60)]
+    for family in range(3):  # families around the threshold, sizes apart, with a passage that all share
+        own = words(300 + family, 90 + 10 * family).split() + base[:20]
+        for k in range(25):
+            w = list(own)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = f"m{r.randrange(10**6)}"
+            rows.append((1000 + 100 * family + k, " ".join(w[: len(w) - r.randint(0, 8)])))
+    rows += [(1003, " ".join(base)), (1003, " ".join(base[:59])), (2000, " ".join(base)), rows[70], rows[70]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(x) for x in ngram_join.jaccard_components(df).collect()} == expected_components(rows)
+    got = {(x.doc_id, x.component_id) for x in ngram_join.jaccard_components(df).collect()}
+    assert got == {(d, c) for d, _, c in expected_components(rows)}
