@@ -6,7 +6,8 @@ Lengths are whole numbers of at most ``capacity`` tokens, so the corpus enters t
 1. the larger lengths are sorted and cut into groups of equal cardinality, and rounded up to their group's largest;
 2. a covering program over configurations of the few rounded sizes is solved by column generation (a knapsack prices
    new configurations) and rounded down; what is left over is placed by best fit;
-3. actual lengths take the rounded ones' places, the longest first;
+3. actual lengths take the rounded ones' places, the longest first, and the last place of a configuration goes to the
+   longest one that still fits; what is left is grouped and solved again;
 4. small lengths go, the largest first, to the sequence with the least room that still holds them.
 
 All four steps work on runs of equal sequences. The plan is a list of (length, ranks, sequences, offset) runs; a piece
@@ -20,7 +21,7 @@ null and repeated doc ids are kept, equal rows get places of their own; an empty
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, stored, texts_of
+from .common import pieces, stored
 from .tokens import tokenizer
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -42,7 +43,7 @@ def cut_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 204
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                ids, counts = tokenizer(tokenizer_path).encode(texts_of(part, "text"))
+                ids, counts = tokenizer(tokenizer_path).encode(part.column("text"))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
                 n = -(-counts // capacity)
@@ -150,91 +151,111 @@ class _Bins:
             n -= each * take
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 24, small_share: float = 1 / 6) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Runs (length, first sequence, sequences, offset) that place every piece, and the number of sequences."""
+def group_sizes(stock: dict[int, int], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded sizes, the largest first, and the number of pieces rounded up to each: groups of equal cardinality, but for
+    pieces of one length, which stay together."""
+    lengths = sorted((s for s, n in stock.items() if n), reverse=True)
+    each = -(-sum(stock[s] for s in lengths) // groups)
+    sizes: list[int] = []
+    demand: list[int] = []
+    for s in lengths:
+        if not sizes or demand[-1] >= each:
+            sizes.append(s)
+            demand.append(0)
+        demand[-1] += stock[s]
+    return np.array(sizes), np.array(demand)
+
+
+class _Stock:
+    """Unplaced large pieces by length."""
+
+    def __init__(self, pieces: dict[int, int]):
+        self.left = {s: n for s, n in pieces.items() if n}
+        self.lengths = sorted(self.left)
+
+    def longest(self, most: int, taken: list[int]) -> int | None:
+        """The longest length of at most ``most`` of which there are more pieces than in ``taken``."""
+        i = bisect_right(self.lengths, most) - 1
+        while i >= 0 and self.left[self.lengths[i]] <= taken.count(self.lengths[i]):
+            i -= 1
+        return self.lengths[i] if i >= 0 else None
+
+    def take(self, chosen: list[int], n: int) -> None:
+        for s in chosen:
+            self.left[s] -= n
+            if not self.left[s]:
+                del self.left[s]
+                self.lengths.remove(s)
+
+
+def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 24, small_share: float = 1 / 6) -> tuple[list[tuple[int, int, int, int]], int, int]:
+    """Runs (length, first sequence, sequences, offset) that place every piece, the number of sequences, and how many of
+    them configurations have opened.
+
+    Configurations are solved for the pieces that are left, up to three times. Each slot of a configuration takes the
+    longest piece of its group, the last slot the longest one that still fits. Then small ones, and the few large ones
+    that rounding down has left over, go by best fit, the largest first.
+    """
     bins = _Bins(capacity)
-    for n in [histogram.get(capacity, 0)]:
-        if n:
-            bins.place(bins.open(n), capacity, capacity, 1)
-    lengths = sorted((s for s in histogram if 0 < s < capacity), reverse=True)
-    large = [s for s in lengths if s > capacity * small_share]
-    total = sum(histogram[s] for s in large)
-    stock: list[list[list[int]]] = []  # of each group: [length, pieces left], the longest first
-    if total:
-        size, bounds = -(-total // groups), []
-        for s in large:
-            n = histogram[s]
-            while n:
-                if not stock or bounds[-1] == 0:
-                    stock.append([])
-                    bounds.append(size)
-                k = min(n, bounds[-1])
-                stock[-1].append([s, k])
-                bounds[-1] -= k
-                n -= k
-        # Groups of one size are one size.
-        merged: dict[int, list[list[int]]] = {}
-        for g in stock:
-            merged.setdefault(g[0][0], []).extend(g)
-        sizes = np.array(sorted(merged, reverse=True))
-        stock = [merged[s] for s in sizes.tolist()]
-        demand = np.array([sum(n for _, n in g) for g in stock])
+    if histogram.get(capacity, 0):
+        bins.place(bins.open(histogram[capacity]), capacity, capacity, 1)
+    stock = _Stock({s: n for s, n in histogram.items() if capacity * small_share < s < capacity})
+    opened = bins.count
+    for _ in range(3):
+        if not stock.left:
+            break
+        sizes, demand = group_sizes(stock.left, groups)
         for column, times in configurations(sizes, demand, capacity):
-            slots = [g for g in np.flatnonzero(column).tolist() for _ in range(int(column[g]))]
+            slots = [int(sizes[g]) for g in np.flatnonzero(column).tolist() for _ in range(int(column[g]))]
             while times:
-                # As many sequences as the present lengths of all slots last.
-                want = column[column > 0]
-                heads = [stock[g][0] for g in np.flatnonzero(column).tolist()]
-                take = int(min(times, *(h[1] // w for h, w in zip(heads, want.tolist(), strict=True))))
-                chosen: list[tuple[int, int]] = []
-                if take == 0:
-                    take = 1
-                for g in slots:
-                    while stock[g][0][1] == 0:
-                        stock[g].pop(0)
-                    chosen.append((stock[g][0][0], take))
-                    stock[g][0][1] -= take
-                    while len(stock[g]) > 1 and stock[g][0][1] == 0:
-                        stock[g].pop(0)
-                run, room = bins.open(take), capacity
-                for s, _ in chosen:
-                    bins.placed.append((s, *run, capacity - room))
-                    room -= s
+                chosen: list[int] = []
+                room = capacity
+                for k, size in enumerate(slots):
+                    s = stock.longest(room if k == len(slots) - 1 else min(size, room), chosen)
+                    if s is not None:
+                        chosen.append(s)
+                        room -= s
+                if not chosen:
+                    break
+                n = min(times, *(stock.left[s] // chosen.count(s) for s in chosen))
+                stock.take(chosen, n)
+                run, at = bins.open(n), 0
+                for s in chosen:
+                    bins.placed.append((s, *run, at))
+                    at += s
                 bins.put(run, room)
-                times -= take
-    left: dict[int, int] = defaultdict(int)
-    for g in stock:
-        for s, n in g:
-            left[s] += n
-    for s in lengths:
-        n = left[s] if s in large else histogram[s]
-        if n:
-            bins.best_fit(s, n)
-    return bins.placed, bins.count
+                times -= n
+    opened = bins.count - opened
+    rest = stock.left | {s: n for s, n in histogram.items() if 0 < s <= capacity * small_share and s < capacity}
+    for s in sorted(rest, reverse=True):
+        if rest[s]:
+            bins.best_fit(s, rest[s])
+    return bins.placed, bins.count, opened
 
 
-def best_plan(histogram: dict[int, int], capacity: int = 2048) -> tuple[list[tuple[int, int, int, int]], int]:
-    """The plan with the fewest sequences over a few numbers of groups and limits of small lengths."""
+def best_plan(histogram: dict[int, int], capacity: int = 2048) -> tuple[list[tuple[int, int, int, int]], int, int]:
+    """The plan with the fewest sequences over a few numbers of groups and limits of small lengths; it ends at the floor."""
     floor = -(-sum(s * n for s, n in histogram.items()) // capacity)
     best = None
-    for groups, share in ((24, 1 / 6), (64, 1 / 4), (12, 1 / 3), (1, 1.0)):  # the last one takes every length as a small one
+    for groups, share in ((12, 1 / 3), (48, 1 / 3), (48, 1 / 4)):
         got = plan(histogram, capacity, groups, share)
         if best is None or got[1] < best[1]:
             best = got
-        if best[1] <= floor * 1.0005 + 1:
+        if best[1] <= floor:
             break
     return best
 
 
 def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rows_of_bucket: int = 200_000) -> DataFrame:
     """The pieces of all documents with sequence_id and offset."""
-    cut = stored(cut_documents(documents, tokenizer_path, capacity, end_id), "packing-pieces")
+    # The row number, kept in the table, spreads repeated equal rows over the buckets.
+    cut = stored(cut_documents(documents, tokenizer_path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     spark = cut.sparkSession
     histogram = {int(r.length): int(r.n) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    runs, _ = best_plan(histogram, capacity)
+    runs, _, _ = best_plan(histogram, capacity)
     buckets = max(64, -(-sum(histogram.values()) // rows_of_bucket))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    by = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    by = Window.partitionBy("length", "bucket").orderBy("row")
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "base")
     ranked = dealt.withColumn("inside", F.row_number().over(by) - 1).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inside"))
