@@ -29,16 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, pieces, texts_of
+from .common import fresh_path, pieces
 from .tokens import tokenizer
 
 MAGIC = b"LWTK"
 HEAD = struct.Struct("<4sBIIIIIIIII")
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
-LANES, RUN, ORDER2_BITS, TOTAL_BITS = 2048, 32, 17, 20
+LANES, ORDER2_BITS, LEAST_TOTAL_BITS = 2048, 17, 20
+#: Different ids that a block may hold; the coder's products stay exact up to it.
+MOST_ALPHABET = 1 << 22
+#: Steps of all lanes after which the order-0 frequencies and the weights are renewed: soon at first, then rarely.
+FIRST_RUN, LONGEST_RUN = 4, 64
 CODE_MASK = np.uint64((1 << 48) - 1)
 NO_ID = np.iinfo(np.int64).min
+#: What a miss (first four) or a hit adds to an entry, by its confidence.
+STEP = np.array([0, 0, -2, -2, 1, 1, 1, 0], np.int32)
 
 
 class _Models:
@@ -46,7 +52,10 @@ class _Models:
 
     def __init__(self, alphabet: int):
         self.n = alphabet
+        if alphabet > MOST_ALPHABET:
+            raise ValueError(f"a block can hold {MOST_ALPHABET} different ids, not {alphabet}")
         self.bits = max(14, int(alphabet).bit_length() + 2)
+        self.total = max(LEAST_TOTAL_BITS, self.bits + 2)
         self.counts = np.zeros(alphabet, np.int64)
         self.after1 = np.zeros(alphabet + 1, np.int32)
         self.after2 = np.zeros(1 << ORDER2_BITS, np.int32)
@@ -61,7 +70,7 @@ class _Models:
         freq = 1 + (share * (whole - self.n)).astype(np.int64)
         freq[int(freq.argmax())] += whole - int(freq.sum())
         self.cum = np.concatenate([[0], np.cumsum(freq)])
-        room = (1 << TOTAL_BITS) - whole
+        room = (1 << self.total) - whole
         rate = np.clip(self.hits / self.seen, 0.0005, 0.98)
         self.weight = (rate * room * np.array([[0.33], [0.66]])).astype(np.int64)
 
@@ -76,17 +85,28 @@ class _Models:
     @staticmethod
     def learn(table: np.ndarray, key: np.ndarray, entry: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> None:
         """An entry is id * 4 + confidence. A hit raises the confidence to 3 at most; a miss takes 2 off, or takes in the new id."""
-        table[key] = np.where(hit, np.minimum(entry + 1, entry | 3), np.where(entry & 2, entry - 2, fresh))
+        new = entry + STEP.take((entry & 3) + (hit << 2))
+        lost = np.flatnonzero(~hit & ((entry & 2) == 0))
+        new[lost] = fresh[lost]
+        table[key] = new
 
     def note(self, k2: np.ndarray, hit2: np.ndarray, k1: np.ndarray, hit1: np.ndarray, x: np.ndarray) -> None:
         """Take the outcomes of a run of steps into the statistics."""
         for row, (k, hit) in enumerate(((k1, hit1), (k2, hit2))):
-            self.seen[row] += np.bincount(k.ravel(), minlength=4)
-            self.hits[row] += np.bincount(k.ravel(), weights=hit.ravel(), minlength=4)
+            both = np.bincount(((k << 1) + hit).ravel(), minlength=8).reshape(4, 2)
+            self.seen[row] += both.sum(1)
+            self.hits[row] += both[:, 1]
         self.counts += np.bincount(x.ravel(), minlength=self.n)
         self.renew()
 
 
+def _runs(steps: int) -> Iterator[tuple[int, int]]:
+    first, size = 0, FIRST_RUN
+    while first < steps:
+        yield first, min(steps, first + size)
+        first, size = first + size, min(2 * size, LONGEST_RUN)
+
+
 def _lanes(n: int) -> int:
     return max(1, min(LANES, n // 256)) if n else 0
 
@@ -104,44 +124,49 @@ def _code(x: np.ndarray, alphabet: int) -> list[bytes]:
     before1 = np.vstack([none, grid[:-1]])
     keys2 = m.key2(before1.view(np.uint32), np.vstack([none, before1[:-1]]).view(np.uint32))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, CODE_MASK, np.uint64)
-    out, at = np.zeros((lanes, 2 * steps + 8), np.uint32), np.zeros(lanes, np.int64)
+    wide = 2 * steps + 8
+    out, at = np.zeros(lanes * wide, np.uint32), np.arange(lanes) * wide  # at: each lane's next unit
     b16, b32 = np.uint64(16), np.uint64(32)
     top = np.uint64(1 << 32)
-    for first in range(0, steps, RUN):
-        rows = slice(first, min(steps, first + RUN))
+    for first, stop in _runs(steps):
+        rows = slice(first, stop)
         e1, e2 = (np.empty(grid[rows].shape, np.int32) for _ in range(2))
-        for i in range(first, rows.stop):
+        for i in range(first, stop):
             s = i - first
             k1, k2, own, fresh = before1[i], keys2[i], grid[i], grid[i] << 2
-            e1[s], e2[s] = a1, a2 = m.after1[k1], m.after2[k2]
+            e1[s], e2[s] = a1, a2 = m.after1.take(k1), m.after2.take(k2)
             m.learn(m.after1, k1, a1, (a1 >> 2) == own, fresh)
             m.learn(m.after2, k2, a2, (a2 >> 2) == own, fresh)
         x, live = grid[rows], alive[rows]
         p1, p2, c1, c2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
-        w1, w2 = m.weight[0][c1], m.weight[1][c2]
-        rest = (1 << TOTAL_BITS) - w1 - w2
-        start0, end0 = m.cum[x] * rest >> m.bits, m.cum[x + 1] * rest >> m.bits
-        start = (start0 + w1 * (p1 < x) + w2 * (p2 < x)).astype(np.uint64)
-        freq = (end0 - start0 + w1 * (p1 == x) + w2 * (p2 == x)).astype(np.uint64)
+        w1, w2 = m.weight[0].take(c1), m.weight[1].take(c2)
+        rest = (1 << m.total) - w1 - w2
+        start0, end0 = m.cum.take(x) * rest >> m.bits, m.cum.take(x + 1) * rest >> m.bits
+        hit1, hit2 = p1 == x, p2 == x
+        start = (start0 + w1 * (p1 < x) + w2 * (p2 < x)).view(np.uint64)
+        freq = (end0 - start0 + w1 * hit1 + w2 * hit2).view(np.uint64)
         every = bool(live.all())
         for s in range(x.shape[0]):
-            unit = span >> np.uint64(TOTAL_BITS)
+            unit = span >> np.uint64(m.total)
             if every:
-                low, span = low + unit * start[s], unit * freq[s]
+                low += unit * start[s]
+                span = unit * freq[s]
             else:
                 low, span = np.where(live[s], low + unit * start[s], low), np.where(live[s], unit * freq[s], span)
             over = np.flatnonzero(low > CODE_MASK)
             if len(over):
-                out[over, at[over] - 1] += 1
+                out[at[over] - 1] += 1
                 low[over] &= CODE_MASK
             small = np.flatnonzero(span < top)
             while len(small):
-                out[small, at[small]] = low[small] >> b32
-                at[small] += 1
-                low[small] = (low[small] << b16) & CODE_MASK
-                span[small] <<= b16
-                small = small[span[small] < top]
-        m.note(c2, p2 == x, c1, p1 == x, x)
+                bottom, part, place = low.take(small), span.take(small) << b16, at.take(small)
+                out[place] = bottom >> b32
+                at[small] = place + 1
+                low[small] = (bottom << b16) & CODE_MASK
+                span[small] = part
+                small = small[part < top]
+        m.note(c2, hit2, c1, hit1, x)
+    out, at = out.reshape(lanes, wide), at - np.arange(lanes) * wide
     for shift in (b32, b16, np.uint64(0)):
         out[np.arange(lanes), at] = (low >> shift) & np.uint64(0xFFFF)
         at += 1
@@ -158,15 +183,15 @@ def _decode(n: int, alphabet: int, lanes: int, units: list[np.ndarray]) -> np.nd
     data = np.zeros((lanes, wide), np.uint64)
     for j, u in enumerate(units):
         data[j, : len(u)] = u
-    b16, top, low20 = np.uint64(16), np.uint64(1 << 32), np.uint64(TOTAL_BITS)
+    b16, top, low20 = np.uint64(16), np.uint64(1 << 32), np.uint64(m.total)
     code = (data[:, 0] << np.uint64(32)) | (data[:, 1] << b16) | data[:, 2]
-    at, span = np.full(lanes, 3), np.full(lanes, CODE_MASK, np.uint64)
+    span = np.full(lanes, CODE_MASK, np.uint64)
     grid = np.zeros((steps, lanes), np.int32)
     alive = np.ascontiguousarray((np.arange(steps * lanes) < n).reshape(lanes, steps).T)
     last1 = np.full(lanes, alphabet, np.int32)
     last2 = last1.copy()
-    for first in range(0, steps, RUN):
-        stop = min(steps, first + RUN)
+    flat, at = data.reshape(-1), np.arange(lanes) * wide + 3
+    for first, stop in _runs(steps):
         shape = (stop - first, lanes)
         c1, c2, h1, h2 = np.empty(shape, np.int32), np.empty(shape, np.int32), np.empty(shape, bool), np.empty(shape, bool)
         slots, cum, whole = m.slots(), m.cum, 1 << m.bits
@@ -174,40 +199,42 @@ def _decode(n: int, alphabet: int, lanes: int, units: list[np.ndarray]) -> np.nd
         for i in range(first, stop):
             s = i - first
             k2 = m.key2(last1.view(np.uint32), last2.view(np.uint32))
-            e1, e2 = m.after1[last1], m.after2[k2]
+            e1, e2 = m.after1.take(last1), m.after2.take(k2)
             p1, p2 = e1 >> 2, e2 >> 2
             c1[s], c2[s] = e1 & 3, e2 & 3
-            w1, w2 = weight1[c1[s]], weight2[c2[s]]
-            rest = (1 << TOTAL_BITS) - w1 - w2
+            w1, w2 = weight1.take(c1[s]), weight2.take(c2[s])
+            rest = (1 << m.total) - w1 - w2
             unit = span >> low20
             # Quotients of such small whole numbers are exact enough in floating point to be rounded down.
-            v = np.minimum(code / unit, (1 << TOTAL_BITS) - 1).astype(np.int64)
+            v = np.minimum(code / unit, (1 << m.total) - 1).astype(np.int64)
             # The interval of a predicted id, if the value lies in it; else the value without the weights below it.
-            s1 = (cum[p1] * rest >> m.bits) + w2 * (p2 < p1)
-            t1 = (cum[p1 + 1] * rest >> m.bits) + w2 * (p2 <= p1) + w1
-            s2 = (cum[p2] * rest >> m.bits) + w1 * (p1 < p2)
-            t2 = (cum[p2 + 1] * rest >> m.bits) + w1 * (p1 <= p2) + w2
+            below, same = p1 < p2, p1 == p2
+            s1 = (cum.take(p1) * rest >> m.bits) + w2 * ~(below | same)
+            t1 = (cum.take(p1 + 1) * rest >> m.bits) + w2 * ~below + w1
+            s2 = (cum.take(p2) * rest >> m.bits) + w1 * below
+            t2 = (cum.take(p2 + 1) * rest >> m.bits) + w1 * (below | same) + w2
             in1, in2 = (v >= s1) & (v < t1), (v >= s2) & (v < t2)
             v0 = v - w1 * (v >= t1) - w2 * (v >= t2)
             guess = np.clip((((v0 + 1 << m.bits) - 1) / rest).astype(np.int64), 0, whole - 1)
-            x = np.where(in1, p1, np.where(in2, p2, slots[guess]))
+            x = np.where(in1, p1, np.where(in2, p2, slots.take(guess)))
             if not every:
                 x = np.where(alive[i], x, np.int32(0))
             grid[i] = x
-            start0, end0 = cum[x] * rest >> m.bits, cum[x + 1] * rest >> m.bits
+            start0, end0 = cum.take(x) * rest >> m.bits, cum.take(x + 1) * rest >> m.bits
             h1[s], h2[s] = p1 == x, p2 == x
-            start = (start0 + w1 * (p1 < x) + w2 * (p2 < x)).astype(np.uint64)
-            freq = (end0 - start0 + w1 * h1[s] + w2 * h2[s]).astype(np.uint64)
+            start = (start0 + w1 * (p1 < x) + w2 * (p2 < x)).view(np.uint64)
+            freq = (end0 - start0 + w1 * h1[s] + w2 * h2[s]).view(np.uint64)
             if every:
                 code, span = code - unit * start, unit * freq
             else:
                 code, span = np.where(alive[i], code - unit * start, code), np.where(alive[i], unit * freq, span)
             small = np.flatnonzero(span < top)
             while len(small):
-                code[small] = (code[small] << b16) | data[small, at[small]]
-                at[small] += 1
-                span[small] <<= b16
-                small = small[span[small] < top]
+                place, part = at.take(small), span.take(small) << b16
+                code[small] = (code.take(small) << b16) | flat.take(place)
+                at[small] = place + 1
+                span[small] = part
+                small = small[part < top]
             fresh = x << 2
             m.learn(m.after1, last1, e1, h1[s], fresh)
             m.learn(m.after2, k2, e2, h2[s], fresh)
@@ -274,7 +301,7 @@ def write_token_blocks(documents: DataFrame, path: str, tokenizer_path: str, end
 
         for batch in batches:
             for part in pieces(batch, "text"):
-                ids, counts = tokenizer(tokenizer_path).encode(texts_of(part, "text"))
+                ids, counts = tokenizer(tokenizer_path).encode(part.column("text"))
                 if end_id is not None:
                     ends = np.cumsum(counts)
                     ids = np.insert(ids, ends, end_id)

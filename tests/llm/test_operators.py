@@ -22,7 +22,7 @@ def words(seed, n):
 
 
 BASE = words(1, 200)
-TEXTS = [None, "", " \n ", "one", "one two three four", BASE, BASE, BASE.upper(), BASE + " tail", words(2, 200), words(3, 15_000), "x" * 30_000, "é ü. ß\n" * 40, words(4, 300)]
+TEXTS = [None, "", " \n ", "one", "one two three four", BASE, BASE, BASE.upper(), BASE + " tail", words(2, 200), words(3, 15_000), "x" * 30_000, "é ü. ß\n" * 40, words(4, 300), "ends <|endoftext|> here<|startoftext|>, \u00a0and\u2003there"]
 
 
 @pytest.fixture(scope="module")
