@@ -141,7 +141,7 @@ def _code(x: np.ndarray, alphabet: int) -> list[bytes]:
         p1, p2, c1, c2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
         w1, w2 = m.weight[0].take(c1), m.weight[1].take(c2)
         rest = (1 << m.total) - w1 - w2
-        start0, end0 = m.cum.take(x) * rest >> m.bits, m.cum.take(x + 1) * rest >> m.bits
+        start0, end0 = m.cum.take(x) * rest >> m.bits, m.cum[1:].take(x) * rest >> m.bits
         hit1, hit2 = p1 == x, p2 == x
         start = (start0 + w1 * (p1 < x) + w2 * (p2 < x)).view(np.uint64)
         freq = (end0 - start0 + w1 * hit1 + w2 * hit2).view(np.uint64)
@@ -185,7 +185,7 @@ def _decode(n: int, alphabet: int, lanes: int, units: list[np.ndarray]) -> np.nd
         data[j, : len(u)] = u
     b16, top, low20 = np.uint64(16), np.uint64(1 << 32), np.uint64(m.total)
     code = (data[:, 0] << np.uint64(32)) | (data[:, 1] << b16) | data[:, 2]
-    span = np.full(lanes, CODE_MASK, np.uint64)
+    span, last_value = np.full(lanes, CODE_MASK, np.uint64), np.uint64((1 << m.total) - 1)
     grid = np.zeros((steps, lanes), np.int32)
     alive = np.ascontiguousarray((np.arange(steps * lanes) < n).reshape(lanes, steps).T)
     last1 = np.full(lanes, alphabet, np.int32)
@@ -194,7 +194,7 @@ def _decode(n: int, alphabet: int, lanes: int, units: list[np.ndarray]) -> np.nd
     for first, stop in _runs(steps):
         shape = (stop - first, lanes)
         c1, c2, h1, h2 = np.empty(shape, np.int32), np.empty(shape, np.int32), np.empty(shape, bool), np.empty(shape, bool)
-        slots, cum, whole = m.slots(), m.cum, 1 << m.bits
+        slots, cum, upper, last_slot = m.slots(), m.cum, m.cum[1:], np.uint64((1 << m.bits) - 1)
         weight1, weight2, every = m.weight[0], m.weight[1], bool(alive[first:stop].all())
         for i in range(first, stop):
             s = i - first
@@ -205,22 +205,21 @@ def _decode(n: int, alphabet: int, lanes: int, units: list[np.ndarray]) -> np.nd
             w1, w2 = weight1.take(c1[s]), weight2.take(c2[s])
             rest = (1 << m.total) - w1 - w2
             unit = span >> low20
-            # Quotients of such small whole numbers are exact enough in floating point to be rounded down.
-            v = np.minimum(code / unit, (1 << m.total) - 1).astype(np.int64)
+            v = np.minimum(code // unit, last_value).view(np.int64)
             # The interval of a predicted id, if the value lies in it; else the value without the weights below it.
             below, same = p1 < p2, p1 == p2
             s1 = (cum.take(p1) * rest >> m.bits) + w2 * ~(below | same)
-            t1 = (cum.take(p1 + 1) * rest >> m.bits) + w2 * ~below + w1
+            t1 = (upper.take(p1) * rest >> m.bits) + w2 * ~below + w1
             s2 = (cum.take(p2) * rest >> m.bits) + w1 * below
-            t2 = (cum.take(p2 + 1) * rest >> m.bits) + w1 * (below | same) + w2
+            t2 = (upper.take(p2) * rest >> m.bits) + w1 * (below | same) + w2
             in1, in2 = (v >= s1) & (v < t1), (v >= s2) & (v < t2)
             v0 = v - w1 * (v >= t1) - w2 * (v >= t2)
-            guess = np.clip((((v0 + 1 << m.bits) - 1) / rest).astype(np.int64), 0, whole - 1)
+            guess = np.minimum(((v0 + 1 << m.bits) - 1).view(np.uint64) // rest.view(np.uint64), last_slot).view(np.int64)
             x = np.where(in1, p1, np.where(in2, p2, slots.take(guess)))
             if not every:
                 x = np.where(alive[i], x, np.int32(0))
             grid[i] = x
-            start0, end0 = cum.take(x) * rest >> m.bits, cum.take(x + 1) * rest >> m.bits
+            start0, end0 = cum.take(x) * rest >> m.bits, upper.take(x) * rest >> m.bits
             h1[s], h2[s] = p1 == x, p2 == x
             start = (start0 + w1 * (p1 < x) + w2 * (p2 < x)).view(np.uint64)
             freq = (end0 - start0 + w1 * h1[s] + w2 * h2[s]).view(np.uint64)
@@ -243,10 +242,19 @@ def _decode(n: int, alphabet: int, lanes: int, units: list[np.ndarray]) -> np.nd
     return grid.T.reshape(-1)[:n]
 
 
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and each id's number among them."""
+    if not len(ids) or int(ids.max()) >= MOST_ALPHABET:
+        return np.unique(ids, return_inverse=True)
+    seen = np.zeros(int(ids.max()) + 1, bool)
+    seen[ids] = True
+    return np.flatnonzero(seen).astype(np.uint32), (np.cumsum(seen, dtype=np.int32) - 1).take(ids)
+
+
 def pack_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One self-contained block of whole documents. ``doc_ids``: int64, NO_ID for null."""
     ids = np.ascontiguousarray(ids, "<u4")
-    alphabet, x = np.unique(ids, return_inverse=True)
+    alphabet, x = _alphabet(ids)
     lanes = _code(x, len(alphabet)) if len(ids) else []
     meta = [zlib.compress(np.ascontiguousarray(a).tobytes(), 6) for a in (np.diff(doc_ids.astype("<i8"), prepend=np.int64(0)), counts.astype("<u4"), np.diff(alphabet, prepend=np.uint32(0)).astype("<u4"))]
     body = b"".join([*meta, np.array([len(b) // 2 for b in lanes], "<u4").tobytes(), *lanes])

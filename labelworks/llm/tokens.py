@@ -82,10 +82,10 @@ class WordwiseTokenizer:
     letter and a sign other than an apostrophe: the pre-tokenizers of the files used here never let a piece reach over
     such a place. Words are encoded by the library once and then looked up. A tokenizer
     file that does not pass a try-out of this encodes whole texts, and so are texts that spell one of its added tokens.
-    The memory is bounded: at ``most`` words, or 32 MB of them, it starts anew.
+    The memory is bounded: at ``most`` words, or 32 MB of them (some 200 MB with their ids), it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
