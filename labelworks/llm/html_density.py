@@ -9,9 +9,11 @@ node's size; so a wrapper of several texts with no larger share of links than th
 tag alone. A chosen node brings the article around it, the one with the largest sum else the main element around it, and
 an inline one the running text that it stands in.
 
-Scripts, styles, forms and page furniture (menus, sidebars, notices, adverts, reader comments, and headers and footers
-outside an article), known by tag, role, class or id, are never counted nor printed. Inside an article or main element,
-ids that may as well name a chapter (discussion, legal, related, ...) do not tell furniture.
+Scripts, styles, controls and page furniture that has its own element or role (menus, asides, footers, headers outside an
+article) are never counted nor printed. A class or id that names furniture (sidebar, notice, advert, comments, ...) and a
+form are no more than a weight: text inside counts an eighth while the node with the largest sum is looked for. What holds
+that node is no furniture, whatever it is called; named elements elsewhere are left out, and the densities are taken anew.
+Inside an article or main element, ids that may as well name a chapter (discussion, legal, related, ...) tell nothing.
 Text: character references are decoded, white space inside a block becomes one blank, blocks are joined by an empty line.
 
 Edge cases: a null or empty page, and one without text, gives an empty text; unclosed, misnested and unknown tags are
@@ -23,6 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,12 +35,15 @@ from pyspark.sql.types import StructType
 
 from .common import pieces, texts_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+#: The same where a quote is left open up to the page's end: a tag ends at the first sign that can end it.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-DROPPED = frozenset("script style noscript template iframe head title nav aside form button select textarea input svg canvas object embed dialog menu footer".split())
+DROPPED = frozenset("script style noscript template iframe head title nav aside button select textarea input svg canvas object embed dialog menu footer".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 #: An opened tag that ends an open one of the same list.
@@ -54,42 +60,72 @@ SURE = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
+#: What the density of text in a named element counts while the main text is looked for.
+NAMED_WEIGHT = 1 / 8
+
+
 class Node:
-    __slots__ = ("chars", "density", "dropped", "kids", "link_chars", "link_tags", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "density", "dropped", "kids", "link_chars", "link_tags", "named", "parent", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool = False):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
+def _furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture by its kind or role, and whether it is called so."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return True, False
     if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
+        return False, tag == "form"
+    named = tag == "form"
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        words = SURE if name == "id" and inside_article else FURNITURE
-        if name in ("class", "id") and words.search(value) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None
+        if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
+            return True, False
+        named = named or name in ("class", "id") and (SURE if name == "id" and inside_article else FURNITURE).search(value) is not None
+    return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None, named
 
 
 def parse(page: str) -> Node:
-    """The page's tree; text is kept as it stands, references undecoded."""
+    """The page's tree; text is kept as it stands, references undecoded. Time is linear in the page's length."""
     root = Node("#root", None, False)
-    node, at, articles = root, 0, 0
+    node, at, articles, tags, last = root, 0, 0, TAG, page.rfind(">")
+    opened: Counter[str] = Counter()  # of the open elements; no search goes up for a tag that isn't among them
+
+    def close(up: Node) -> Node:
+        nonlocal articles
+        walk = node
+        while walk is not up.parent:
+            opened[walk.tag] -= 1
+            articles -= walk.tag in ("article", "main")
+            walk = walk.parent
+        return up.parent
+
     while True:
-        m = TOKEN.search(page, at)
+        begin = page.find("<", at)
+        while 0 <= begin <= last and not (page[begin + 1].isalpha() or page[begin + 1] in "/!?"):
+            begin = page.find("<", begin + 1)
+        m = None
+        while 0 <= begin <= last:
+            m = (OTHER if page[begin + 1] in "!?" else tags).match(page, begin)
+            if m is None and tags is TAG and PLAIN_TAG.match(page, begin):
+                tags = PLAIN_TAG
+                continue
+            if m is not None:
+                break
+            begin = page.find("<", begin + 1)
+        if m is None and page.startswith("<!--", begin) and begin >= 0:
+            m = OTHER.match(page, begin)
         text = page[at : m.start() if m else len(page)]
         if text:
             node.kids.append(text)
         if m is None:
             return root
         at = m.end()
-        if m[2] is None:
+        if m.re is OTHER:
             if m[0].startswith("<![CDATA["):
                 node.kids.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
@@ -97,6 +133,8 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "br":
                 node.kids.append(" ")
+            if not opened[tag]:
+                continue
             up = node
             while up.parent is not None and up.tag != tag:
                 # An inline end tag does not close the blocks around it.
@@ -104,24 +142,21 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
             if up.tag == tag and up.parent is not None:
-                walk = node
-                while walk is not up.parent:
-                    articles -= walk.tag in ("article", "main")
-                    walk = walk.parent
-                node = up.parent
+                node = close(up)
             continue
         if tag == "br":
             node.kids.append(" ")
             continue
-        if tag in CLOSES_P or tag in SIBLINGS:
-            # A block ends an open paragraph with all inline tags inside it; an item ends its open sibling.
-            ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        # A block ends an open paragraph with all inline tags inside it; an item ends its open sibling.
+        ends = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        if any(opened[e] for e in ends):
             up = node
             while up.parent is not None and up.tag not in ends and (up.tag not in BLOCK or tag in SIBLINGS and up.tag in CLOSES_P and up.tag not in ("ul", "ol", "dl", "table")):
                 up = up.parent
             if up.tag in ends and up.parent is not None:
-                node = up.parent
-        new = Node(tag, node, node.dropped or _furniture(tag, m[3], articles > 0))
+                node = close(up)
+        dropped, named = _furniture(tag, m[3], articles > 0)
+        new = Node(tag, node, node.dropped or dropped, named)
         node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -130,6 +165,7 @@ def parse(page: str) -> Node:
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         node = new
+        opened[tag] += 1
         articles += tag in ("article", "main")
 
 
@@ -145,8 +181,26 @@ def _order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> Node:
-    """Fill in counts, densities and density sums; the body."""
+    """Fill in counts, densities and density sums; the body. Named elements apart from the main text become dropped ones."""
+    body = _densities(root)
+    named = [n for n in _order(root) if n.named]
+    if not named:
+        return body
+    up = max(_order(body), key=lambda n: n.total)
+    while up is not None:
+        up.named = False
+        up = up.parent
+    for n in named:
+        n.dropped = n.dropped or n.named
+    return _densities(root)
+
+
+def _densities(root: Node) -> Node:
     nodes = _order(root)
+    shaded: set[Node] = set()
+    for n in nodes:  # parents come first
+        if n.named or n.parent in shaded:
+            shaded.add(n)
     body = next((n for n in nodes if n.tag == "body"), root)
     for n in reversed(nodes):
         own = sum(len(k.strip()) for k in n.kids if isinstance(k, str))
@@ -162,7 +216,7 @@ def measure(root: Node) -> Node:
             base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
             ratio = n.chars / links * tags / max(n.link_tags, 1)
             # Shifted so that a text without any link or tag, however short, still has a density.
-            n.density = n.chars / tags * math.log(math.e - 1 + ratio) / max(math.log(base), 1.0)
+            n.density = n.chars / tags * math.log(math.e - 1 + ratio) / max(math.log(base), 1.0) * (NAMED_WEIGHT if n in shaded else 1)
     for n in nodes:
         n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.dropped) + (n.density if any(isinstance(k, str) and k.strip() for k in n.kids) else 0.0)
     return body
@@ -197,11 +251,15 @@ def content(body: Node) -> list[Node]:
     for n in reversed(nodes):
         most[n] = max([n, *(most[k] for k in n.kids if isinstance(k, Node) and not k.dropped)], key=lambda x: x.total)
     chosen = set()
+    around: dict[Node, Node] = {}
     for n in nodes:
         wrapper = sum(isinstance(k, Node) and not k.dropped and k.chars > 0 for k in n.kids) > 1
         alike = wrapper and n.link_chars * body.chars <= body.link_chars * n.chars and _plain(n) >= plain
         if n.density > 0 and (n.density >= threshold or alike):
-            chosen.add(_around(most[n], body, ("article", "main") if most[n] is best else ("article",)))
+            top = most[n]
+            if top not in around:
+                around[top] = _around(top, body, ("article", "main") if top is best else ("article",))
+            chosen.add(around[top])
     out, stack = [], [body]
     while stack:
         n = stack.pop()
