@@ -28,7 +28,7 @@ from .common import WordHasher, bytes_of, pieces, rolling, stored
 
 K, WINDOW = 7, 7
 SPAN = K + WINDOW - 1
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 8_000_000
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -72,6 +72,11 @@ class Matcher:
 
     def __init__(self, items: list[tuple[str, bytes]]):
         self.hasher = WordHasher(word_bytes())
+        # Items of one text are looked up once.
+        equal: dict[bytes, list[str]] = {}
+        for name, raw in items:
+            equal.setdefault(raw, []).append(name)
+        items = [(names, raw) for raw, names in equal.items()]
         # Padding keeps the last item's windows whole.
         hashes, owner, _, _ = self.hasher([x for _, x in items] + [b"a " * SPAN])
         self.names = [n for n, _ in items]
@@ -139,7 +144,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").toLocalIterator():
         raw = row.t.encode()
         n = max(1, len(raw) // 2)  # words at most
-        if block and size + n > 4 * block_words:
+        if block and size + n > block_words:
             yield block
             block, size = [], 0
         block.append((row.i or "", raw))
@@ -177,7 +182,7 @@ def _marked(documents: DataFrame, items: list[tuple[str, bytes]], spans: bool) -
                 rows = []
                 for t, n in enumerate(n_words.tolist()):
                     hit = np.unique(np.concatenate(words[t])) if t in words else np.empty(0, np.int64)
-                    own = [matcher.names[i] for i in found.get(t, ())]
+                    own = [name for i in found.get(t, ()) for name in matcher.names[i]]
                     rows.append((n, hit.tolist(), own) if spans else (n, len(hit), len(own), _digest(own), len(hit) > 0 and 20 * len(hit) >= n))
                 columns = list(part.columns) + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
@@ -196,22 +201,25 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, block_words:
     blocks = list(_first_two(_blocks(benchmark, block_words)))
     if len(blocks) == 1:
         return _marked(documents, blocks[0], spans=False)
-    # Several blocks: rows keep a number of their own, hits are united by it.
-    numbered = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+    # Several blocks: rows keep a number of their own, under a name that no column has, and hits are united by it.
+    row = "row"
+    while row.lower() in {c.lower() for c in documents.columns}:
+        row += "_"
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
     # One block after the other: the driver never holds more than one.
-    parts = [stored(_marked(numbered.select("_row", "text"), b, spans=True).select("_row", "n_words", "hit_words", "hit_items"), "decontaminate-hits") for b in _blocks(benchmark, block_words)]
+    texts = numbered.select(F.col(row).alias("row"), "text")
+    parts = [stored(_marked(texts, b, spans=True).select("row", "n_words", "hit_words", "hit_items"), "decontaminate-hits") for b in _blocks(benchmark, block_words)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    words = every.select("_row", F.explode("hit_words").alias("w")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
-    items = every.where(F.size("hit_items") > 0).groupBy("_row").agg(F.sort_array(F.flatten(F.collect_list("hit_items"))).alias("i"))
-    sizes = parts[0].select("_row", "n_words")
-    joined = numbered.join(sizes, "_row").join(words, "_row", "left").join(items, "_row", "left")
-    n_hit = F.coalesce("n_hit", F.lit(0))
-    return joined.select(
-        *documents.columns, "n_words", n_hit.cast("long").alias("n_hit"), F.greatest(F.coalesce(F.size("i"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "i"), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+    words = every.select("row", F.explode("hit_words").alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    items = every.where(F.size("hit_items") > 0).groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("hit_items"))).alias("items"))
+    n_hit, n_items = F.coalesce("n_hit", F.lit(0)), F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0))
+    found = parts[0].select("row", "n_words").join(words, "row", "left").join(items, "row", "left").select(
+        F.col("row").alias(row), "n_words", n_hit.cast("long").alias("n_hit"), n_items.cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )
+    return numbered.join(found, row).drop(row)
 
 
 def _first_two(blocks: Iterator) -> Iterator:

@@ -118,18 +118,14 @@ def fit(documents: DataFrame, modulus: int = 5, kept_out: int = 0) -> Profiles:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in pieces(batch, "text"):
-                counts: dict[str, np.ndarray] = {}
+                held: dict[str, list[np.ndarray]] = {}
                 for text, lang in zip(texts_of(part, "text"), part.column("lang").to_pylist(), strict=True):
-                    codes = e.codes(text)
-                    if lang not in counts:
-                        counts[lang] = np.zeros(CLASSES**N, np.int32)
-                    own, n = np.unique(codes, return_counts=True)
-                    counts[lang][own] += n.astype(np.int32)
-                for lang, c in counts.items():
-                    own = np.flatnonzero(c)
+                    held.setdefault(lang, []).append(e.codes(text))
+                for lang, codes in held.items():
+                    own, n = np.unique(np.concatenate(codes).astype(np.int64), return_counts=True)
                     total = totals.setdefault(lang, np.zeros(D))
                     for a in range(0, len(own), 4096):
-                        total += c[own[a : a + 4096]].astype(np.float32) @ e.vectors(own[a : a + 4096])
+                        total += n[a : a + 4096].astype(np.float32) @ e.vectors(own[a : a + 4096])
         if totals:
             yield pa.record_batch([list(totals), [v.tolist() for v in totals.values()]], schema=pa.schema([("lang", pa.string()), ("part", pa.list_(pa.float64()))]))
 

@@ -12,13 +12,13 @@ as often as they occur.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -175,6 +175,19 @@ def score_texts(documents: DataFrame, model: RidgeModel, threshold: float = 0.3)
     return documents.mapInArrow(run, StructType([*documents.schema.fields, *StructType.fromDDL("score double, predicted int").fields]))
 
 
+def score_column(model: RidgeModel) -> Callable[[Column], Column]:
+    """The score of a column of statistics; null where they are null."""
+
+    @F.pandas_udf("double")
+    def run(stats: pd.Series) -> pd.Series:
+        out, known = pd.Series(np.nan, stats.index, float), stats.notna().to_numpy()
+        if known.any():
+            out[known] = model.score(np.stack(stats[known].to_numpy()))
+        return out
+
+    return run
+
+
 def score_statistics(stats: DataFrame, model: RidgeModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted from stored statistics."""
     shared = stats.sparkSession.sparkContext.broadcast(model)

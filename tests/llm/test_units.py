@@ -1,8 +1,10 @@
 """The operators' own code without Spark: codecs, planners, kernels, against brute force."""
 
 import gzip
+import math
 import os
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -118,10 +120,11 @@ def brute_hits(texts, items):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=60).map(" ".join), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("ab"), max_size=40).map(" ".join), max_size=4))
 def test_winnowing_equals_brute_force(texts, items):
-    n, hits = decontaminate.Matcher([(str(i), t.encode()) for i, t in enumerate(items)]).match([t.encode() for t in texts])
+    matcher = decontaminate.Matcher([(str(i), t.encode()) for i, t in enumerate(items)])
+    n, hits = matcher.match([t.encode() for t in texts])
     for i, (size, hit, own) in enumerate(brute_hits(texts, items)):
         mine = [h for h in hits if h[0] == i]
-        assert (int(n[i]), sorted({int(x) for h in mine for x in h[2]}), {h[1] for h in mine}) == (size, hit, own)
+        assert (int(n[i]), sorted({int(x) for h in mine for x in h[2]}), {int(x) for h in mine for x in matcher.names[h[1]]}) == (size, hit, own)
 
 
 def test_winnowing_of_an_item_split_over_neighbours():
@@ -294,3 +297,73 @@ def test_features_stay_inside_texts():
     one = {tuple(sorted(b.tolist())) for b, _ in toxicity.features([b"a b", b"c d"])}
     two = {tuple(sorted(b.tolist())) for b, _ in toxicity.features([b"c d", b"a b"])}
     assert one == two and sum(len(b) for b, _ in toxicity.features([b"a b", b"c d"])) == 6
+
+
+STORY = "".join(f"<p>{'Plain words of a story that goes on. ' * 35}{i}</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "legal-article", "layout no-sidebar", "story social", "notice-of-meeting", "has-menu"])
+def test_names_are_no_more_than_a_weight(name):
+    page = f'<div class="menu"><a href=x>Home</a></div><div class="{name}"><h1>Title</h1>{STORY}</div><div class="sidebar"><p>Short note aside.</p></div><div id=comments><p>{"I like this. " * 20}</p></div>'
+    got = html_density.main_text(page)
+    assert got.startswith("Title\n\nPlain words") and got.endswith("3") and "aside" not in got and "I like" not in got and "Home" not in got
+
+
+def test_page_inside_a_form():
+    got = html_density.main_text(f'<body><form action=x><div><a href=q>Log in</a></div><div>{STORY}</div><input name=q><button>Send</button></form><form class=f>Your mail <input></form></body>')
+    assert got.count("\n\n") == 3 and "Send" not in got and "mail" not in got and "Log in" not in got
+
+
+@pytest.mark.parametrize("bad", ['<a "', "<b>", "</i>", '<a "x>y" ', "<!", "<p>", "<li>", "<", "<a <", "<b><hr>"])
+def test_hostile_pages_take_linear_time(bad):
+    began = time.process_time()
+    html_density.main_text(bad * 30_000 + "text")
+    assert time.process_time() - began < 15
+    assert "text" in html_density.main_text("<p>some text</p><a href=\"x>y</a> more text") and html_density.main_text("a < b <c") == "a < b <c"
+
+
+TREES = st.recursive(st.text("ab ", max_size=12), lambda kids: st.tuples(st.sampled_from(["div", "p", "a", "span", "section"]), st.lists(kids, max_size=4)), max_leaves=12)
+
+
+def slow_density(tree, share):
+    """(chars, tags, link chars, link tags, density) of a node by the definition, one node at a time."""
+    def text(t):
+        return len(t.strip()) if isinstance(t, str) else sum(map(text, t[1]))
+
+    def count(t, name=None):
+        return 0 if isinstance(t, str) else sum((not isinstance(k, str) and name in (None, k[0])) + count(k, name) for k in t[1])
+
+    def linked(t):
+        return 0 if isinstance(t, str) else text(t) if t[0] == "a" else sum(map(linked, t[1]))
+
+    chars, tags, link_chars = text(tree), count(tree), linked(tree)
+    link_tags = count(tree, "a") + (tree[0] == "a")
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    ratio = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * math.log(math.e - 1 + ratio) / max(math.log(base), 1.0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TREES, min_size=1, max_size=4))
+def test_densities_equal_the_definition(kids):
+    def node(t, parent):
+        if isinstance(t, str):
+            return t
+        n = html_density.Node(t[0], parent, False)
+        n.kids = [node(k, n) for k in t[1]]
+        return n
+
+    def same(n, t):
+        assert n.density == pytest.approx(slow_density(t, share))
+        own = sum(k.density for k in n.kids if not isinstance(k, str))
+        assert n.total == pytest.approx(own + (n.density if any(isinstance(k, str) and k.strip() for k in n.kids) else 0))
+        for a, b in zip(n.kids, t[1], strict=True):
+            if not isinstance(a, str):
+                same(a, b)
+
+    tree = ("body", kids)
+    body = html_density.measure(node(tree, None))
+    share = body.link_chars / body.chars if body.chars else 0.0
+    same(body, tree)
