@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/labelworks/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def narrow_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most so many bytes: a task holds some copies of one, in the JVM and in its Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
+    with narrow_batches(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +76,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """A worker goes on to other stages: it gives back the memory that it doesn't need."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 2 * STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text, or one row."""
     if batch.num_rows == 0:
@@ -67,7 +95,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2 * STEP_BYTES) -> It
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # a worker goes on to other stages: it gives back what it doesn't need
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

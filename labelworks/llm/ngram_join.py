@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHasher, bytes_of, pieces, rolling, stored
+from .common import WordHasher, bytes_of, give_back, pieces, rolling, stored
 
 WORDS, GROUPS, LEAF, FAN = 5, 64, 16, 8
 #: A cell with more members gives up its shingle; only documents that cannot do without it meet there.
@@ -368,6 +368,7 @@ def _tree_pairs(cells: DataFrame) -> DataFrame:
                 held = held.slice(last).combine_chunks()
         if held is not None:
             yield from found(held)
+        give_back()
 
     def found(rows: pa.Table, most: int = 100_000) -> Iterator[pa.RecordBatch]:
         steps: list[np.ndarray] = []
