@@ -103,6 +103,10 @@ class WordwiseTokenizer:
         self.whole = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] != [self.tokenizer.encode(t, add_special_tokens=False).ids for t in TRIED_TEXTS]
         self._reset()
 
+    def forget(self) -> None:
+        """Let go of all words."""
+        self._reset()
+
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.short = _ShortWords()
@@ -283,11 +287,12 @@ class WordwiseTokenizer:
 _loaded: dict[str, WordwiseTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordwiseTokenizer:
+def tokenizer(path: str, most: int = 1_500_000) -> WordwiseTokenizer:
     """One per worker and file."""
     if path not in _loaded:
         _loaded.clear()
-        _loaded[path] = WordwiseTokenizer(path)
+        _loaded[path] = WordwiseTokenizer(path, most)
+    _loaded[path].most = most
     return _loaded[path]
 
 
