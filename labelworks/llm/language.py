@@ -52,6 +52,10 @@ class Encoder:
         self.rows = np.empty((1024, D), np.int8)
         self.used = 0
 
+    def forget(self) -> None:
+        """Let go of all vectors: other stages share the worker."""
+        self._reset()
+
     def _classes(self, text: str) -> np.ndarray:
         c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         if len(c) and int(c.max()) >= len(self.class_of):
@@ -126,6 +130,7 @@ def fit(documents: DataFrame, modulus: int = 5, kept_out: int = 0) -> Profiles:
                     total = totals.setdefault(lang, np.zeros(D))
                     for a in range(0, len(own), 4096):
                         total += n[a : a + 4096].astype(np.float32) @ e.vectors(own[a : a + 4096])
+        e.forget()
         if totals:
             yield pa.record_batch([list(totals), [v.tolist() for v in totals.values()]], schema=pa.schema([("lang", pa.string()), ("part", pa.list_(pa.float64()))]))
 
@@ -160,6 +165,7 @@ def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
                     names.append(own.languages[best])
                     scores.append(float(np.clip((cosine[best] + 1) / 2, 0, 1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+        e.forget()
 
     return documents.mapInArrow(run, StructType([*documents.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields]))
 
