@@ -70,26 +70,27 @@ def confidence_by_key(keys: list[str]):
 
 
 def label_confidences(tokens: list[str], logs: list[float], label: str, delimiter: str = ";") -> dict[str, float]:
-    """Each label of a list starts with the whole average; each part of the tokens between delimiters gives its average to
-    the label it shares the longest run of characters with, by ratio, strictly better ones only."""
+    """Each label of a list starts with the whole average. Each part of the tokens between delimiters (a part begins with its
+    delimiter's token) gives its average to the label that shares the longest run of characters with the part's text, as a
+    share of the longer one of both; the first of equal labels, and of several parts the last one."""
     labels = [x.strip() for x in label.split(delimiter) if x.strip()]
-    whole = _mean(tokens, logs)
-    out, best = dict.fromkeys(labels, whole), dict.fromkeys(labels, 0.0)
-    parts: list[list[int]] = [[]]
+    out = dict.fromkeys(labels, _mean(tokens, logs))
+    parts: dict[str, tuple[int, int]] = {}
+    text, begin = "", 0
     for i, t in enumerate(tokens):
         if delimiter in t:
-            parts.append([])
-        parts[-1].append(i)
-    for part in parts:
-        text = "".join(tokens[i] for i in part)
-        ratios = {}
-        for x in labels:
-            m = SequenceMatcher(None, text, x, autojunk=False).find_longest_match(0, len(text), 0, len(x))
-            ratios[x] = m.size / max(len(x), 1)
-        if ratios:
-            x = max(ratios, key=ratios.get)
-            if ratios[x] > best[x]:
-                best[x], out[x] = ratios[x], _mean([tokens[i] for i in part], [logs[i] for i in part])
+            head, *_, tail = t.split(delimiter)
+            parts[(text + head).strip()] = begin, i
+            text, begin = tail, i
+        else:
+            text += t
+    if text.strip():
+        parts[text.strip()] = begin, len(tokens)
+    for text, (a, b) in parts.items():
+        ratios = {x: SequenceMatcher(None, x, text, autojunk=False).find_longest_match().size / max(len(x), len(text)) for x in out}
+        x = max(ratios, key=ratios.get, default=None)
+        if x is not None and ratios[x] > 0:
+            out[x] = _mean(tokens[a:b], logs[a:b])
     return out
 
 

@@ -71,16 +71,29 @@ def prompt(guidelines: str, output_guidelines: Column | str, current: Column, ex
     return F.concat_ws("\n\n", *blocks, current)
 
 
+def trimmed(parts: list[Column], most_tokens: int, extra: int = 0, count=token_count) -> Column:
+    """An array of the parts, cut (in the given order) until their tokens together fit; a cut part keeps
+    ``int(max(0, length * (tokens - over - 1) / (tokens + 1)))`` characters, and cutting stops as soon as it fits.
+
+    A fold over the parts, so that the expression grows with their number and each is counted once before and once after.
+    """
+    rows = F.array(*[F.struct(p.cast("string").alias("part"), count(p).cast("long").alias("own")) for p in parts])
+
+    def step(state: Column, row: Column) -> Column:
+        over = state["total"] - most_tokens
+        keep = F.greatest(F.lit(0.0), F.length(row["part"]) * (row["own"] - over - 1) / (row["own"] + 1)).cast("int")
+        new = F.when(over > 0, F.substring(row["part"], F.lit(1), keep)).otherwise(row["part"])
+        return F.struct(F.concat(state["done"], F.array(new)).alias("done"), (state["total"] - row["own"] + F.when(over > 0, count(new)).otherwise(row["own"])).cast("long").alias("total"))
+
+    folded = lambda x: F.aggregate(x, F.struct(F.array().cast("array<string>").alias("done"), F.aggregate(x, F.lit(extra).cast("long"), lambda s, r: s + r["own"]).alias("total")), step)["done"]
+    # Bound once: the counts would be taken anew for each use.
+    return F.transform(F.array(rows), folded)[0]
+
+
 def trim_parts(parts: list[Column], most_tokens: int, extra: int = 0, count=token_count) -> list[Column]:
-    """Cut parts (in the given order) until their tokens together fit; a cut part keeps
-    ``int(max(0, length * (tokens - over - 1) / (tokens + 1)))`` characters, and cutting stops as soon as it fits."""
-    out: list[Column] = []
-    for i, part in enumerate(parts):
-        total = sum((count(p) for p in [*out, *parts[i:]]), F.lit(extra).cast("long"))
-        over, own = total - most_tokens, count(part)
-        keep = F.greatest(F.lit(0.0), F.length(part) * (own - over - 1) / (own + 1)).cast("int")
-        out.append(F.when(over > 0, F.substring(part, F.lit(1), keep)).otherwise(part))
-    return out
+    """The same as a column for each part."""
+    cut = trimmed(parts, most_tokens, extra, count)
+    return [cut[i] for i in range(len(parts))]
 
 
 def multimodal(text: Column, image_columns: list[str]) -> Column:

@@ -72,7 +72,8 @@ def c2_by_key(spark, d):
     return labelled(spark, d).withColumn("m", m).select("row_id", F.round(F.col("m")["quality"], 6).alias("quality"), F.col("m")["other"].alias("other"))
 
 
-@query()
+@query("WITH " + LAB + """ SELECT row_id, round(CASE WHEN lang IS NULL OR source IS NULL THEN NULL WHEN lang = source THEN exp(-0.5) ELSE exp(-0.1) END, 6) AS lang_conf,
+ round(CASE WHEN lang IS NOT NULL AND source IS NOT NULL THEN exp(-0.5) END, 6) AS source_conf FROM lab WHERE error IS NULL""")
 def c3_by_label(spark, d):
     df = labelled(spark, d).where("error is null")
     tokens = F.array(*[F.struct(t.alias("token"), p.cast("double").alias("logprob")) for t, p in ((F.col("lang"), F.lit(-0.1)), (F.lit(";"), F.lit(-0.3)), (F.col("source"), F.lit(-0.7)))])

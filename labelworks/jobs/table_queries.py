@@ -90,8 +90,8 @@ b AS (SELECT *, t1 + t2 - 120 AS over1 FROM a), c AS (SELECT *, CASE WHEN over1
 e AS (SELECT *, {_TOK.format('q1')} + t2 - 120 AS over2 FROM c)
 SELECT doc_id, q1 AS examples, CASE WHEN over2 > 0 THEN substring(p2, 1, {_CUT.format(p='p2', o='t2', v='over2')}) ELSE p2 END AS guidelines FROM e""")
 def p9_trim(spark, d):
-    q1, q2 = templates.trim_parts([F.col("text"), F.lit("guide the answer")], 120)
-    return table(spark, d, "documents").select("doc_id", q1.alias("examples"), q2.alias("guidelines"))
+    cut = table(spark, d, "documents").select("doc_id", templates.trimmed([F.col("text"), F.lit("guide the answer")], 120).alias("parts"))
+    return cut.select("doc_id", F.col("parts")[0].alias("examples"), F.col("parts")[1].alias("guidelines"))
 
 
 @query("""SELECT page_id, concat('{"text":"Look","url":"', url, '"}') AS prompt FROM pages WHERE url IS NOT NULL""")
@@ -227,8 +227,8 @@ def j5_pairs(spark, d):
 @query("SELECT doc_id, length(text) AS n, upper(lang) AS code FROM documents")
 def j6_side_by_side(spark, d):
     docs = table(spark, d, "documents")
-    made = docs.select("lang").distinct().select("lang", F.upper("lang").alias("code"))
-    return docs.join(made, "lang").select("doc_id", F.length("text").cast("long").alias("n"), "code")
+    made = docs.select("lang").distinct().select(F.col("lang").alias("made_of"), F.upper("lang").alias("code"))
+    return docs.join(made, F.col("lang").eqNullSafe(F.col("made_of")), "left").select("doc_id", F.length("text").cast("long").alias("n"), "code")
 
 
 @query()

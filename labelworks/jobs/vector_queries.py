@@ -10,12 +10,13 @@ from .stub import LAB, labelled, table
 
 
 def _sides(spark, d):
+    # Every 20th row against all rows; a query's own row is a row like the others.
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
-    return q, e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v"), "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
+    return q, e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v"), "label")
 
 
-_SIM = """WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS cid, c.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0),
+_SIM = """WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS cid, c.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM s)"""
 
 
@@ -41,10 +42,8 @@ def k3_examples(spark, d):
 
 @query()
 def k4_mmr(spark, d):
-    # Every 20th row against all rows; a query's own row is a row like the others, and so its nearest.
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
-    return vectors.mmr(q, e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("v")), 5)
+    q, c = _sides(spark, d)
+    return vectors.mmr(q, c, 5)
 
 
 @query(_SIM + ", t AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, cid) AS k FROM s), u AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY label, score DESC, cid) AS n FROM t WHERE k <= 2) SELECT qid, cid, CAST(label AS BIGINT) AS label, n AS rank FROM u WHERE n <= 12")
@@ -53,15 +52,15 @@ def k5_label_diverse(spark, d):
     return vectors.label_diverse(q, c, 12, list(range(10))).select("qid", "cid", F.col("label").cast("long").alias("label"), "rank")
 
 
-@query("WITH s AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings WHERE vec_id % 50 <> 0) SELECT vec_id, CAST(label AS BIGINT) AS label FROM s WHERE r <= 2 ORDER BY label, vec_id LIMIT 15")
+@query("WITH s AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) SELECT vec_id, CAST(label AS BIGINT) AS label FROM s WHERE r <= 2 ORDER BY label, vec_id LIMIT 15")
 def k6_label_diverse_fixed(spark, d):
-    seeds = table(spark, d, "embeddings").where("vec_id % 50 <> 0").select("vec_id", F.col("label").cast("long").alias("label"))
+    seeds = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
     return vectors.label_diverse_fixed(seeds, 15, 10, position="vec_id")
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id % 50 <> 0 ORDER BY vec_id LIMIT 8")
+@query("SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 8")
 def k7_fixed(spark, d):
-    return vectors.fixed_examples(table(spark, d, "embeddings").where("vec_id % 50 <> 0").select("vec_id"), 8, "vec_id")
+    return vectors.fixed_examples(table(spark, d, "embeddings").select("vec_id"), 8, "vec_id")
 
 
 @query("WITH " + LAB + """, x AS (SELECT a.row_id, s.row_id AS seed_id, row_number() OVER (PARTITION BY a.row_id ORDER BY s.row_id) AS rank FROM lab a JOIN (SELECT * FROM lab WHERE row_id % 10 = 3 ORDER BY row_id LIMIT 20) s ON (s.quality = a.quality OR s.quality = '0') AND s.lang = a.lang)
@@ -73,7 +72,7 @@ def k8_fixed_with_labels(spark, d):
     return vectors.fixed_with_labels(rows, seeds, 3, "row_id", {"q": "qs", "l": "ls"}, "seed_id").select("row_id", "seed_id", "rank")
 
 
-@query("""WITH l AS (SELECT label, min(vec_id) AS cid FROM embeddings GROUP BY 1), s AS (SELECT q.vec_id AS qid, l.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) DESC, c.vec_id) AS rank FROM embeddings q, l JOIN embeddings c ON c.vec_id = l.cid WHERE q.vec_id % 50 = 0)
+@query("""WITH l AS (SELECT label, min(vec_id) AS cid FROM embeddings GROUP BY 1), s AS (SELECT q.vec_id AS qid, l.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) DESC, c.vec_id) AS rank FROM embeddings q, l JOIN embeddings c ON c.vec_id = l.cid WHERE q.vec_id % 20 = 0)
 SELECT qid, string_agg(CAST(label AS VARCHAR), ',' ORDER BY rank) AS labels, concat('label ', string_agg(CAST(label AS VARCHAR), ',' ORDER BY rank)[1:1]) AS first_description FROM s WHERE rank <= 3 GROUP BY qid""")
 def k9_select_labels(spark, d):
     e = table(spark, d, "embeddings")

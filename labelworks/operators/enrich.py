@@ -60,13 +60,18 @@ def user_stage(df: DataFrame, name: str, inputs: list[str], outputs: dict[str, s
 
 
 def run_stages(df: DataFrame, task: str, stages: list[tuple[str, Callable[[DataFrame], DataFrame], list[str]]]) -> DataFrame:
-    """Stages (name, function, error columns) in order. ``<task>_task_transform`` names the last stage without any error."""
-    for name, stage, errors in stages:
+    """Stages (name, function, error columns) in order. ``<task>_task_transform`` names the last stage without any error.
+
+    One pass over the last stage's result finds out about the errors of all stages, whose columns it has to keep.
+    """
+    for _, stage, _ in stages:
         df = stage(df)
-        bad = df.where(" or ".join(f"`{e}` is not null" for e in errors)).isEmpty() if errors else True
-        if bad:
-            df = df.withColumn(f"{task}_task_transform", F.lit(name))
-    return df
+    bad = [F.coalesce(F.max(F.greatest(*[F.col(f"`{e}`").isNotNull() for e in errors], F.lit(False))), F.lit(False)) if errors else F.lit(False) for _, _, errors in stages]
+    if not stages:
+        return df
+    failed = df.agg(*[b.alias(f"s{i}") for i, b in enumerate(bad)]).first()
+    good = [name for (name, _, _), f in zip(stages, failed, strict=True) if not f]
+    return df.withColumn(f"{task}_task_transform", F.lit(good[-1])) if good else df
 
 
 def page_text(url: Column, html: Column) -> Column:

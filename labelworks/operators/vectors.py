@@ -14,6 +14,12 @@ from pyspark.sql.window import Window
 MOST_BROADCAST_NUMBERS = 8_000_000
 
 
+#: Queries and corpus rows that are compared at once (8 MB of scores).
+STEP, TILE = 256, 4_096
+#: Numbers of a corpus block, and queries of a block of queries, that one task holds.
+BLOCK_NUMBERS, BLOCK_QUERIES = 4_000_000, 20_000
+
+
 #: Rows of a table of seeds, labels or prices that a join may broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST_ROWS = 100_000
 
@@ -37,15 +43,20 @@ def _unit(rows: list) -> np.ndarray:
 
 
 def _local(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, digits: int) -> pd.DataFrame:
-    """Best k of a block for each query; ties to the lower id. Rows without a direction are never chosen."""
-    s = np.round(q @ c.T, digits)
-    s[np.isnan(s)] = -np.inf
+    """Best k of a block for each query; ties to the lower id. Rows without a direction are never chosen.
+
+    Tiles of the block in order of the ids keep a running best k, so that a stable sort leaves ties to the lower id.
+    """
     order = np.argsort(cid, kind="stable")
-    s, cid = s[:, order], cid[order]
-    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    score = np.take_along_axis(s, best, 1)
-    rows = np.repeat(np.arange(len(qid)), best.shape[1])
-    out = pd.DataFrame({"qid": qid[rows], "cid": cid[best.ravel()], "score": score.ravel()})
+    score, found = np.empty((len(qid), 0)), np.empty((len(qid), 0), np.int64)
+    for a in range(0, len(cid), TILE):
+        rows = order[a : a + TILE]
+        s = np.round(q @ c[rows].T, digits)
+        s[np.isnan(s)] = -np.inf
+        s, at = np.concatenate([score, s], axis=1), np.concatenate([found, np.broadcast_to(cid[rows], s.shape)], axis=1)
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        score, found = np.take_along_axis(s, best, 1), np.take_along_axis(at, best, 1)
+    out = pd.DataFrame({"qid": np.repeat(qid, score.shape[1]), "cid": found.ravel(), "score": score.ravel()})
     return out[np.isfinite(out["score"])]
 
 
@@ -78,25 +89,26 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "qid",
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows_, c_unit = shared.value
             for pdf in batches:
-                for a in range(0, len(pdf), 1000):
-                    part = pdf.iloc[a : a + 1000]
+                for a in range(0, len(pdf), STEP):
+                    part = pdf.iloc[a : a + STEP]
                     if len(rows_):
                         yield _local_of_each(part["qid"].to_numpy(), _unit(list(part["v"])), rows_, c_unit, k, digits, by)
 
         found = q.mapInPandas(run, schema)
     else:
-        # A grid: every query meets every block of the corpus once.
-        blocks = int(-(-rows // block_rows))
-        dealt_q = q.select("qid", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        dealt_c = c.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
+        # A grid: every block of queries meets every block of the corpus once.
+        blocks = int(-(-rows // max(1, min(block_rows, BLOCK_NUMBERS * rows // numbers))))
+        q_blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+        deal = lambda df, name, n, other, m: df.withColumn(name, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        dealt_q, dealt_c = deal(q, "q_block", q_blocks, "block", blocks), deal(c, "block", blocks, "q_block", q_blocks)
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")} | {n: pd.Series(dtype=object) for n in extra})
             unit = _unit(list(right["v"]))
-            return pd.concat([_local_of_each(left["qid"].to_numpy()[a : a + 1000], _unit(list(left["v"][a : a + 1000])), right, unit, k, digits, by) for a in range(0, len(left), 1000)])
+            return pd.concat([_local_of_each(left["qid"].to_numpy()[a : a + STEP], _unit(list(left["v"][a : a + STEP])), right, unit, k, digits, by) for a in range(0, len(left), STEP)])
 
-        found = dealt_q.groupBy("block").cogroup(dealt_c.groupBy("block")).applyInPandas(meet, schema)
+        found = dealt_q.groupBy("block", "q_block").cogroup(dealt_c.groupBy("block", "q_block")).applyInPandas(meet, schema)
     order = Window.partitionBy("qid", *extra).orderBy(F.desc("score"), "cid")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 

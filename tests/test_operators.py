@@ -112,6 +112,18 @@ def test_confidence(spark):
     assert confidence.key_confidences([], [], ["a"]) == {}
     got = confidence.label_confidences(["joy", ";", " love"], [-0.1, -0.5, -0.3], "joy; love")
     assert got == pytest.approx({"joy": math.exp(-0.1), "love": math.exp(-0.4)})
+    got = confidence.label_confidences(["cat", ";", "caterpillar"], [-0.1, -0.2, -0.9], "cat;caterpillar")
+    assert got == pytest.approx({"cat": math.exp(-0.1), "caterpillar": math.exp(-0.55)})
+    assert confidence.label_confidences(["q"], [-0.1], "a;b") == pytest.approx({"a": math.exp(-0.1), "b": math.exp(-0.1)})
+
+
+def test_trimming_many_parts(spark):
+    parts = [F.lit("one two three four five six"), F.lit(None).cast("string"), F.lit("a b c d e f g h"), F.lit("x y z"), F.lit("last")]
+    assert one(spark, templates.trimmed([parts[0], parts[2], parts[3], parts[4]], 100)) == ["one two three four five six", "a b c d e f g h", "x y z", "last"]
+    cut = one(spark, templates.trimmed([parts[0], parts[2], parts[3], parts[4]], 6))
+    assert cut[0] == "" and cut[3] == "last" and len(cut[1]) < 8
+    size = lambda n: len(spark.range(1).select(templates.trimmed([F.concat(F.lit(f"w{i} "), F.col("id").cast("string")) for i in range(n)], 3))._jdf.queryExecution().optimizedPlan().toString())
+    assert size(4) < 2.5 * size(2)
 
 
 def test_normalize(spark):
@@ -245,3 +257,16 @@ def test_columns_work_on_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, spark.sql("select key, a_label, error from labels_stream").collect())) == [("1", "x", None), ("2", "NO_LABEL", "invalid_llm_response_error")]
+
+
+def test_top_k_grid_equals_the_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), i % 3) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "cid long, v array<double>, label int")
+    queries = corpus.where("cid % 20 = 0").select(F.col("cid").alias("qid"), "v")
+    whole = {tuple(r) for r in vectors.top_k(queries, corpus, 4).select("qid", "cid", "rank").collect()}
+    each = {tuple(r) for r in vectors.top_k(queries, corpus, 2, by="label").select("qid", "cid", "label").collect()}
+    for name, value in {"MOST_BROADCAST_NUMBERS": 10, "BLOCK_NUMBERS": 200, "BLOCK_QUERIES": 4, "STEP": 3, "TILE": 7}.items():
+        monkeypatch.setattr(vectors, name, value)
+    assert {tuple(r) for r in vectors.top_k(queries, corpus, 4).select("qid", "cid", "rank").collect()} == whole
+    assert {tuple(r) for r in vectors.top_k(queries, corpus, 2, by="label").select("qid", "cid", "label").collect()} == each
