@@ -35,7 +35,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def narrow_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+def narrow_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
     """Arrow batches of at most so many bytes: a task holds some copies of one, in the JVM and in its Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key, None)

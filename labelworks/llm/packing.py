@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import give_back, pieces, stored
-from .tokens import tokenizer
+from .tokens import forget, tokenizer
 
 #: Words that a task keeps the ids of; it lets go of them at its end, as other stages share its worker.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
+#: Bytes of text that are encoded at once.
+STEP = 1 << 19
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -44,7 +46,7 @@ def cut_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 204
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", STEP):
                 ids, counts = tokenizer(tokenizer_path, MOST_WORDS).encode(part.column("text"))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
@@ -57,7 +59,7 @@ def cut_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 204
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at, length.tolist(), strict=True)]
                 yield pa.record_batch([part.column("doc_id").take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], schema=PIECES)
-        tokenizer(tokenizer_path, MOST_WORDS).forget()
+        forget()
         give_back()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

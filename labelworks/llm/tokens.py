@@ -103,10 +103,6 @@ class WordwiseTokenizer:
         self.whole = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] != [self.tokenizer.encode(t, add_special_tokens=False).ids for t in TRIED_TEXTS]
         self._reset()
 
-    def forget(self) -> None:
-        """Let go of all words."""
-        self._reset()
-
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.short = _ShortWords()
@@ -296,6 +292,11 @@ def tokenizer(path: str, most: int = 1_500_000) -> WordwiseTokenizer:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Let go of the tokenizer and its words: other stages share the worker."""
+    _loaded.clear()
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
