@@ -20,12 +20,11 @@ def s3_frame(spark, d):
     return load(spark, f"{d}/documents.parquet")
 
 
-@query("SELECT doc_id, text, lang FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE doc_id % 10 = 3) WHERE r <= 8")
+@query("SELECT doc_id, text, lang FROM documents")
 def s5_seeds(spark, d):
     from ..sources.tables import seeds
 
-    rows_ = table(spark, d, "documents").where("doc_id % 10 = 3").select("doc_id", "text", "lang")
-    return seeds(spark, rows_.orderBy("doc_id").limit(8))
+    return seeds(spark, table(spark, d, "documents").select("doc_id", "text", "lang"))
 
 
 @query("SELECT doc_id AS row_id, n_chars FROM documents WHERE doc_id >= 5 AND doc_id < 105")
@@ -59,11 +58,11 @@ def p5_strings(spark, d):
     return templates.safe_strings(table(spark, d, "events").select("event_id", "user_id", "event_type", "props"))
 
 
-@query(W + LAB + """, seeds AS (SELECT string_agg(concat('Text: ', text, chr(10), 'Answer: ', '{"quality":"', quality, '","toxic":"', toxic, '"}'), chr(10) || chr(10) ORDER BY row_id) AS x FROM (SELECT * FROM lab WHERE row_id % 10 = 3 ORDER BY row_id LIMIT 3))
+@query(W + LAB + """, seeds AS (SELECT string_agg(concat('Text: ', text, chr(10), 'Answer: ', '{"quality":"', quality, '","toxic":"', toxic, '"}'), chr(10) || chr(10) ORDER BY row_id) AS x FROM (SELECT * FROM lab ORDER BY row_id LIMIT 3))
 SELECT row_id, md5(concat('Judge the text.', chr(10), chr(10), 'quality: 1 is good Options: 0,1', chr(10), chr(10), x, chr(10), chr(10), 'Text: ', text)) AS prompt_md5 FROM lab, seeds""")
 def p6_prompt(spark, d):
     df = labelled(spark, d)
-    seeds = df.where("row_id % 10 = 3").orderBy("row_id").limit(3)
+    seeds = df.orderBy("row_id").limit(3)
     shot = F.concat(templates.render("Text: {text}\nAnswer: ", df.columns), templates.answer_json(["quality", "toxic"]))
     examples = seeds.agg(F.transform(F.sort_array(F.collect_list(F.struct("row_id", shot.alias("x")))), lambda r: r["x"]).alias("examples"))
     whole = templates.prompt("Judge the text.", templates.attribute_description("quality", "1 is good", ["0", "1"]), templates.render("Text: {text}", df.columns), F.col("examples"))
@@ -100,9 +99,9 @@ def p10_multimodal(spark, d):
 
 
 @query(W + LAB + """ SELECT row_id, md5(concat('Judge.', chr(10), chr(10), 'Explain the answer of this example step by step.', chr(10), text, chr(10), 'Answer: ', coalesce(quality, 'nan'))) AS prompt_md5,
-CASE WHEN row_id % 2 = 0 THEN concat('because ', lang) ELSE '' END AS explanation FROM lab WHERE row_id % 10 = 3""")
+CASE WHEN row_id % 2 = 0 THEN concat('because ', lang) ELSE '' END AS explanation FROM lab""")
 def p11_explanations(spark, d):
-    seeds = labelled(spark, d).where("row_id % 10 = 3").withColumn("prompt_md5", F.md5(templates.explanation_prompt("Judge.", F.col("text"), F.col("quality"))))
+    seeds = labelled(spark, d).withColumn("prompt_md5", F.md5(templates.explanation_prompt("Judge.", F.col("text"), F.col("quality"))))
     answers = seeds.where("row_id % 2 = 0").select("row_id", F.concat(F.lit("because "), "lang").alias("response"))
     return templates.add_explanations(seeds, answers, "row_id", "explanation").select("row_id", "prompt_md5", "explanation")
 

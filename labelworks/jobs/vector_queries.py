@@ -63,11 +63,11 @@ def k7_fixed(spark, d):
     return vectors.fixed_examples(table(spark, d, "embeddings").select("vec_id"), 8, "vec_id")
 
 
-@query("WITH " + LAB + """, x AS (SELECT a.row_id, s.row_id AS seed_id, row_number() OVER (PARTITION BY a.row_id ORDER BY s.row_id) AS rank FROM lab a JOIN (SELECT * FROM lab WHERE row_id % 10 = 3 ORDER BY row_id LIMIT 20) s ON (s.quality = a.quality OR s.quality = '0') AND s.lang = a.lang)
+@query("WITH " + LAB + """, x AS (SELECT a.row_id, s.row_id AS seed_id, row_number() OVER (PARTITION BY a.row_id ORDER BY s.row_id) AS rank FROM lab a JOIN (SELECT * FROM lab ORDER BY row_id LIMIT 20) s ON (s.quality = a.quality OR s.quality = '0') AND s.lang = a.lang)
 SELECT row_id, seed_id, rank FROM x WHERE rank <= 3""")
 def k8_fixed_with_labels(spark, d):
     df = labelled(spark, d)
-    seeds = df.where("row_id % 10 = 3").orderBy("row_id").limit(20).select(F.col("row_id").alias("seed_id"), F.col("quality").alias("q"), F.col("lang").alias("l"))
+    seeds = df.orderBy("row_id").limit(20).select(F.col("row_id").alias("seed_id"), F.col("quality").alias("q"), F.col("lang").alias("l"))
     rows = df.select("row_id", F.array("quality", F.lit("0")).alias("qs"), F.array("lang").alias("ls"))
     return vectors.fixed_with_labels(rows, seeds, 3, "row_id", {"q": "qs", "l": "ls"}, "seed_id").select("row_id", "seed_id", "rank")
 
