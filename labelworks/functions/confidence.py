@@ -28,6 +28,19 @@ def p_true(logprobs: Column) -> Column:
     return F.coalesce(F.when(F.lower(F.trim(first["token"])) == "yes", p).otherwise(-p), F.lit(0.0))
 
 
+def p_true_prompt(prompt: Column, response: Column) -> Column:
+    """The second question to the model: its own prompt and answer, and whether that is right."""
+    return F.concat(prompt, response, F.lit("\nIs this answer to the last example right? Say Yes or No: "))
+
+
+def p_true_of_two(yes: Column, no: Column) -> Column:
+    """For a model that only scores given texts: the tokens of both, of which the likelier first token decides (equal: no);
+    0 where either is missing or empty."""
+    first = lambda c: F.get(c, F.lit(0))["logprob"]
+    both = (F.size(yes) > 0) & (F.size(no) > 0)
+    return F.coalesce(F.when(both, F.when(first(yes) > first(no), p_true(yes)).otherwise(p_true(no))), F.lit(0.0))
+
+
 def or_zero(confidence: Column, attribute: str) -> Column:
     """An attribute's confidence; missing, or a failed row: 0."""
     return F.coalesce(confidence[attribute], F.lit(0.0))

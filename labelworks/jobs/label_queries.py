@@ -89,6 +89,13 @@ def c4_p_true(spark, d):
     return table(spark, d, "events").select("event_id", F.round(confidence.p_true(logs), 6).alias("p"))
 
 
+@query("""SELECT event_id, round(CASE WHEN event_id % 5 = 0 THEN 0 WHEN -(event_id % 7) / 10.0::DOUBLE > -0.3::DOUBLE THEN exp(-(event_id % 7) / 10.0::DOUBLE) ELSE -exp(-0.3::DOUBLE) END, 6) AS p FROM events""")
+def c4_p_true_of_two(spark, d):
+    said = lambda word, p: F.array(F.struct(F.lit(word).alias("token"), p.cast("double").alias("logprob")))
+    yes = F.when(F.col("event_id") % 5 != 0, said("Yes", -(F.col("event_id") % 7) / F.lit(10.0)))
+    return table(spark, d, "events").select("event_id", F.round(confidence.p_true_of_two(yes, said("No", F.lit(-0.3))), 6).alias("p"))
+
+
 @query(W + " SELECT row_id, CASE WHEN error IS NULL THEN conf ELSE 0.0 END AS quality, 0.0::DOUBLE AS other FROM lab")
 def c5_defaults(spark, d):
     df = labelled(spark, d).withColumn("m", F.when(F.col("error").isNull(), F.create_map(F.lit("quality"), "conf")))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import parse
 from ..functions.text import md5_of
 
 WEEK_MS = 7 * 24 * 3600 * 1000
+TOKENS = "array<struct<token:string,logprob:double>>"
 
 
 def generation_key(model: str, params: str, prompt: Column) -> Column:
@@ -44,38 +47,54 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "key", error: str | None =
     return newest.select(key, "r.*").select(*old.columns)
 
 
-def call_model(prompts: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], calls: int, batch_rows: int = 1000) -> DataFrame:
-    """``fn`` on batches of (key, prompt); it returns text and error for each. An exception becomes an error of each row."""
+def call_model(prompts: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], calls: int | None = None, batch_rows: int = 1000) -> DataFrame:
+    """``fn`` on batches of (key, prompt); it returns text and error for each, and if it knows them code (the provider's
+    failure code), logprobs (a list of (token, logprob) pairs) and cost. An exception becomes an error of each row.
+
+    Columns: key, response, error (the message), error_type, logprobs, cost. ``calls`` tasks call at once (default: the cluster's
+    parallelism).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[a : a + batch_rows]
+                none = [None] * len(part)
                 try:
                     got = fn(part["prompt"].reset_index(drop=True))
                     texts, errors = list(got["text"]), list(got["error"])
+                    codes, logs, costs = (list(got[c]) if c in got else none for c in ("code", "logprobs", "cost"))
                 except Exception as e:  # the provider's failure is the rows' result
-                    texts, errors = [None] * len(part), [f"llm_provider_error: {e}"] * len(part)
-                yield pd.DataFrame({"key": part["key"].to_numpy(object), "response": texts, "error": errors}, dtype=object)
+                    texts, errors, codes, logs, costs = none, [f"llm_provider_error: {e}"] * len(part), ["llm_provider_error"] * len(part), none, none
+                tokens = [[{"token": t, "logprob": p} for t, p in x] if isinstance(x, (list, tuple, np.ndarray)) else None for x in logs]
+                yield pd.DataFrame({"key": part["key"].to_numpy(object), "response": texts, "error": errors, "code": codes, "logprobs": tokens, "cost": costs}, dtype=object)
 
-    return prompts.select("key", "prompt").repartition(calls).mapInPandas(run, "key string, response string, error string")
+    tasks = calls or prompts.sparkSession.sparkContext.defaultParallelism
+    made = prompts.select("key", "prompt").repartition(tasks).mapInPandas(run, f"key string, response string, error string, code string, logprobs {TOKENS}, cost double")
+    return made.select("key", "response", "error", F.when(F.col("error").isNotNull(), parse.error_type(F.coalesce("code", "error"))).alias("error_type"), "logprobs", "cost")
 
 
-def label_prompts(prompts: DataFrame, store: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], now_ms: int, calls: int = 8, ttl_ms: int = WEEK_MS) -> tuple[DataFrame, DataFrame]:
+def label_prompts(prompts: DataFrame, store: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], now_ms: int, calls: int | None = None, ttl_ms: int = WEEK_MS, write_to: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Answers for (row_id, key, prompt), calling ``fn`` once per distinct key that the store lacks.
 
-    Returns the rows with response, error and cached, and the store's new rows. The caller writes the new rows first and
-    reads them back, so that a lost executor repeats no call.
+    Returns the rows with response, error, error_type, logprobs, cost and cached, and the store's new rows. With ``write_to``, a
+    new folder that all executors reach, the new rows are written there first and read back, so that neither the second use
+    nor a lost executor repeats a call; without it a caller that uses both results does so. The store's log-probabilities
+    are used where it has them; a stored answer costs nothing, and rows with one prompt share one call and show its cost each.
     """
-    known = live(store, now_ms).select("key", F.col("response").alias("known"))
+    known = live(store, now_ms).select("key", F.col("response").alias("known"), (F.col("logprobs") if "logprobs" in store.columns else F.lit(None)).cast(TOKENS).alias("known_logprobs"))
     todo = misses(prompts.select("key", "prompt").dropDuplicates(["key"]), known)
     made = call_model(todo, fn, calls).withColumn("created_ms", F.lit(now_ms).cast("long")).withColumn("ttl_ms", F.lit(ttl_ms).cast("long"))
+    if write_to is not None:
+        made.write.parquet(write_to)
+        made = prompts.sparkSession.read.schema(made.schema).parquet(write_to)
     return answered(prompts, known, made), made
 
 
 def answered(prompts: DataFrame, known: DataFrame, made: DataFrame) -> DataFrame:
-    joined = prompts.join(known, "key", "left").join(made.select("key", "response", "error"), "key", "left")
-    return joined.select(*prompts.columns, F.coalesce("known", "response").alias("response"), "error", F.col("known").isNotNull().alias("cached"))
+    cached = F.col("known").isNotNull()
+    joined = prompts.join(known, "key", "left").join(made.select("key", "response", "error", "error_type", "logprobs", "cost"), "key", "left")
+    return joined.select(*prompts.columns, F.coalesce("known", "response").alias("response"), "error", "error_type", F.when(cached, F.col("known_logprobs")).otherwise(F.col("logprobs")).alias("logprobs"), F.when(cached, 0.0).otherwise(F.col("cost")).alias("cost"), cached.alias("cached"))
 
 
 def majority(answers: DataFrame, row: str = "row_id", position: str = "pos", label: str = "label", payload: list[str] = ()) -> DataFrame:
