@@ -30,6 +30,8 @@ from .common import bytes_of, fresh_path, pieces, stored
 GZIP_MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
 READ_BYTES = 1 << 20
+#: A payload with more copies is looked up apart, so that no task gets all of them; of such payloads at most so many are broadcast.
+HOT_COPIES, MOST_HOT = 10_000, 500_000
 NO_REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,16 +67,26 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     """Write a record per row; the manifest (path, n_bytes, n_records).
 
     Rows with equal payloads of at least ``min_revisit_bytes`` bytes: the one with the smallest key is the response, the
-    others revisit it. Only keys and digests are shuffled for that.
+    others revisit it. Keys and digests are shuffled to find repeats. The repeats' digests go to all tasks where the session's
+    broadcast threshold allows it. Beyond that pages are shuffled by digest once, but for those of payloads with more than
+    ``HOT_COPIES`` copies, which find theirs in a broadcast table and are spread evenly.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
     digests = rows.select("k", F.sha1(F.col("p").cast("binary")).alias("d"), F.octet_length("p").alias("n"))
     # Only payloads that occur twice are needed beside the pages: the others are responses.
     again = digests.where(F.col("n") >= min_revisit_bytes).groupBy("d").agg(F.min("k").alias("first"), F.count("*").alias("c")).where("c > 1")
-    again = stored(again.select("d", "first"), "warc-revisits")
-    marked = rows.withColumn("d", F.sha1(F.col("p").cast("binary"))).join(again, "d", "left") if not again.isEmpty() else rows.withColumn("first", F.lit(None).cast("long"))
-    marked = marked.select("k", "u", "p", "first")
+    again = stored(again, "warc-revisits")
+    marked = rows.withColumn("d", F.sha1(F.col("p").cast("binary"))).withColumn("hot_first", F.lit(None).cast("long"))
+    repeats, hot = again.agg(F.count("*"), F.count_if(F.col("c") > HOT_COPIES)).first()
+    if 0 < hot <= MOST_HOT:
+        apart = again.where(F.col("c") > HOT_COPIES).select("d", F.col("first").alias("hot_first"))
+        marked = marked.drop("hot_first").join(F.broadcast(apart), "d", "left")
+        marked = marked.withColumn("d", F.when(F.col("hot_first").isNull(), F.col("d")).otherwise(F.concat(F.lit("-"), F.xxhash64("k", "u").cast("string"))))
+    if repeats > hot or hot > MOST_HOT:
+        marked = marked.join(again.select("d", "first"), "d", "left").select("k", "u", "p", F.coalesce("hot_first", "first").alias("first"))
+    else:
+        marked = marked.select("k", "u", "p", F.col("hot_first").alias("first"))
     spark.createDataFrame([], "x int").write.mode("overwrite").parquet(f"{folder}/_made")  # the folder, through Spark
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
