@@ -230,7 +230,7 @@ def j6_side_by_side(spark, d):
     return docs.join(made, F.col("lang").eqNullSafe(F.col("made_of")), "left").select("doc_id", F.length("text").cast("long").alias("n"), "code")
 
 
-@query()
+@query("SELECT md5(text) AS text_md5, count(*) AS rows, CAST(coalesce(length(text), 0) AS FLOAT) AS first_number FROM conversations GROUP BY text")
 def j7_embeddings(spark, d):
     texts = table(spark, d, "conversations").select("text")
     known = texts.sparkSession.createDataFrame([], "key string, embedding array<float>")
