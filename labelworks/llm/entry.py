@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_density, language, media, ngram_join, packing, quality, sql, token_coder, toxicity, warc
+from . import collocations, decontaminate, html_density, language, media, ngram_join, packing, prefix_trie, quality, sql, token_coder, toxicity, url_rules, warc
 from .tokens import vocabulary_path
 
 
@@ -54,9 +54,21 @@ def op10_count_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op10_query(_table(spark, sf_dir, "documents"))
 
 
+def op11_stream_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op11_query(_table(spark, sf_dir, "documents"))
+
+
+def op12_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.op12_query(_table(spark, sf_dir, "pages"))
+
+
+def op13_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op13_query(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_coder, op2_warc_ranges, op3_winnowing, op4_linear_grouping, op5_toxicity_ftrl, op6_transport_streams, op7_text_density, op8_quality_fourier, op9_language_profiles, op10_count_tree)}
+    return {f.__name__: f for f in (op1_token_coder, op2_warc_ranges, op3_winnowing, op4_linear_grouping, op5_toxicity_ftrl, op6_transport_streams, op7_text_density, op8_quality_fourier, op9_language_profiles, op10_count_tree, op11_stream_layout, op12_url_expressions, op13_burst_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_ranges": sql.OP2, "op3_winnowing": sql.OP3, "op10_count_tree": sql.OP10}
+    return {"op2_warc_ranges": sql.OP2, "op3_winnowing": sql.OP3, "op10_count_tree": sql.OP10, "op11_stream_layout": sql.OP11, "op12_url_expressions": sql.OP12}

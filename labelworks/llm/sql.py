@@ -24,3 +24,19 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.doc_id AS
 l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 80 * (p.n + q.n - i)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) ON a = d.doc_id"""
+
+_PIECES = rf"SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents"
+OP11 = rf"""WITH p AS ({_PIECES}), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p), t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(w[j + 1 : j + k], ' ') AS x FROM (SELECT lang, w, k, unnest(range(0, len(w) - k + 1)) AS j FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, x, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30), c AS (SELECT lang, k, x, f, string_split(x, ' ') AS w FROM f WHERE k > 1),
+h AS (SELECT lang, x, max(f) AS most FROM (SELECT lang, f, unnest([array_to_string(w[1 : k - 1], ' '), array_to_string(w[2 : k], ' ')]) AS x FROM c WHERE k > 2) GROUP BY 1, 2),
+v AS (SELECT c.* FROM c LEFT JOIN h ON h.lang = c.lang AND h.x = c.x WHERE 100 * coalesce(most, 0) < 80 * f), u AS (SELECT lang, k, x, f, array_to_string(w[1 : i], ' ') AS y, array_to_string(w[i + 1 : k], ' ') AS z, i FROM (SELECT *, unnest(range(1, k)) AS i FROM v)),
+s AS (SELECT u.lang, u.x, u.f AS a, y.f AS l, z.f AS r, i, CAST(CAST(2000000 AS HUGEINT) * u.f // (y.f + z.f) AS BIGINT) AS score FROM u JOIN f y ON y.lang = u.lang AND y.x = u.y JOIN f z ON z.lang = u.lang AND z.x = u.z),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, x ORDER BY score, i) AS o FROM s), q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, x) AS rank FROM b WHERE o = 1)
+SELECT q.lang, rank, x AS phrase, a, l, r, n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000"""
+
+OP12 = """WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS x(h, q, v)),
+f AS (SELECT page_id, concat(h, q) AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(q) DESC) AS o FROM p JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, q))
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON f.page_id = p.page_id AND o = 1"""
