@@ -1,6 +1,6 @@
 """Operator 11: phrase collocations from sorted count streams.
 
-Words are known by 64-bit hashes. Three passes over the texts count words, word pairs, and phrases of three and four words;
+Words are known by 64-bit hashes, and where the frequent ones fit a filter by their places in it. Three passes over the texts count words, word pairs, and phrases of three and four words;
 a batch counts its own phrases by sorting them, and the counts are combined on the map side before they are shuffled. A
 phrase that occurs often enough consists of such phrases, so a pass skips what the pass before has ruled out (where the
 filter fits ``MOST_FILTER`` numbers; else it counts everything and the threshold alone decides: the result is the same).
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import STEP_BYTES, WordHasher, bytes_of, give_back, mix, pieces, stored
@@ -106,14 +107,13 @@ def counted(key: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return order[at], np.diff(np.append(at, len(key)))
 
 
-def among(keys: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-    if known is None:
-        return np.ones(len(keys), bool)
+def places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in the sorted array ``known``, and whether it does."""
     if not len(known):
-        return np.zeros(len(keys), bool)
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.searchsorted(known, keys)
     at[at == len(known)] = 0
-    return known[at] == keys
+    return at, known[at] == keys
 
 
 def _arrow_long(x: np.ndarray | None, n: int) -> pa.Array:
@@ -137,15 +137,25 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return partial.groupBy("lang", "w1").agg(F.sum("f").alias("f"), F.min("word").alias("word"), (F.min("word") != F.max("word")).alias("clash"))
 
 
-def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], of: int, known) -> DataFrame:
-    """Counts of all phrases of the given sizes whose parts of ``of`` words are all in the broadcast filter ``known``."""
+def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], words, pairs=None) -> DataFrame:
+    """Counts of all phrases of the given sizes whose words and pairs of words are all in the broadcast filters (None: any is).
+
+    A word's id is its place in the filter of words, or without one its hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, keys = Reader(seed), None if known is None else known.value
+        read = Reader(seed)
+        of = 1 if pairs is None else 2
         for whole in batches:
             for batch in pieces(whole, "text", 4 * STEP_BYTES):
                 h, lang, salt, same = read(batch)
-                good = among(phrase_keys(runs(h, of), runs(salt, of)[0]), keys)
+                good = np.ones(max(0, len(h) - of + 1), bool)
+                if words is not None:
+                    at, found = places(phrase_keys([h], salt), words.value)
+                    h = at.astype(np.uint64)
+                    good &= np.logical_and.reduce(runs(found, of))
+                if pairs is not None:
+                    good &= places(phrase_keys(runs(h, 2), runs(salt, 2)[0]), pairs.value)[1]
                 for n in sizes:
                     m = len(h) - n + 1
                     if m <= 0:
@@ -161,21 +171,40 @@ def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], of: int, k
     return docs.mapInArrow(run, COUNTS).groupBy("lang", *WORDS).agg(F.sum("f").alias("f"))
 
 
-def filter_of(frequent: DataFrame, n: int, most: int):
-    """The keys of a stored table of frequent phrases of n words, sorted and broadcast; None where they are too many."""
-    if frequent.count() > most:
-        return None
+def keyed(df: DataFrame, n: int) -> DataFrame:
+    """``df`` with the key of its first n words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(0)
         for b in batches:
             salt = np.array([read.salt(x) for x in b.column("lang").to_pylist()], np.uint64)
             words = [b.column(w).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for w in WORDS[:n]]
-            keys = phrase_keys(words, salt)
-            yield pa.RecordBatch.from_arrays([_arrow_long(keys, b.num_rows)], ["key"])
+            yield b.append_column("key", _arrow_long(phrase_keys(words, salt), b.num_rows))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("key", LongType())]))
+
+
+def filter_of(frequent: DataFrame, n: int, most: int):
+    """The keys of a stored table of frequent phrases of n words, sorted and broadcast; None where they are more than ``most``, or
+    where two have one key."""
+    if frequent.count() > most:
+        return None
+    keys = np.sort(keyed(frequent.select("lang", *WORDS[:n]), n).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    return None if (keys[1:] == keys[:-1]).any() else frequent.sparkSession.sparkContext.broadcast(keys)
+
+
+def with_places(known: DataFrame, words) -> DataFrame:
+    """Frequent words under the ids that ``phrase_counts`` uses."""
+    if words is None:
+        return known
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, _ = places(b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), words.value)
+            yield b.set_column(b.schema.get_field_index("w1"), "w1", _arrow_long(at, b.num_rows))
 
-    keys = frequent.select("lang", *WORDS[:n]).mapInArrow(run, "key long").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    return frequent.sparkSession.sparkContext.broadcast(np.sort(keys))
+    made = keyed(known, 1)
+    return made.mapInArrow(run, made.schema).drop("key")
 
 
 def scan(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -225,8 +254,8 @@ def stream(frequent: DataFrame, order: list[str]) -> DataFrame:
         if held:
             yield made()
 
-    keyed = frequent.select("lang", *[F.expr(x).alias(n) for n, x in zip("abcd", order, strict=True)], "f")
-    dealt = keyed.repartitionByRange("lang", "a", "b").sortWithinPartitions("lang", *[F.col(x).asc_nulls_first() for x in "abcd"])
+    turned = frequent.select("lang", *[F.expr(x).alias(n) for n, x in zip("abcd", order, strict=True)], "f")
+    dealt = turned.repartitionByRange("lang", "a", "b").sortWithinPartitions("lang", *[F.col(x).asc_nulls_first() for x in "abcd"])
     return dealt.mapInArrow(run, "lang string, a long, b long, c long, d long, f long, in2 long, in3 long, longer long")
 
 
@@ -248,17 +277,19 @@ def best_cut() -> F.Column:
 def phrases(docs: DataFrame, least: int = LEAST, most_filter: int = MOST_FILTER, seed: int = 7) -> DataFrame:
     """All candidates that no longer one covers: lang, phrase, a, l, r, n, score."""
     plain = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = stored(word_counts(plain, seed).withColumn("word", F.when(F.col("f") >= least, F.col("word"))), "words")
-    if words.where("clash").take(1):
+    counts = stored(word_counts(plain, seed).withColumn("word", F.when(F.col("f") >= least, F.col("word"))), "words")
+    if counts.where("clash").take(1):
         return phrases(docs, least, most_filter, seed + 1)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    known = words.where(F.col("f") >= least).select("lang", "w1", "word", "f")
-    pairs = stored(phrase_counts(plain, seed, (2,), 1, filter_of(known, 1, most_filter)).where(F.col("f") >= least), "pairs")
-    more = stored(phrase_counts(plain, seed, (3, 4), 2, filter_of(pairs, 2, most_filter)).where(F.col("f") >= least), "phrases")
+    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    known = counts.where(F.col("f") >= least).select("lang", "w1", "word", "f")
+    words = filter_of(known, 1, most_filter)
+    known = stored(with_places(known, words), "known-words")
+    pairs = stored(phrase_counts(plain, seed, (2,), words).where(F.col("f") >= least), "pairs")
+    more = stored(phrase_counts(plain, seed, (3, 4), words, filter_of(pairs, 2, most_filter)).where(F.col("f") >= least), "phrases")
     frequent = pairs.unionByName(more)
-    key = lambda a, b, c, d: [F.col(a).alias("k1"), F.col(b).alias("k2"), F.coalesce(F.expr(c), F.lit(0)).alias("k3"), F.coalesce(F.expr(d), F.lit(0)).alias("k4"), F.when(F.col("d").isNotNull(), 4).when(F.col("c").isNotNull(), 3).otherwise(2).alias("size")]
-    left = stream(frequent, WORDS).select("lang", F.col("a").alias("w1"), F.col("b").alias("w2"), F.col("c").alias("w3"), F.col("d").alias("w4"), "f", "in2", "in3", F.col("longer").alias("longer_right"), *key("a", "b", "c", "d"))
-    back = stream(frequent, BACKWARD).select("lang", F.col("in2").alias("out2"), F.col("in3").alias("out3"), F.col("longer").alias("longer_left"), *key("a", "b", "c", "d"))
+    name = lambda a, b, c, d: [F.col(a).alias("k1"), F.col(b).alias("k2"), F.coalesce(F.expr(c), F.lit(0)).alias("k3"), F.coalesce(F.expr(d), F.lit(0)).alias("k4"), F.when(F.col("d").isNotNull(), 4).when(F.col("c").isNotNull(), 3).otherwise(2).alias("size")]
+    left = stream(frequent, WORDS).select("lang", F.col("a").alias("w1"), F.col("b").alias("w2"), F.col("c").alias("w3"), F.col("d").alias("w4"), "f", "in2", "in3", F.col("longer").alias("longer_right"), *name("a", "b", "c", "d"))
+    back = stream(frequent, BACKWARD).select("lang", F.col("in2").alias("out2"), F.col("in3").alias("out3"), F.col("longer").alias("longer_left"), *name("a", "b", "c", "d"))
     # The suffix stream's words, turned round again.
     turned = back.select("lang", "out2", "out3", "longer_left", "size", F.expr("CASE size WHEN 4 THEN k4 WHEN 3 THEN k3 ELSE k2 END").alias("k1"), F.expr("CASE size WHEN 4 THEN k3 WHEN 3 THEN k2 ELSE k1 END").alias("k2"), F.expr("CASE size WHEN 4 THEN k2 WHEN 3 THEN k1 ELSE 0 END").alias("k3"), F.expr("CASE size WHEN 4 THEN k1 ELSE 0 END").alias("k4"))
     both = left.hint("merge").join(turned, ["lang", "size", "k1", "k2", "k3", "k4"])
