@@ -33,20 +33,71 @@ def md5_of(*parts: Column) -> Column:
     return F.md5(F.concat(*[F.md5(F.coalesce(p.cast("string"), F.lit(""))) for p in parts]))
 
 
+#: Texts up to this length (of the shorter one) are compared by rolling rows, longer ones by binary search.
+SHORT = 48
+
+# The multipliers of the public splitmix64 finalizer.
+_MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _rolling_common(x: np.ndarray, y: np.ndarray) -> int:
+    row, best = np.zeros(len(x) + 1, np.int32), 0
+    for c in y:
+        row[1:] = np.where(x == c, row[:-1] + 1, 0)
+        best = max(best, int(row.max()))
+    return best
+
+
+def _prefix_hashes(x: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Prefix sums of scrambled characters times powers of an odd number, modulo 2**64."""
+    v = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    v = (v ^ (v >> np.uint64(30))) * _MIX[0]
+    v = (v ^ (v >> np.uint64(27))) * _MIX[1]
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((v ^ (v >> np.uint64(31))) * powers[: len(x)])])
+
+
 def _common(a: str, b: str) -> int:
-    """Length of the longest common substring: a rolling row over the shorter text."""
+    """Length of the longest common substring.
+
+    A common substring of a length has common ones of all smaller lengths, so the length is found by binary search: the
+    hashes of all runs of that length of the shorter text are sorted and those of the longer one are looked up. A hit counts once
+    the characters agree; should hits of one length all be collisions, rolling rows decide.
+    """
     if len(a) < len(b):
         a, b = b, a
-    if not b:
-        return 0
-    x = np.frombuffer(a.encode("utf-32-le"), np.uint32)
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row, best = np.zeros(len(y) + 1, np.int32), 0
-    for c in x:
-        row[1:] = np.where(y == c, row[:-1] + 1, 0)
-        row[0] = 0
-        best = max(best, int(row.max()))
-    return best
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    if len(y) <= SHORT:
+        return _rolling_common(x, y) if len(y) else 0
+    # Characters shared with their counts bound the length from above.
+    own, n = np.unique(y, return_counts=True)
+    at = np.searchsorted(own, x)
+    at[at == len(own)] = 0
+    shared = np.minimum(np.bincount(at[own[at] == x], minlength=len(own)), n).sum()
+    odd = 0xD1342543DE82EF95
+    up, down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(x), w, np.uint64)])) for w in (odd, pow(odd, -1, 1 << 64)))
+    hx, hy = _prefix_hashes(x, up), _prefix_hashes(y, up)
+
+    def has(size: int) -> bool | None:
+        p, q = (h[size:] - h[:-size] for h in (hx, hy))
+        p, q = p * down[: len(p)], q * down[: len(q)]
+        order = np.argsort(q)
+        found = np.searchsorted(q, p, sorter=order)
+        found[found == len(q)] = 0
+        hits = np.flatnonzero(q[order[found]] == p)
+        for i in hits[:4].tolist():
+            j = int(order[found[i]])
+            if np.array_equal(x[i : i + size], y[j : j + size]):
+                return True
+        return None if len(hits) else False
+
+    low, high = 0, int(shared)
+    while low < high:
+        size = (low + high + 1) // 2
+        there = has(size)
+        if there is None:
+            return _rolling_common(x, y)
+        low, high = (size, high) if there else (low, size - 1)
+    return low
 
 
 @F.pandas_udf(LongType())

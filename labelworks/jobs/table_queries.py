@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import parse, templates, text
-from ..operators import enrich, rows, store, validate
+from ..operators import enrich, metrics, rows, scan, store, validate
 from .registry import query
 from .stub import LAB, labelled, table
 
@@ -42,6 +42,25 @@ def p2_shuffle(spark, d):
     return rows.shuffle_rows(table(spark, d, "documents").select("doc_id", "source"), 42, "doc_id", 5, 100)
 
 
+@query(W + LAB + " SELECT row_id, conf FROM (SELECT row_id, conf, row_number() OVER (ORDER BY conf, row_id) AS n FROM lab) WHERE n > 10")
+def p1_rest_by_key(spark, d):
+    """All rows but the first ten by confidence, by ranges of the order."""
+    df = labelled(spark, d).select("row_id", "conf").withColumn("key", F.struct("conf", "row_id"))
+    return rows.slice_by_key(df, "key", 10).drop("key")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY md5(concat('7:', CAST(doc_id AS VARCHAR))), doc_id) AS n FROM documents) WHERE n > 5")
+def p2_shuffle_rest(spark, d):
+    return rows.shuffle_rows(table(spark, d, "documents").select("doc_id", "source"), 7, "doc_id", 5)
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS row_id FROM lineitem")
+def s3_row_ids(spark, d):
+    """Dense row ids in the order of a date that many rows share."""
+    df = table(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return scan.dense_ids(df, [F.col(c) for c in df.columns]).drop("l_shipdate")
+
+
 @query("SELECT doc_id, concat('Text: ', coalesce(text, 'nan'), ' [', coalesce(lang, 'nan'), '] ', '') AS rendered FROM documents")
 def p3_template(spark, d):
     docs = table(spark, d, "documents")
@@ -168,6 +187,25 @@ def x3_common_substring(spark, d):
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", text.common_substring_length("text", "after").alias("common"))
 
 
+_COMMON = """WITH p AS (SELECT a.page_id, a.url AS a, b.url AS b FROM pages a JOIN pages b ON b.page_id = a.page_id + 1), i AS (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM p), s AS (SELECT *, unnest(range(1, length(a) - i + 2)) AS n FROM i),
+c AS (SELECT page_id, max(CASE WHEN contains(b, substring(a, i, n)) THEN n ELSE 0 END) AS common, max(greatest(length(a), length(b))) AS longer FROM s GROUP BY 1)"""
+
+
+def _urls(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    return p.join(p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("after")), "page_id")
+
+
+@query(_COMMON + " SELECT page_id, common FROM c")
+def x3_common_url(spark, d):
+    return _urls(spark, d).select("page_id", text.common_substring_length("url", "after").alias("common"))
+
+
+@query(_COMMON + " SELECT page_id, round(common / longer, 6) AS similarity FROM c")
+def a15_url_similarity(spark, d):
+    return _urls(spark, d).select("page_id", F.round(metrics.text_similarity(F.col("url"), F.col("after")), 6).alias("similarity"))
+
+
 @query(f"SELECT doc_id, CAST({_TOK.format('text')} AS BIGINT) AS n FROM documents")
 def x4_token_count(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_count(F.col("text")).alias("n"))

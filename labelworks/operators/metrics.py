@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
 
 from ..functions.text import common_substring_length, normalize, similar_text, tokens
+from ..sources.scratch import stored
+from .scan import prefix_sums
 from .vectors import small
 
 ATTRIBUTE = "attribute"
@@ -49,18 +50,17 @@ def matched(long: DataFrame, fuzzy: bool = True) -> DataFrame:
     return long.where(valid()).withColumn("match", match).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
 
 
-def threshold_table(long: DataFrame, fuzzy: bool = True, digits: int | None = None) -> DataFrame:
+def threshold_table(long: DataFrame, fuzzy: bool = True, digits: int | None = None, parts: int | None = None) -> DataFrame:
     """For each attribute and distinct confidence: positives and negatives at and above it, the rates, and the share of rows
     strictly above it (completion).
 
-    The windows run over distinct confidences of an attribute, not over rows; ``digits`` rounds them, so that there are few
-    however many rows there are.
+    Counts of distinct confidences are dealt to ranges of them, and each range adds what the ranges above it hold: no task sees
+    all confidences of an attribute. ``digits`` rounds them.
     """
     conf = F.col("conf") if digits is None else F.round("conf", digits)
     counts = matched(long, fuzzy).groupBy(ATTRIBUTE, conf.alias("threshold")).agg(F.count_if("match").alias("pos"), F.count_if(~F.col("match")).alias("neg"))
-    down = Window.partitionBy(ATTRIBUTE).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(ATTRIBUTE)
-    x = counts.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    x = prefix_sums(stored(counts, "thresholds"), [ATTRIBUTE], [-F.col("threshold")], {"tp": "pos", "fp": "neg"}, parts)
+    x = x.withColumnsRenamed({"all_tp": "p", "all_fp": "n"})
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return x.select(ATTRIBUTE, "threshold", rate("tp", "p").alias("tpr"), rate("fp", "n").alias("fpr"), ((F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")) / (F.col("p") + F.col("n"))).alias("completion"), "pos", "neg", "tp", "fp", "p", "n")
 
@@ -119,12 +119,12 @@ def classification_report(long: DataFrame, most_labels: int = 10) -> DataFrame:
     return rows.drop("tp").unionByName(macro).unionByName(weighted).unionByName(accuracy)
 
 
-def running_metrics(long: DataFrame, row_id: str, step: int = 100) -> DataFrame:
-    """Accuracy and completion over the first 100, 200, ... rows: sums per bucket, accumulated over buckets only."""
+def running_metrics(long: DataFrame, row_id: str, step: int = 100, parts: int | None = None) -> DataFrame:
+    """Accuracy and completion over the first 100, 200, ... rows: sums per bucket, accumulated over ranges of buckets."""
     hit = F.when(valid() & (F.col("pred") == F.col("truth")), 1).otherwise(0)
     sums = long.groupBy(ATTRIBUTE, F.floor(F.col(row_id) / step).alias("bucket")).agg(F.count("*").alias("rows"), F.count_if(F.col("error").isNull()).alias("done"), F.count_if(valid()).alias("valid"), F.sum(hit).alias("hit"))
-    up = Window.partitionBy(ATTRIBUTE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    t = sums.select(ATTRIBUTE, "bucket", *[F.sum(c).over(up).alias(c) for c in ("rows", "done", "valid", "hit")])
+    names = ["rows", "done", "valid", "hit"]
+    t = prefix_sums(stored(sums, "running").withColumnsRenamed({n: f"{n}_here" for n in names}), [ATTRIBUTE], [F.col("bucket")], {n: f"{n}_here" for n in names}, parts)
     return t.select(ATTRIBUTE, F.col("rows").alias("first_rows"), (F.col("done") / F.col("rows")).alias("completion_rate"), F.when(F.col("valid") > 0, F.col("hit") / F.col("valid")).otherwise(0.0).alias("accuracy"))
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import slice_of_order
+
+#: Rows up to which a slice is sorted by tasks that keep its best rows only.
+TOP_ROWS = 10_000
+
 
 def slice_rows(df: DataFrame, start: int = 0, most: int | None = None, row_id: str = "row_id") -> DataFrame:
     """Skip ``start`` rows, then at most ``most`` (None or 0: all), by a dense row id: a filter, no sort."""
@@ -14,17 +19,24 @@ def slice_rows(df: DataFrame, start: int = 0, most: int | None = None, row_id: s
     return df.where(kept)
 
 
+def _ordered_slice(df: DataFrame, order: list[Column], start: int, most: int | None) -> DataFrame:
+    """A short slice from the start is a top-k; any other one is cut from ranges of the order."""
+    if most and start + most <= TOP_ROWS:
+        return df.orderBy(*order).offset(start).limit(most)
+    if not start and not most:
+        return df.orderBy(*order)
+    return slice_of_order(df, order, start, most)
+
+
 def slice_by_key(df: DataFrame, key: str, start: int = 0, most: int | None = None) -> DataFrame:
-    """The same by the order of a key, where no dense id exists."""
-    ordered = df.orderBy(key).offset(start)
-    return ordered.limit(most) if most else ordered
+    """The same by the order of a key, where no dense id exists; in order. Rows of equal keys are in any order."""
+    return _ordered_slice(df, [F.col(key)], start, most)
 
 
 def shuffle_rows(df: DataFrame, seed: int, key: str, start: int = 0, most: int | None = None) -> DataFrame:
-    """A seeded order that any partitioning reproduces, then a slice (a bounded one is a top-k, no full sort)."""
+    """A seeded order that any partitioning reproduces, then a slice of it."""
     order = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
-    ordered = df.orderBy(order, key).offset(start)
-    return ordered.limit(most) if most else ordered
+    return _ordered_slice(df, [order, F.col(key)], start, most)
 
 
 def filter_rows(df: DataFrame, label_column: str, truth_column: str | None = None, label: str | None = None, truth: str | None = None, predicate: Column | None = None) -> DataFrame:
