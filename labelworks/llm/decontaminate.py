@@ -2,9 +2,9 @@
 
 Both sides keep, of every WINDOW consecutive hashes of K words each, the smallest (all of them on a tie). Which ones
 are kept depends on the words inside the window alone, so a shared run of K + WINDOW - 1 = 13 words always leaves a
-common fingerprint at the same place of both. The fingerprints are joined, and each hit is extended over the words that
-agree around it: an agreeing run of 13 words or more is an occurrence of as many of the item's windows.
-Items of fewer words are one window each: all runs of their length are compared by hash.
+common fingerprint at the same place of both. The fingerprints are joined, and each hit is extended to the windows of 13
+words around it, which are compared with the items' windows by hash, each different one once: a run that repeats itself on
+both sides costs its words, not their product. Items of fewer words are one window each.
 
 The benchmark is taken in blocks of at most ``block_words`` words, which is what a task holds of it; a larger benchmark
 makes more passes over the documents, and the hits of a document are then united. Documents are never shuffled.
@@ -67,8 +67,18 @@ def fingerprints(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
     return at, grams[at]
 
 
+def _table(hashes: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their items, each pair once."""
+    h, i = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((hashes, np.uint64), (items, np.int32)))
+    order = np.lexsort((i, h))
+    h, i = h[order], i[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (i[1:] != i[:-1])
+    return h[new], i[new]
+
+
 class Matcher:
-    """A block of the benchmark, ready to be looked up: fingerprints, words and short items."""
+    """A block of the benchmark, ready to be looked up: fingerprints, and the windows of each number of words."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
         self.hasher = WordHasher(word_bytes())
@@ -76,66 +86,58 @@ class Matcher:
         equal: dict[bytes, list[str]] = {}
         for name, raw in items:
             equal.setdefault(raw, []).append(name)
-        items = [(names, raw) for raw, names in equal.items()]
+        self.names = list(equal.values())
         # Padding keeps the last item's windows whole.
-        hashes, owner, _, _ = self.hasher([x for _, x in items] + [b"a " * SPAN])
-        self.names = [n for n, _ in items]
-        bounds = np.searchsorted(owner, np.arange(len(items) + 1))
-        self.words = [hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        hashes, owner, _, _ = self.hasher([*equal, b"a " * SPAN])
+        bounds = np.searchsorted(owner, np.arange(len(equal) + 1))
+        sizes = np.diff(bounds)
         at, found = fingerprints(hashes, owner)
-        long = np.array([len(w) >= SPAN for w in self.words] + [False])
-        kept = long[owner[at]]
-        at, found = at[kept], found[kept]
-        order = np.argsort(found, kind="stable")
-        self.found, self.item, self.place = found[order], owner[at][order], (at - bounds[owner[at]])[order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in range(1, SPAN):
-            own = [i for i, w in enumerate(self.words) if len(w) == n]
-            if own:
-                h = np.array([rolling(self.words[i], n)[0] for i in own], np.uint64)
-                order = np.argsort(h, kind="stable")
-                self.short[n] = h[order], np.array(own)[order]
-
-    @staticmethod
-    def _lookup(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of ``wanted`` that are in the sorted table, with the range of their equals."""
-        first = np.searchsorted(table, wanted, "left")
-        there = np.flatnonzero(table[np.minimum(first, len(table) - 1)] == wanted)
-        return there, first[there], np.searchsorted(table, wanted[there], "right")
-
-    def match(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
-        """Words of each text, and for each occurrence: text, item and the numbers of the text's words that are hit."""
+        long = np.append(sizes >= SPAN, False)
+        self.found = np.unique(found[long[owner[at]]])
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, SPAN + 1):
+            own = np.flatnonzero(sizes == n if n < SPAN else sizes >= n)
+            if len(own):
+                grams = [rolling(hashes[bounds[i] : bounds[i + 1]], n) for i in own]
+                self.windows[n] = _table(grams, [np.full(len(g), i, np.int32) for g, i in zip(grams, own, strict=True)])
+
+    def match(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Where each text's words begin, which words are hit, and the items with windows in each text.
+
+        A fingerprint found in the benchmark is extended to the windows that hold it, and these are looked up; shorter items
+        are looked up at all places. Time grows with the words and what is found, however often either side repeats itself.
+        """
         hashes, owner, _, _ = self.hasher([*texts, b"a " * SPAN])
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-        last = bounds[-1]
-        hits: list[tuple[int, int, np.ndarray]] = []
-        if len(self.found):
-            at, found = fingerprints(hashes, owner)
-            at, found = at[at < last], found[at < last]
-            there, first, after = self._lookup(self.found, found)
-            tried: set[tuple[int, int, int]] = set()
-            for p, a, b in zip(at[there].tolist(), first.tolist(), after.tolist(), strict=True):
-                for j in range(a, b):
-                    t, item, shift = int(owner[p]), int(self.item[j]), p - int(self.place[j])
-                    if (t, item, shift) in tried:
-                        continue
-                    tried.add((t, item, shift))
-                    words = self.words[item]
-                    lo, hi = max(int(bounds[t]), shift), min(int(bounds[t + 1]), shift + len(words))
-                    same = np.concatenate([[False], hashes[lo:hi] == words[lo - shift : hi - shift], [False]])
-                    turns = np.flatnonzero(same[1:] != same[:-1])
-                    for x, y in zip(turns[0::2].tolist(), turns[1::2].tolist(), strict=True):
-                        if y - x >= SPAN:
-                            hits.append((t, item, np.arange(lo + x, lo + y) - bounds[t]))
-        for n, (table, own) in self.short.items():
-            grams = rolling(hashes[:last], n)
-            whole = owner[: len(grams)] == owner[n - 1 : n - 1 + len(grams)]
-            there, first, after = self._lookup(table, grams)
-            for p, a, b in zip(there.tolist(), first.tolist(), after.tolist(), strict=True):
-                if whole[p]:
-                    t = int(owner[p])
-                    hits += [(t, int(i), np.arange(p, p + n) - bounds[t]) for i in own[a:b]]
-        return np.diff(bounds), hits
+        last = int(bounds[-1])
+        edges = np.zeros(last + 1, np.int32)
+        pairs: list[np.ndarray] = []
+        for n, (table, items) in self.windows.items():
+            grams = rolling(hashes, n)[: max(0, last - n + 1)]
+            asked = owner[: len(grams)] == owner[n - 1 : n - 1 + len(grams)]
+            if n == SPAN:
+                at, found = fingerprints(hashes, owner)
+                at = at[(at < last) & np.isin(found, self.found)]
+                around = np.zeros(last + SPAN + 1, np.int32)
+                np.add.at(around, np.maximum(at - (WINDOW - 1), 0), 1)
+                np.add.at(around, at + 1, -1)
+                asked &= np.cumsum(around)[: len(grams)] > 0
+            at = np.flatnonzero(asked)
+            first = np.searchsorted(table, grams[at], "left")
+            there = table[np.minimum(first, len(table) - 1)] == grams[at]
+            at, first = at[there], first[there]
+            edges[at] += 1
+            edges[at + n] -= 1
+            # A text and a window that it holds, once; then the window's items.
+            once = np.unique(owner[at] * len(table) + first)
+            text, first = once // len(table), once % len(table)
+            many = np.searchsorted(table, table[first], "right") - first
+            row = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            pairs.append(np.unique(np.repeat(text, many) * len(self.names) + items[row]))
+        own: list[list[int]] = [[] for _ in texts]
+        for x in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
+            own[x // len(self.names)].append(x % len(self.names))
+        return bounds, np.cumsum(edges)[:last] > 0, own
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -173,16 +175,11 @@ def _marked(documents: DataFrame, items: list[tuple[str, bytes]], spans: bool) -
         matcher = made[0]
         for batch in batches:
             for part in pieces(batch, "text"):
-                n_words, hits = matcher.match(bytes_of(part, "text"))
-                words: dict[int, list[np.ndarray]] = {}
-                found: dict[int, set[int]] = {}
-                for t, item, at in hits:
-                    words.setdefault(t, []).append(at)
-                    found.setdefault(t, set()).add(item)
+                bounds, is_hit, found = matcher.match(bytes_of(part, "text"))
                 rows = []
-                for t, n in enumerate(n_words.tolist()):
-                    hit = np.unique(np.concatenate(words[t])) if t in words else np.empty(0, np.int64)
-                    own = [name for i in found.get(t, ()) for name in matcher.names[i]]
+                for a, b, items in zip(bounds[:-1].tolist(), bounds[1:].tolist(), found, strict=True):
+                    n, own = b - a, [name for i in items for name in matcher.names[i]]
+                    hit = np.flatnonzero(is_hit[a:b])
                     rows.append((n, hit.tolist(), own) if spans else (n, len(hit), len(own), _digest(own), len(hit) > 0 and 20 * len(hit) >= n))
                 columns = list(part.columns) + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])

@@ -11,13 +11,14 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labelworks.llm import decontaminate, html_density, language, media, ngram_join, packing, quality, token_coder, toxicity, warc
 from labelworks.llm.common import WordHasher, rolling
 from labelworks.llm.tokens import WordwiseTokenizer, vocabulary_path
 
-ODD = [None, "", " ", "  a  b ", " a", "a ", "a\n b", "a \n b", "don't  stop\t x", "é ́a b", "1 234  5\r\n\r\n  z", "x " * 50, "ς Σ ΑΣ", "<|endoftext|> hi", "a<|startoftext|>b c", "so <|endoftext|>.", "a <|endof", "a.\nB, c.", "a.\n\nB", "x.,y., z.", "a\n", "\na", "\0 a\0b", "3. 4, a_. b_, ǅa. Σσς, ß.", "一二 三", "a\tb\n\tc", "Éa. É, Ä.\nÖ", "a\u00a0b", "\u00a0", "b\u2009 c", "sixteen-bytes-or-more and more-than-sixteen,"]
+ODD = [None, "", " ", "  a  b ", " a", "a ", "a\n b", "a \n b", "don't  stop\t x", "é ́a b", "1 234  5\r\n\r\n  z", "x " * 50, "ς Σ ΑΣ", "<|endoftext|> hi", "a<|startoftext|>b c", "so <|endoftext|>.", "a <|endof", "a.\nB, c.", "a.\n\nB", "x.,y., z.", "a\n", "\na", "\0 a\0b", "3. 4, a_. b_, ǅa. Σσς, ß.", "一二 三", "a\tb\n\tc", "Éa. É, Ä.\nÖ", "a\u00a0b", "\u00a0", "b\u2009 c", "sixteen-bytes-or-more and more-than-sixteen,", "a\tBELEDİYESİ. x", "a\xa0b Tİ. x", "İ. İ, İ.\tİ\nİ.", "Tİ. x Tİ, y İ"]
 VOCABULARIES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 #: The files as a user would load them, none of their switches touched.
 PLAIN = {name: Tokenizer.from_file(vocabulary_path(name)) for name in VOCABULARIES}
@@ -121,17 +122,32 @@ def brute_hits(texts, items):
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=60).map(" ".join), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("ab"), max_size=40).map(" ".join), max_size=4))
 def test_winnowing_equals_brute_force(texts, items):
     matcher = decontaminate.Matcher([(str(i), t.encode()) for i, t in enumerate(items)])
-    n, hits = matcher.match([t.encode() for t in texts])
+    bounds, is_hit, found = matcher.match([t.encode() for t in texts])
     for i, (size, hit, own) in enumerate(brute_hits(texts, items)):
-        mine = [h for h in hits if h[0] == i]
-        assert (int(n[i]), sorted({int(x) for h in mine for x in h[2]}), {int(x) for h in mine for x in matcher.names[h[1]]}) == (size, hit, own)
+        a, b = bounds[i : i + 2].tolist()
+        assert (b - a, np.flatnonzero(is_hit[a:b]).tolist(), {int(x) for k in found[i] for x in matcher.names[k]}) == (size, hit, own)
+
+
+def test_winnowing_of_texts_that_repeat_themselves():
+    """Ties at length: a time that grew with both lengths' product would take minutes here."""
+    items = ["w " * 3000, "a b " * 900, "a b c " * 5, *["w " * k for k in range(1, 13)], "w " * 3000, "a b a c " * 400]
+    texts = ["w " * 300_000, "a b " * 2000 + "x " + "a b c " * 4, "b " * 12, "w"]
+    bounds, is_hit, found = (m := decontaminate.Matcher([(str(i), t.encode()) for i, t in enumerate(items)])).match([t.encode() for t in texts])
+    own = [{int(x) for k in f for x in m.names[k]} for f in found]
+    assert own == [{0, *range(3, 16)}, {1}, set(), {3}]
+    assert [int(is_hit[a:b].sum()) for a, b in zip(bounds, bounds[1:])] == [300_000, 4000, 0, 1]
+    small = ["a b " * 30 + "a b c " * 9, "a b a c " * 20, "w " * 40]
+    for i, (size, hit, names) in enumerate(brute_hits(small, items)):
+        bounds, is_hit, found = m.match([small[i].encode()])
+        assert (int(bounds[1]), np.flatnonzero(is_hit).tolist(), {int(x) for k in found[0] for x in m.names[k]}) == (size, hit, names)
 
 
 def test_winnowing_of_an_item_split_over_neighbours():
     words = [f"w{i}" for i in range(75)]
     texts = ["a b c " + " ".join(words[:30]), " ".join(words[30:60]), " ".join(words[60:]) + " d"]
-    n, hits = decontaminate.Matcher([("i", " ".join(words).encode())]).match([t.encode() for t in texts])
-    assert n.tolist() == [33, 30, 16] and sorted((t, item, at.tolist()) for t, item, at in hits) == [(0, 0, list(range(3, 33))), (1, 0, list(range(30))), (2, 0, list(range(15)))]
+    bounds, is_hit, found = decontaminate.Matcher([("i", " ".join(words).encode())]).match([t.encode() for t in texts])
+    assert np.diff(bounds).tolist() == [33, 30, 16] and found == [[0], [0], [0]]
+    assert np.flatnonzero(~is_hit).tolist() == [0, 1, 2, 78]
 
 
 def test_word_hashes_depend_on_words_alone(monkeypatch):
@@ -237,6 +253,10 @@ def words(n, of="abcd "):
     # A heading beside the content.
     ("<div><a href=x>elsewhere</a></div><article><h1>Title</h1><div>" + f"<p>{words(99, 'text ')}</p>" * 6 + "</div></article>", ("elsewhere",), ("Title", "text")),
     ("<div><a href=x>elsewhere</a></div><main><h1>Title</h1><div>" + f"<p>{words(99, 'text ')}</p>" * 6 + "</div></main>", ("elsewhere",), ("Title", "text")),
+    # Names of furniture that main text goes by as well: density and links decide.
+    (f"<article><section class=results><p>{words(60, 'found ')}</p></section><section class=discussion><p>{words(60, 'talk ')}</p><p>{words(70, 'talk ')}</p></section></article>", (), ("found", "talk")),
+    (f"<div class=facts><p>{words(60, 'fact ')}</p></div><div class=legal><p>{words(60, 'law ')}</p></div>", (), ("fact", "law")),
+    (f"<article><p>{words(99, 'text ')}</p><div class=share-price><p>{words(120, 'price ')}</p></div><div class='social share'>Press</div><div class='comments discussion'><p>{words(60, 'rude ')}</p></div></article>", ("rude", "Press"), ("text", "price")),
     # A chapter's id inside an article, and furniture of the same name outside.
     (f"<div id=discussion><p>{words(99, 'rude ')}</p></div><article><p>{words(99, 'text ')}</p><section id=discussion><p>{words(99, 'chapter ')}</p></section><div id=reader-comments><p>{words(99, 'rude ')}</p></div></article>", ("rude",), ("text", "chapter")),
 ])
@@ -245,6 +265,38 @@ def test_main_text_in_several_places(given, lost, kept):
     assert {w: text.count(w) for w in (*kept, *lost)} == {w: whole.count(w) for w in kept} | dict.fromkeys(lost, 0)
 
 
+def cells_of(spark, members, probes):
+    point = ngram_join.pack_points(np.bincount([1, 2, 3], minlength=64))
+    df = spark.range(members).select(F.lit(1).alias("kind"), F.lit(7).cast("long").alias("token"), "id", F.lit(3).alias("n"), F.col("id").alias("component"), (F.col("id") < probes).alias("probe"), F.lit(0).alias("place"), F.lit(None).cast("long").alias("before"))
+    return df.withColumns({"members": F.lit(members).cast("long"), "probes": F.lit(probes).cast("long"), "points": F.lit(bytes(point))})
+
+
+@pytest.mark.parametrize("members, probes, most", [(40_000, 1, 81_000), (40_000, 3000, 280_000), (2000, 1, 4000)])
+def test_rows_of_a_large_cell(spark, members, probes, most):
+    """A row is dealt for two classes of sizes; one probe costs the others no further rows."""
+    assert ngram_join._dealt(cells_of(spark, members, probes)).count() <= most
+
+
+@pytest.mark.parametrize("block", [3, 7, 100])
+def test_probes_of_a_large_cell_meet_all(monkeypatch, spark, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    for probes in (1, 4, 20, 30):
+        got = {(r.a, r.b) for r in ngram_join._tree_pairs(cells_of(spark, 30, probes)).collect()}
+        assert got == {(i, j) for i in range(30) for j in range(i + 1, 30) if i < probes}
+
+
+@pytest.mark.parametrize("low, high, n", [(1, 2048, 20_000), (900, 1200, 9000), (300, 1500, 400), (600, 800, 9000), (450, 600, 9000), (300, 420, 9000)])
+def test_plans_need_no_more_sequences_than_best_fit(low, high, n):
+    lengths, counts = np.unique(np.random.default_rng(0).integers(low, high + 1, n), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    plain = packing._Bins(2048)
+    for s in sorted(histogram, reverse=True):
+        plain.best_fit(s, histogram[s])
+    runs, found, _ = packing.best_plan(histogram)
+    check_plan(histogram, runs, found)
+    assert found <= plain.count
+
+
 def test_deep_pages_do_not_overflow():
     assert html_density.main_text("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
 
