@@ -18,8 +18,8 @@ than its prefix, so that it can give up shingles of the last kind. Then
    as it has members;
 3. cells whose members are now in different components, and only those, search an R-tree for the remaining pairs. They
    have MOST_MEMBERS members at most. Documents that would have to give up more than they have dealt out (families of
-   near copies, in the main) meet all others in the order before that, in cells of any size, cut into blocks that meet
-   two by two. A pair is passed over where both had the same cell just before, as it was met there, and where the
+   near copies, in the main) meet all others in the order before that, in cells of any size: blocks of
+   those that ask meet two by two, and each meets the blocks of the others, which do not meet each other. A pair is passed over where both had the same cell just before, as it was met there, and where the
    shingles behind their places in both prefixes are too few.
 
 Components of the links are found by contraction, in tables. Sets are only made of documents in a surviving pair, from
@@ -47,6 +47,8 @@ WORDS, GROUPS, LEAF, FAN = 5, 64, 16, 8
 MOST_MEMBERS = 64
 #: Rows of a block of a large cell; two blocks meet in one task.
 BLOCK = 2_048
+#: Probes of a cell up to which they meet its other rows one by one.
+FEW_PROBES = 64
 #: Pairs of one document that one task verifies; more are spread over tasks, and the document with them.
 MOST_PAIRS = 256
 #: Ids that a semi-join may broadcast (8 MB of them); more are joined by a shuffle.
@@ -346,12 +348,43 @@ def cell_pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield kept((base + i).ravel(), (base + j).ravel())
         elif m > LEAF:
             for at in begins.tolist():
+                asking = np.flatnonzero(probe[at : at + m])
+                if len(asking) <= FEW_PROBES and len(asking) < m:
+                    # Few rows ask: they meet the others without a tree.
+                    for lo in range(0, m, max(1, 100_000 // max(1, len(asking)))):
+                        other = np.arange(lo, min(m, lo + max(1, 100_000 // max(1, len(asking)))))
+                        i, j = np.repeat(asking, len(other)), np.tile(other, len(asking))
+                        once = (i < j) | ~probe[at + j]
+                        yield kept(at + i[once], at + j[once])
+                    continue
                 for i, j in CountTree(points[at : at + m], sizes[at : at + m]).row_pairs():
                     yield kept(at + i, at + j)
 
 
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Rows of CELL_ROWS, as often as they are needed: by classes of sizes, and by blocks in large cells."""
+    # Linked sizes differ by a factor of 1.25 at most: each document is in its own class, and a guest of the next smaller one.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    classes = F.array(F.struct(size_class.alias("c"), F.lit(True).alias("own")), F.struct((size_class - 1).alias("c"), F.lit(False).alias("own")))
+    # A cell of up to BLOCK rows is one; of a larger one, blocks of probes meet two by two, and each meets each block of the
+    # other rows, which stay apart: few probes cost each of the others one row, however many these are.
+    whole = F.col("members") <= BLOCK
+    probes = F.greatest(F.ceil(F.col("probes") / BLOCK).cast("int"), F.lit(1))
+    others = F.ceil((F.col("members") - F.col("probes")) / BLOCK).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+    to = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i < n)
+    place_of = lambda part, x, y, side: F.struct(F.lit(part).alias("part"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    among = F.transform(to(probes), lambda i: place_of(1, F.least(i, at(probes)), F.greatest(i, at(probes)), F.when(i == at(probes), 2).otherwise((at(probes) > i).cast("int"))))
+    ask = F.transform(to(others), lambda i: place_of(2, at(probes), i, F.lit(0)))
+    answer = F.transform(to(probes), lambda i: place_of(2, i, at(others), F.lit(1)))
+    spots = F.when(whole, F.array(place_of(0, F.lit(0), F.lit(0), F.lit(2)))).when(F.col("probe"), F.concat(among, ask)).otherwise(answer)
+    dealt = cells.withColumn("spot", F.explode(spots)).withColumn("x", F.explode(classes)).withColumn("side", F.col("spot.side"))
+    cell = F.xxhash64("kind", "token", "x.c", "spot.part", "spot.x", "spot.y")
+    return dealt.select(cell.alias("cell"), "id", "component", "x.own", "side", "probe", "place", "before", "points")
+
+
 def _tree_pairs(cells: DataFrame) -> DataFrame:
-    """Candidate pairs of ``cells`` (kind, token, id, n, component, probe, place, before, members, points)."""
+    """Candidate pairs of ``cells`` (kind, token, id, n, component, probe, place, before, members, probes, points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -386,15 +419,7 @@ def _tree_pairs(cells: DataFrame) -> DataFrame:
         a, b = np.unique(np.concatenate(steps, axis=1), axis=1)
         return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    # Linked sizes differ by a factor of 1.25 at most: each document is in its own class, and a guest of the next smaller one.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    classes = F.array(F.struct(size_class.alias("c"), F.lit(True).alias("own")), F.struct((size_class - 1).alias("c"), F.lit(False).alias("own")))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = cells.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.explode(classes))
-    side = F.when(F.col("block") == F.col("meets"), 2).otherwise((F.col("block") > F.col("meets")).cast("int"))
-    cell = F.xxhash64("kind", "token", "x.c", F.least("block", "meets"), F.greatest("block", "meets"))
-    dealt = dealt.select(cell.alias("cell"), "id", "component", "x.own", side.alias("side"), "probe", "place", "before", "points").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _dealt(cells).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def _cells(singles: DataFrame) -> DataFrame:
@@ -433,9 +458,9 @@ def _search_rows(cells: DataFrame, singles: DataFrame, near: DataFrame) -> DataF
     rows = rows.withColumn("place1", F.when(F.col("place") < prefix(F.col("n")), F.col("place")))
     rows = stored(rows.where("place0 is not null or place1 is not null").select("token", "id", "component", "probe", "several", "place0", "place1"), "prefix-rows")
     # Only cells of different components, and of kind 1 only those with a probe.
-    state = rows.groupBy("token").agg(*[F.expr(f"{how}(if(place{kind} is not null, component, null))").alias(f"{name}{kind}") for kind in (0, 1) for how, name in (("min", "lo"), ("max", "hi"), ("count", "m"))], F.max(F.col("probe") & F.col("place1").isNotNull()).alias("asked"))
-    state = state.select("token", F.expr("if(lo0 <> hi0, m0, null)").alias("m0"), F.expr("if(asked and lo1 <> hi1, m1, null)").alias("m1")).where("m0 is not null or m1 is not null")
-    kinds = F.array(*[F.when(F.col(f"place{k}").isNotNull() & F.col(f"m{k}").isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(f"place{k}").alias("place"), F.col(f"m{k}").alias("members"))) for k in (0, 1)])
+    state = rows.groupBy("token").agg(*[F.expr(f"{how}(if(place{kind} is not null, component, null))").alias(f"{name}{kind}") for kind in (0, 1) for how, name in (("min", "lo"), ("max", "hi"), ("count", "m"))], F.count_if(F.col("probe") & F.col("place1").isNotNull()).alias("asked"))
+    state = state.select("token", F.expr("if(lo0 <> hi0, m0, null)").alias("m0"), F.expr("if(asked > 0 and lo1 <> hi1, m1, null)").alias("m1"), F.col("m0").alias("p0"), F.col("asked").alias("p1")).where("m0 is not null or m1 is not null")
+    kinds = F.array(*[F.when(F.col(f"place{k}").isNotNull() & F.col(f"m{k}").isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(f"place{k}").alias("place"), F.col(f"m{k}").alias("members"), F.col(f"p{k}").alias("probes"))) for k in (0, 1)])
     rows = rows.join(state, "token").select("token", "id", "component", "probe", "several", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("as"))
     rows = rows.select("as.*", "token", "id", "component", "probe", "several").repartition("id")
     in_order = Window.partitionBy("kind", "id").orderBy("place")
