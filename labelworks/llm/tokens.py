@@ -13,8 +13,9 @@ from .common import mix
 
 #: White space besides the blank; the first nine are ASCII.
 BLANKS = [chr(i) for i in range(1, 0x3001) if chr(i).isspace() and i != 32]
-#: A full stop or comma between a letter and a blank or the end: pre-tokenizers always cut before it.
-MARK = re.compile(r"([.,])(?<=[^\W\d_][.,])(?= |\Z)")
+#: A full stop or comma between a letter and a blank or the end: pre-tokenizers always cut before it, but for the one letter
+#: whose lower case ends in a mark, which would join the stop.
+MARK = re.compile(r"([.,])(?<=[^\W\d_\u0130][.,])(?= |\Z)")
 #: The visible character that byte-level tokenizers use for each byte.
 _seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 VISIBLE = {b: chr(b) if b in _seen else chr(256 + b - sum(x < b for x in _seen)) for b in range(256)}
