@@ -243,7 +243,7 @@ def best_plan(histogram: dict[int, int], capacity: int = 2048) -> tuple[list[tup
     """The plan with the fewest sequences over a few numbers of groups and limits of small lengths; it ends at the floor."""
     floor = -(-sum(s * n for s, n in histogram.items()) // capacity)
     best = None
-    for groups, share in ((12, 1 / 3), (48, 1 / 3), (48, 1 / 4)):
+    for groups, share in ((12, 1 / 3), (48, 1 / 3), (48, 1 / 4), (48, 1 / 2), (24, 1 / 6)):
         got = plan(histogram, capacity, groups, share)
         if best is None or got[1] < best[1]:
             best = got
