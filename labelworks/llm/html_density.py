@@ -57,6 +57,9 @@ FURNITURE = re.compile(
 SURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|popup|newsletter|nav|navbar|breadcrumbs?|side-?bars?|foot(?:er)?|masthead|site-?header|page-?header|comments?|comment-?list|reader-?comments?|disqus|pagination|pager)(?:$|[\s_-])", re.I
 )
+#: Words of FURNITURE that main text is called by as well: an element with one stays if it is as dense as the main text's
+#: surroundings and has no more links than the page.
+LOOSE = re.compile(r"(?:^|[\s_-])(?:discussion|repl(?:y|ies)|share|sharing|social|related|recommend\w*|legal|disclaimer|copyright|search|alerts?|promo\w*|sponsor\w*|login|widgets?)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
@@ -65,28 +68,34 @@ NAMED_WEIGHT = 1 / 8
 
 
 class Node:
-    __slots__ = ("chars", "density", "dropped", "kids", "link_chars", "link_tags", "named", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "density", "dropped", "kids", "link_chars", "link_tags", "loose", "named", "parent", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool = False):
-        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool = False, loose: bool = False):
+        self.tag, self.parent, self.dropped, self.named, self.loose = tag, parent, dropped, named, loose
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture by its kind or role, and whether it is called so."""
+def _furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture by its kind or role, whether it is called so, and if so by loose words only."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True, False
+        return True, False, False
     if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False, tag == "form"
+        return False, tag == "form", False
     named = tag == "form"
+    loose = not named
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True, False
-        named = named or name in ("class", "id") and (SURE if name == "id" and inside_article else FURNITURE).search(value) is not None
-    return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None, named
+            return True, False, False
+        if name in ("class", "id"):
+            words = SURE if name == "id" and inside_article else FURNITURE
+            if words.search(value):
+                named = True
+                # What is left without the loose words, put together so that no two words meet.
+                loose = loose and not words.search(LOOSE.sub(" . ", LOOSE.sub(" . ", value)))
+    return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) is not None, named, named and loose
 
 
 def parse(page: str) -> Node:
@@ -155,8 +164,8 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag in ends and up.parent is not None:
                 node = close(up)
-        dropped, named = _furniture(tag, m[3], articles > 0)
-        new = Node(tag, node, node.dropped or dropped, named)
+        dropped, named, loose = _furniture(tag, m[3], articles > 0)
+        new = Node(tag, node, node.dropped or dropped, named, loose)
         node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -181,16 +190,29 @@ def _order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> Node:
-    """Fill in counts, densities and density sums; the body. Named elements apart from the main text become dropped ones."""
+    """Fill in counts, densities and density sums; the body. Named elements apart from the main text become dropped ones, but for
+    those with loose names that are as dense as the nodes from the main text up to the body."""
     body = _densities(root)
     named = [n for n in _order(root) if n.named]
     if not named:
         return body
-    up = max(_order(body), key=lambda n: n.total)
+    up = best = max(_order(body), key=lambda n: n.total)
     while up is not None:
         up.named = False
         up = up.parent
+    least, up = best.density, best
+    while up is not body and up.parent is not None:
+        up = up.parent
+        least = min(least, up.density)
+    # Beside an article, what is called a discussion is the readers'.
+    inside: set[Node] = set()
+    for n in _order(body):
+        if n.tag in ("article", "main") or n.parent in inside:
+            inside.add(n)
     for n in named:
+        if n.named and n.loose and (n in inside or not inside) and n.density >= least * NAMED_WEIGHT and n.link_chars * body.chars <= body.link_chars * n.chars:
+            # Its words' weight counted while the main text was looked for; its own density lets it stay.
+            n.named = False
         n.dropped = n.dropped or n.named
     return _densities(root)
 
