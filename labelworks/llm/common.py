@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh_path
+
 #: Bytes of text that one vectorised step takes at once; a longer text is cut at a word's end and joined again.
 STEP_BYTES = 1 << 20
 
@@ -21,19 +21,6 @@ STEP_BYTES = 1 << 20
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="spark-labelworks-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/labelworks/{label}-{uuid.uuid4().hex[:12]}"
-
-
 @contextmanager
 def narrow_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
     """Arrow batches of at most so many bytes: a task holds some copies of one, in the JVM and in its Python worker."""
