@@ -126,7 +126,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(seed)
         for whole in batches:
-            for batch in pieces(whole, "text", 4 * STEP_BYTES):
+            for batch in pieces(whole, "text", STEP_BYTES):
                 h, lang, salt, _ = read(batch)
                 at, f = counted(phrase_keys([h], salt), [h, lang])
                 words = pa.array([read.word(i) for i in at.tolist()], pa.string())
@@ -147,7 +147,7 @@ def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], words, pai
         read = Reader(seed)
         of = 1 if pairs is None else 2
         for whole in batches:
-            for batch in pieces(whole, "text", 4 * STEP_BYTES):
+            for batch in pieces(whole, "text", STEP_BYTES):
                 h, lang, salt, same = read(batch)
                 good = np.ones(max(0, len(h) - of + 1), bool)
                 if words is not None:
