@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions.text import md5_of
+from ..sources.scratch import stored
 
 WEEK_MS = 7 * 24 * 3600 * 1000
 TOKENS = "array<struct<token:string,logprob:double>>"
+#: The error type of prompts that a task had no calls left for, and the types of failures that another call may mend.
+OVER_BUDGET = "call_budget_error"
+RETRIED = ("rate_limit_error", "llm_provider_error", OVER_BUDGET)
 
 
 def generation_key(model: str, params: str, prompt: Column) -> Column:
@@ -47,19 +53,30 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "key", error: str | None =
     return newest.select(key, "r.*").select(*old.columns)
 
 
-def call_model(prompts: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], calls: int | None = None, batch_rows: int = 1000) -> DataFrame:
+def call_model(prompts: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], calls: int | None = None, batch_rows: int = 1000, most_calls: int | None = None, wait: float = 0.0) -> DataFrame:
     """``fn`` on batches of (key, prompt); it returns text and error for each, and if it knows them code (the provider's
     failure code), logprobs (a list of (token, logprob) pairs) and cost. An exception becomes an error of each row.
 
     Columns: key, response, error (the message), error_type, logprobs, cost. ``calls`` tasks call at once (default: the cluster's
-    parallelism).
+    parallelism). A task asks at most ``most_calls`` prompts, the others come back with the error type of OVER_BUDGET; before
+    each batch it waits ``wait`` seconds.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = 0
         for pdf in batches:
             for a in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[a : a + batch_rows]
+                if most_calls is not None and asked + len(part) > most_calls:
+                    over = part.iloc[max(0, most_calls - asked) :]
+                    part = part.iloc[: max(0, most_calls - asked)]
+                    yield pd.DataFrame({"key": over["key"].to_numpy(object), "response": None, "error": "no calls left", "code": OVER_BUDGET, "logprobs": None, "cost": None}, dtype=object)
+                    if not len(part):
+                        continue
+                asked += len(part)
                 none = [None] * len(part)
+                if wait:
+                    time.sleep(wait)
                 try:
                     got = fn(part["prompt"].reset_index(drop=True))
                     texts, errors = list(got["text"]), list(got["error"])
@@ -71,7 +88,32 @@ def call_model(prompts: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], call
 
     tasks = calls or prompts.sparkSession.sparkContext.defaultParallelism
     made = prompts.select("key", "prompt").repartition(tasks).mapInPandas(run, f"key string, response string, error string, code string, logprobs {TOKENS}, cost double")
-    return made.select("key", "response", "error", F.when(F.col("error").isNotNull(), parse.error_type(F.coalesce("code", "error"))).alias("error_type"), "logprobs", "cost")
+    return made.select("key", "response", "error", F.when(F.col("code") == OVER_BUDGET, OVER_BUDGET).when(F.col("error").isNotNull(), parse.error_type(F.coalesce("code", "error"))).alias("error_type"), "logprobs", "cost")
+
+
+def call_in_rounds(prompts: DataFrame, fn: Callable[[pd.Series, int], pd.DataFrame], rounds: int = 3, retried: tuple[str, ...] = RETRIED, calls: int | None = None, most_calls: int | None = None, wait: float = 0.0, prompts_per_task: int = 10_000) -> DataFrame:
+    """``call_model`` on (key, prompt), and again on what failed in a way that may pass, for at most so many rounds.
+
+    ``fn`` takes the prompts and the round, from 1. Each round's answers are a stored table, so a lost executor repeats no
+    round before; the next one reads only its failures, and only those of the types in ``retried``. The wait before a batch
+    doubles from round to round (none in the first). The last answer of each key is returned, with ``rounds``, the
+    number of times it was asked.
+    """
+    pending, kept = stored(prompts.select("key", "prompt").dropDuplicates(["key"]), "round-0"), []
+    for turn in range(1, rounds + 1):
+        left = pending.count()
+        if not left:
+            break
+        tasks = calls or max(prompts.sparkSession.sparkContext.defaultParallelism, -(-left // prompts_per_task))
+        answers = call_model(pending, lambda s, turn=turn: fn(s, turn), tasks, most_calls=most_calls, wait=wait * 2 ** (turn - 2) if turn > 1 else 0.0)
+        made = stored(answers.withColumn("rounds", F.lit(turn)), f"round-{turn}")
+        again = F.coalesce(F.col("error_type").isin(*retried), F.lit(False)) if turn < rounds else F.lit(False)
+        kept.append(made.where(~again))
+        if turn < rounds:
+            pending = stored(pending.join(made.where(again).select("key"), "key", "left_semi"), f"pending-{turn}")
+    if not kept:
+        return call_model(pending, lambda s: fn(s, 1)).withColumn("rounds", F.lit(0))
+    return functools.reduce(DataFrame.unionByName, kept)
 
 
 def label_prompts(prompts: DataFrame, store: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], now_ms: int, calls: int | None = None, ttl_ms: int = WEEK_MS, write_to: str | None = None) -> tuple[DataFrame, DataFrame]:
