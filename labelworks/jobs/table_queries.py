@@ -20,6 +20,20 @@ def s3_frame(spark, d):
     return load(spark, f"{d}/documents.parquet")
 
 
+@query("""WITH t AS (SELECT doc_id, lang, concat('"', coalesce(text, ''), chr(10), ' said, "twice"', chr(13), chr(10), chr(10)) AS cell FROM documents) SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(cell) AS cell_md5, lang FROM t""")
+def s1_split_csv(spark, d):
+    """Whole texts with quotes and line ends, written as CSV and read back by many tasks a file."""
+    from ..sources.scratch import fresh_path
+    from ..sources.split_csv import read_split_csv
+    from ..sources.tables import save
+
+    cell = F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('\n said, "twice"\r\n\n'))
+    path = fresh_path(spark, "csv") + ".csv"
+    save(table(spark, d, "documents").select("doc_id", cell.alias("cell"), "lang"), path)
+    back = read_split_csv(spark, path, ["doc_id", "cell", "lang"])
+    return back.select("doc_id", F.md5("cell").alias("cell_md5"), "lang")
+
+
 @query("SELECT doc_id, text, lang FROM documents")
 def s5_seeds(spark, d):
     from ..sources.tables import seeds

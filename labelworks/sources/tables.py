@@ -53,7 +53,7 @@ def save(df: DataFrame, path: str, delimiter: str = ",") -> None:
     """Write CSV, JSON Lines or Parquet by the path's ending; nested columns go into CSV as JSON."""
     if path.endswith(".csv"):
         flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema.fields]
-        df.select(*flat).write.options(header="true", sep=delimiter, escape='"').csv(path)
+        df.select(*flat).write.options(header="true", sep=delimiter, escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
     elif path.endswith((".jsonl", ".json")):
         df.write.json(path)
     elif path.endswith(".parquet"):
