@@ -36,3 +36,20 @@ def test_p_true_of_two(spark):
     r = spark.range(1).select(confidence.p_true_of_two(one("Yes", -0.1), one("No", -0.2)), confidence.p_true_of_two(one("Yes", -0.3), one("No", -0.2)), confidence.p_true_of_two(one("Yes", -0.1), none)).first()
     assert [round(x, 4) for x in r] == [0.9048, -0.8187, 0.0]
     assert spark.range(1).select(confidence.p_true_prompt(F.lit("P "), F.lit("A"))).first()[0].startswith("P A\n")
+
+
+def test_run_needs_registered_hooks(spark):
+    import pytest
+
+    from labelworks.operators import enrich, run
+
+    df = spark.createDataFrame([(1, "x", "1")], "row_id long, line string, quality string")
+    plan = run.Plan("Judge.", {"quality": ["0", "1"]}, "{line}", "nobody's")
+    with pytest.raises(ValueError, match="nobody's"):
+        run.prompts_of(df, df, plan)
+    enrich.register_selector("nobody's", lambda rows, seeds: rows.where("false").select("row_id", F.array(F.lit("")).alias("examples")))
+    assert run.prompts_of(df, df, plan).first().prompt == "Judge.\n\nquality: Options: 0,1\n\nx"
+    # No answers at all: the first generation's error, no prediction, no metric to speak of.
+    empty = spark.createDataFrame([], "key string, response string, created_ms long, ttl_ms long")
+    found = run.label(df, df, plan, lambda p, turn, g: pd.DataFrame({"text": None, "error": "no", "code": "context"}, index=p.index, dtype=object), empty, 0)
+    assert [tuple(r) for r in found.collect()] == [(1, "quality", None, 0.0, 0, "context_length_error")]
