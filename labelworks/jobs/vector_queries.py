@@ -40,7 +40,13 @@ def k3_examples(spark, d):
     return found.select("qid", F.array_join(F.transform("examples", lambda x: x["label"].cast("string")), ",").alias("labels"))
 
 
-@query()
+# Five rounds: of the 25 nearest, the one with the best half score less half its closeness to what has been picked.
+_MMR = _SIM + """, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT qid, cid, score, rank AS place FROM r WHERE rank <= 25), b AS (SELECT n.qid, n.cid, m.cid AS other, list_cosine_similarity(x.v, y.v) AS near FROM n JOIN n m ON m.qid = n.qid JOIN e x ON x.vec_id = n.cid JOIN e y ON y.vec_id = m.cid),
+p1 AS (SELECT qid, cid, 1 AS rank FROM n WHERE place = 1)""" + "".join(f""", v{k} AS (SELECT n.qid, n.cid, 0.5 * max(n.score) - 0.5 * max(b.near) AS value, max(place) AS place FROM n JOIN b ON b.qid = n.qid AND b.cid = n.cid JOIN p{k - 1} p ON p.qid = n.qid AND p.cid = b.other LEFT JOIN p{k - 1} t ON t.qid = n.qid AND t.cid = n.cid WHERE t.cid IS NULL GROUP BY 1, 2),
+p{k} AS (SELECT * FROM p{k - 1} UNION ALL SELECT qid, cid, {k} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY value DESC, place) AS o FROM v{k}) WHERE o = 1)""" for k in range(2, 6))
+
+
+@query(_MMR + " SELECT qid, cid, CAST(rank AS BIGINT) AS rank FROM p5")
 def k4_mmr(spark, d):
     q, c = _sides(spark, d)
     return vectors.mmr(q, c, 5)
