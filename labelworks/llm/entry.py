@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_ranges": sql.OP2, "op3_winnowing": sql.OP3, "op10_count_tree": sql.OP10, "op11_stream_layout": sql.OP11, "op12_url_expressions": sql.OP12}
+    return {"op2_warc_ranges": sql.OP2, "op3_winnowing": sql.OP3, "op10_count_tree": sql.OP10, "op11_stream_layout": sql.OP11, "op12_url_expressions": sql.OP12, "op13_burst_trie": sql.OP13}

@@ -40,3 +40,16 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
 r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS x(h, q, v)),
 f AS (SELECT page_id, concat(h, q) AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(q) DESC) AS o FROM p JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, q))
 SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON f.page_id = p.page_id AND o = 1"""
+
+# The crc32 of each id is taken bit by bit; a node is known by the texts of its turns' digests.
+OP13 = """WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place, md5(concat(md5(coalesce(role, '')), md5(coalesce(text, '')))) AS m, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, count(*) AS n FROM t GROUP BY 1), k AS (SELECT conv_id, s, 0 AS step, CAST(4294967295 AS BIGINT) AS r FROM i
+ UNION ALL SELECT conv_id, s, step + 1, xor(x >> 1, 3988292384 * (x & 1)) FROM (SELECT conv_id, s, step, CASE WHEN step % 8 = 0 THEN xor(r, CAST(ascii(substring(s, step // 8 + 1, 1)) AS BIGINT)) ELSE r END AS x FROM k WHERE step < 8 * length(s))),
+h AS (SELECT k.conv_id, (4294967295 - r) % 9 AS h, k.conv_id - k.conv_id % 5 AS base FROM k WHERE step = 8 * length(s)), g AS (SELECT h.*, least(h, coalesce(n, 0)) AS taken FROM h LEFT JOIN i ON i.conv_id = h.base),
+u AS (SELECT g.conv_id, place + 1 AS d, m, b FROM g JOIN t ON t.conv_id = g.base AND place < h UNION ALL SELECT g.conv_id, place - h + taken + 1, m, b FROM g JOIN t ON t.conv_id = g.conv_id AND place >= h),
+p AS (SELECT conv_id, d, b, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM u UNION ALL SELECT conv_id, 0, 0, '' FROM i), l AS (SELECT conv_id, max(d) AS len FROM p GROUP BY 1),
+n AS (SELECT x, d, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(b) AS b, coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE len = d), '') AS ends FROM p JOIN l ON l.conv_id = p.conv_id GROUP BY 1, 2),
+c AS (SELECT left(x, (d - 1) * 32) AS x, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2), w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.d = n.d AND c.x = n.x),
+s AS (SELECT a.x, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.b) AS saved FROM w a JOIN w b ON starts_with(b.x, a.x) GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s ON s.d = w.d AND s.x = w.x LEFT JOIN n q ON q.d = w.d - 1 AND q.x = left(w.x, (w.d - 1) * 32)"""

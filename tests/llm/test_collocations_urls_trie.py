@@ -15,7 +15,7 @@ from ..compare import both
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op11_stream_layout", "op12_url_expressions"])
+@pytest.mark.parametrize("name", ["op11_stream_layout", "op12_url_expressions", "op13_burst_trie"])
 def test_sql(spark, name):
     import __spark_entry__ as e
 
