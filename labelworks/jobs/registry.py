@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def queries() -> dict[str, Query]:
-    from . import label_queries, run_queries, store_queries, table_queries, vector_queries  # noqa: F401  (they register themselves)
+    from . import file_queries, label_queries, run_queries, store_queries, table_queries, vector_queries  # noqa: F401  (they register themselves)
 
     return dict(_QUERIES)
 

@@ -272,14 +272,14 @@ def j4_live(spark, d):
 @query(W + LAB + " SELECT row_id, pred_quality AS pred, quality AS truth FROM lab WHERE error IS NULL")
 def j5_pairs(spark, d):
     df = labelled(spark, d)
-    return df.where("error is null").select("row_id", F.col("pred_quality").alias("pred")).join(df.select("row_id", F.col("quality").alias("truth")), "row_id")
+    return rows.paired(df.where("error is null").select("row_id", "pred_quality"), df.select("row_id", "quality"), "row_id", {"pred_quality": "quality"}).drop("attribute")
 
 
 @query("SELECT doc_id, length(text) AS n, upper(lang) AS code FROM documents")
 def j6_side_by_side(spark, d):
     docs = table(spark, d, "documents")
-    made = docs.select("lang").distinct().select(F.col("lang").alias("made_of"), F.upper("lang").alias("code"))
-    return docs.join(made, F.col("lang").eqNullSafe(F.col("made_of")), "left").select("doc_id", F.length("text").cast("long").alias("n"), "code")
+    made = docs.select("lang").distinct().select("lang", F.upper("lang").alias("code"))
+    return rows.beside(docs, made, ["lang"]).select("doc_id", F.length("text").cast("long").alias("n"), "code")
 
 
 @query("SELECT md5(text) AS text_md5, count(*) AS rows, CAST(coalesce(length(text), 0) AS FLOAT) AS first_number FROM conversations GROUP BY text")
@@ -424,4 +424,4 @@ def o2_chain(spark, d):
 
 @query("SELECT doc_id, lang, CAST(NULL AS BIGINT) AS page_id FROM documents UNION ALL SELECT NULL, NULL, page_id FROM pages")
 def u1_append(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang").unionByName(table(spark, d, "pages").select("page_id"), allowMissingColumns=True)
+    return rows.appended(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "pages").select("page_id"))

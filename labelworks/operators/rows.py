@@ -1,7 +1,9 @@
-"""Slices, shuffles and filters of labelled tables (P1, P2, F1 to F7)."""
+"""Slices, shuffles and filters of labelled tables (P1, P2, F1 to F7), and tables put together (J5, J6, U1)."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +82,34 @@ def by_confidence(df: DataFrame, threshold: float = 0.5, column: str | None = No
 
 def with_truth(df: DataFrame, truth_column: str) -> DataFrame:
     return df.where(F.col(truth_column).isNotNull() & (F.col(truth_column) != "nan"))
+
+
+def paired(found: DataFrame, truths: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+    """key, attribute, pred and truth: answers beside the truth of the same row, for each attribute {answer's column: truth's
+    column}. Rows that one side lacks have no pair; a missing answer or truth is null in its pair."""
+    both = found.select(key, *[F.col(p).alias(f"pred_{i}") for i, p in enumerate(names)]).join(truths.select(key, *[F.col(t).alias(f"truth_{i}") for i, t in enumerate(names.values())]), key)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("attribute"), F.col(f"pred_{i}").cast("string").alias("pred"), F.col(f"truth_{i}").cast("string").alias("truth")) for i, t in enumerate(names.values())]))
+    return both.select(key, each.alias("x")).select(key, "x.*")
+
+
+def beside(df: DataFrame, made: DataFrame, on: list[str]) -> DataFrame:
+    """All rows of ``df`` with the columns of ``made``, which has a row for each different input ``on`` (nulls count as equal).
+
+    Columns of ``made`` replace those of the same name; rows without a result have nulls in them.
+    """
+    new = [c for c in made.columns if c not in on]
+    right = made.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[F.col(c).alias(f"_new_{c}") for c in new])
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return df.join(right, same, "left").select(*[c for c in df.columns if c not in new], *[F.col(f"_new_{c}").alias(c) for c in new])
+
+
+def appended(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of all tables under the columns of all, in the order in which they appear; missing cells are null. A column that has
+    different types is text."""
+    tables = [first, *others]
+    types: dict[str, set[str]] = {}
+    for t in tables:
+        for f in t.schema.fields:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    plain = [t.select(*[F.col(f"`{c}`").cast("string").alias(c) if len(types[c]) > 1 else F.col(f"`{c}`") for c in t.columns]) for t in tables]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), plain)

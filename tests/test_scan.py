@@ -98,3 +98,15 @@ def test_common_substring_of_long_texts(letters):
 def test_common_substring_is_quick_on_long_texts():
     a, b = "x" * 200_000, "x" * 150_000 + "y" * 60_000
     assert _common(a, b) == 150_000
+
+
+def test_tables_put_together(spark):
+    a = spark.createDataFrame([(1, "x", None), (2, None, 5), (2, None, 5)], "id int, k string, n int")
+    made = spark.createDataFrame([("x", "X", 1.5), (None, "none", 2.5)], "k string, code string, n double")
+    got = rows.beside(a, made, ["k"])
+    assert got.columns == ["id", "k", "code", "n"] and sorted(map(tuple, got.collect()), key=repr) == [(1, "x", "X", 1.5), (2, None, "none", 2.5), (2, None, "none", 2.5)]
+    assert rows.beside(a, made.where("false"), ["k"]).where("code is null and n is null").count() == 3
+    truth = spark.createDataFrame([(1, "X"), (3, "Y")], "id int, t string")
+    assert [tuple(r) for r in rows.paired(a, truth, "id", {"n": "t"}).collect()] == [(1, "t", None, "X")]
+    every = rows.appended(a, spark.createDataFrame([("7", True)], "n string, more boolean"), a.limit(0))
+    assert every.columns == ["id", "k", "n", "more"] and {tuple(r) for r in every.collect()} == {(1, "x", None, None), (2, None, "5", None), (None, None, "7", True)}
