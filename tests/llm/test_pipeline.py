@@ -16,7 +16,7 @@ def test_names_and_registration():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if n.startswith("op")]
-    assert names == list(entry.queries()) and len(names) == 10 and "pipeline" in e.queries()
+    assert names == list(entry.queries()) and len(names) == 13 and "pipeline" in e.queries()
 
 
 def test_pipeline(spark):
