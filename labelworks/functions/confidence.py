@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,71 +44,120 @@ def or_zero(confidence: Column, attribute: str) -> Column:
     return F.coalesce(confidence[attribute], F.lit(0.0))
 
 
-def _mean(tokens: list[str], logs: list[float]) -> float:
-    x = [np.log(p) if p > 0 else p for t, p in zip(tokens, logs, strict=True) if p is not None and t.strip() not in ("<unk>", "", "\\n")]
-    return float(np.exp(np.mean(x))) if x else 0.0
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def key_confidences(tokens: list[str], logs: list[float], keys: list[str]) -> dict[str, float]:
-    """Average of the tokens that follow each ``"key":``, up to the next key that is found or the end; absent: 0."""
-    if not tokens:
-        return {}
-    text = "".join(tokens)
-    ends = np.cumsum([len(t) for t in tokens])
-    spots = {}
-    for k in keys:
-        at = text.find(f'"{k}":')
-        if at >= 0:
-            spots[k] = (at, at + len(k) + 3)
-    out = dict.fromkeys(keys, 0.0)
-    begins = sorted(a for a, _ in spots.values())
-    for k, (at, after) in spots.items():
-        first = int(np.searchsorted(ends, after, "left")) + 1
-        later = [a for a in begins if a > at]
-        last = int(np.searchsorted(ends, later[0], "right")) if later else len(tokens)
-        out[k] = _mean(tokens[first:last], logs[first:last])
-    return out
+def _mean(logprobs: Column) -> Column:
+    """As ``mean_probability``, for tokens whose white space of any kind doesn't count."""
+    used = F.filter(logprobs, lambda x: x["logprob"].isNotNull() & ~F.coalesce(x["token"], F.lit("")).rlike(r"(?U)^\s*(<unk>|\\n)?\s*$"))
+    total = F.aggregate(used, F.lit(0.0), lambda s, x: s + F.when(x["logprob"] > 0, F.log(x["logprob"])).otherwise(x["logprob"]))
+    return F.when(F.size(used) > 0, F.exp(total / F.size(used))).otherwise(0.0)
 
 
-def confidence_by_key(keys: list[str]):
-    """A pandas UDF from token array to map<string,double>."""
+def _span(logprobs: Column, begin: Column, end: Column) -> Column:
+    """Tokens from the place ``begin`` (the first is 1) up to before ``end``."""
+    return F.slice(logprobs, begin, F.greatest(end - begin, F.lit(0)))
 
-    @F.pandas_udf("map<string,double>")
-    def run(logprobs: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else key_confidences([t["token"] for t in x], [t["logprob"] for t in x], keys) for x in logprobs])
+
+def _text(logprobs: Column) -> Column:
+    return F.array_join(F.transform(logprobs, lambda t: F.coalesce(t["token"], F.lit(""))), "")
+
+
+def confidence_by_key(keys: list[str]) -> Callable[[Column | str], Column]:
+    """A function from a column of tokens to one of map<string,double>: the average of the tokens that follow each ``"key":``, up
+    to the next key that is found or the end; absent: 0; no tokens: an empty map; null: null."""
+    names = list(dict.fromkeys(keys))
+
+    def ended(tokens: Column, before: Callable[[Column], Column]) -> Column:
+        """How many tokens end at a place for which ``before`` holds."""
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
+
+        def step(s: Column, t: Column) -> Column:
+            at = s["at"] + F.coalesce(F.length(t["token"]), F.lit(0))
+            return F.struct(at.alias("at"), (s["n"] + before(at).cast("int")).alias("n"))
+
+        return F.aggregate(tokens, start, step, lambda s: s["n"])
+
+    def by_key(x: Column) -> Column:
+        tokens, spots = x["tokens"], x["spots"]
+
+        def entry(spot: Column) -> Column:
+            later = F.array_min(F.filter(F.transform(spots, lambda o: o["at"]), lambda a: a > spot["at"]))
+            last = F.when(later.isNull(), F.size(tokens)).otherwise(ended(tokens, lambda at: at <= later))
+            first = ended(tokens, lambda at: at < spot["at"] + F.length(spot["key"]) + 3) + 1
+            value = F.when(spot["at"] >= 0, _mean(_span(tokens, first + 1, last + 1))).otherwise(0.0)
+            return F.struct(spot["key"].alias("key"), value.alias("value"))
+
+        return F.map_from_entries(F.transform(spots, entry))
+
+    def run(logprobs: Column | str) -> Column:
+        tokens = F.col(logprobs) if isinstance(logprobs, str) else logprobs
+        spots = lambda text: F.array(*[F.struct(F.lit(k).alias("key"), (F.instr(text, F.lit(f'"{k}":')) - 1).alias("at")) for k in names])
+        found = F.struct(tokens.alias("tokens"), _let(_text(tokens), spots).alias("spots"))
+        nothing = F.create_map().cast("map<string,double>")
+        return F.when(F.size(tokens) == 0, nothing).when(tokens.isNotNull(), _let(found, by_key) if names else nothing)
 
     return run
 
 
-def label_confidences(tokens: list[str], logs: list[float], label: str, delimiter: str = ";") -> dict[str, float]:
-    """Each label of a list starts with the whole average. Each part of the tokens between delimiters (a part begins with its
-    delimiter's token) gives its average to the label that shares the longest run of characters with the part's text, as a
-    share of the longer one of both; the first of equal labels, and of several parts the last one."""
-    labels = [x.strip() for x in label.split(delimiter) if x.strip()]
-    out = dict.fromkeys(labels, _mean(tokens, logs))
-    parts: dict[str, tuple[int, int]] = {}
-    text, begin = "", 0
-    for i, t in enumerate(tokens):
-        if delimiter in t:
-            head, *_, tail = t.split(delimiter)
-            parts[(text + head).strip()] = begin, i
-            text, begin = tail, i
-        else:
-            text += t
-    if text.strip():
-        parts[text.strip()] = begin, len(tokens)
-    for text, (a, b) in parts.items():
-        ratios = {x: SequenceMatcher(None, x, text, autojunk=False).find_longest_match().size / max(len(x), len(text)) for x in out}
-        x = max(ratios, key=ratios.get, default=None)
-        if x is not None and ratios[x] > 0:
-            out[x] = _mean(tokens[a:b], logs[a:b])
-    return out
-
-
-def confidence_by_label(delimiter: str = ";"):
-    @F.pandas_udf("map<string,double>")
-    def run(logprobs: pd.Series, label: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else label_confidences([t["token"] for t in x], [t["logprob"] for t in x], y, delimiter) for x, y in zip(logprobs, label, strict=True)])
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common substring of two short texts: a binary search, whose steps try all runs of a length."""
+    fits = lambda n: (n <= F.least(F.length(a), F.length(b))) & F.exists(F.sequence(F.lit(1), F.length(a) - n + 1), lambda i: b.contains(a.substr(i, n)))
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n))
+
+
+def confidence_by_label(delimiter: str = ";") -> Callable[[Column | str, Column | str], Column]:
+    """A function from columns of tokens and of a list of labels to one of map<string,double>.
+
+    Each label starts with the whole average. Each part of the tokens between delimiters (a part begins with its delimiter's
+    token) gives its average to the label that shares the longest run of characters with the part's text, as a share of the
+    longer one of both; the first of equal labels, and of several parts the last one (parts of one text are at the place of the
+    first of them and give the average of the last). A null on either side is null.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+    def parts(tokens: Column) -> Column:
+        token = lambda i: F.coalesce(F.get(tokens, i - 1)["token"], F.lit(""))
+        places = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(F.array().cast("array<int>"))
+
+        def part(cuts: Column, k: Column) -> Column:
+            begin, end = F.coalesce(F.get(cuts, k - 1), F.lit(1)), F.coalesce(F.get(cuts, k), F.size(tokens) + 1)
+            head = F.when(k < F.size(cuts), F.substring_index(token(end), delimiter, 1)).otherwise("")
+            tail = F.when(k > 0, F.substring_index(token(begin), delimiter, -1)).otherwise("")
+            inner = _text(_span(tokens, F.when(k > 0, begin + 1).otherwise(begin), end))
+            return F.struct(strip(F.concat(tail, inner, head)).alias("text"), begin.alias("begin"), end.alias("end"))
+
+        cuts = F.filter(places, lambda i: token(i).contains(delimiter))
+        return _let(cuts, lambda c: F.transform(F.sequence(F.lit(0), F.size(c)), lambda k: part(c, k)))
+
+    def best(labels: Column, text: Column) -> Column:
+        none = F.struct(F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("ratio"))
+
+        def better(s: Column, label: Column) -> Column:
+            ratio = common_length(label, text) / F.greatest(F.length(label), F.length(text))
+            return F.when(ratio > s["ratio"], F.struct(label.alias("label"), ratio.alias("ratio"))).otherwise(s)
+
+        return F.aggregate(labels, none, better, lambda s: s["label"])
+
+    def by_label(x: Column) -> Column:
+        last = lambda items, same: F.get(F.reverse(F.filter(items, same)), F.lit(0))
+        chosen = F.transform(F.array_distinct(F.transform(x["parts"], lambda p: p["text"])), lambda t: F.struct(best(x["labels"], t).alias("label"), last(x["parts"], lambda p: p["text"] == t).alias("part")))
+
+        def entries(found: Column) -> Column:
+            part = lambda label: last(found, lambda c: c["label"] == label)["part"]
+            return F.transform(x["labels"], lambda label: F.struct(label.alias("label"), F.coalesce(_mean(_span(x["tokens"], part(label)["begin"], part(label)["end"])), F.lit(0.0)).alias("value"), part(label).isNotNull().alias("own")))
+
+        valued = lambda e: F.struct(e["label"].alias("key"), F.when(e["own"], e["value"]).otherwise(x["whole"]).alias("value"))
+        return F.map_from_entries(F.transform(_let(chosen, entries), valued))
+
+    def run(logprobs: Column | str, label: Column | str) -> Column:
+        tokens, label = (F.col(c) if isinstance(c, str) else c for c in (logprobs, label))
+        labels = F.array_distinct(F.filter(F.transform(F.split(label, rf"\Q{delimiter}\E"), strip), lambda x: x != ""))
+        found = F.struct(tokens.alias("tokens"), labels.alias("labels"), parts(tokens).alias("parts"), _mean(tokens).alias("whole"))
+        return F.when(tokens.isNotNull() & label.isNotNull(), _let(found, by_label))
 
     return run
 

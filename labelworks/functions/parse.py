@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 LENIENT = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowComments": "true", "allowUnquotedControlChars": "true", "allowNumericLeadingZeros": "true"}
 NO_LABEL = "NO_LABEL"
@@ -60,28 +56,32 @@ def chain_of_thought(response: Column) -> Column:
     return F.struct(F.when(error.isNotNull(), F.lit(NO_LABEL)).otherwise(label).alias("label"), F.element_at(lines, 1).alias("explanation"), error.alias("error_type"))
 
 
-def first_json(text: str | None) -> str | None:
-    """The leftmost balanced {...} of a text, if it is valid JSON; an unclosed brace is skipped."""
-    if text is None:
-        return None
-    open_at: list[int] = []
-    ends: dict[int, int] = {}
-    for i, c in enumerate(text):
-        if c == "{":
-            open_at.append(i)
-        elif c == "}" and open_at:
-            ends[open_at.pop()] = i
-    outer = min(ends, default=None)
-    if outer is None:
-        return None
-    found = text[outer : ends[outer] + 1]
-    try:
-        json.loads(found)
-    except ValueError:
-        return None
-    return found
-
-
-@F.pandas_udf(StringType())
-def json_substring(text: pd.Series) -> pd.Series:
-    return pd.Series([first_json(x) if isinstance(x, str) else None for x in text], dtype=object)
+#: A strict reader, but for NaN and Infinity: its only use is to tell whether a text is JSON.
+STRICT = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowComments": "false", "mode": "PERMISSIVE"}
+
+
+def json_substring(text: Column | str) -> Column:
+    """The leftmost balanced {...} of a text, if it is valid JSON; an unclosed brace is skipped, null where there is none.
+
+    One scan over the pieces between braces. From the first opening brace on, the text starts with a run of opening ones. With
+    ``low`` the least depth after any closing brace, the first ``low`` braces stay open, and the next one closes where ``low``
+    is first reached.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    rest = F.regexp_extract(text, r"(?s)\{.*", 0)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(1 << 30).alias("low"), F.lit(0).alias("end"))
+
+    def step(s: Column, piece: Column) -> Column:
+        at, closes = s["at"] + F.length(piece), piece.endswith("}")
+        depth = F.when(closes, F.greatest(s["depth"] - 1, F.lit(0))).when(piece.endswith("{"), s["depth"] + 1).otherwise(s["depth"])
+        lower = closes & (depth < s["low"])
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(lower, depth).otherwise(s["low"]).alias("low"), F.when(lower, at).otherwise(s["end"]).alias("end"))
+
+    def span(x: Column) -> Column:
+        begin = F.length(F.call_function("substring_index", x["rest"], F.lit("{"), x["s"]["low"] + 1))
+        return F.when(x["s"]["end"] > 0, x["rest"].substr(begin + 1, x["s"]["end"] - begin))
+
+    scanned = F.struct(rest.alias("rest"), F.aggregate(F.split(rest, r"(?<=[{}])"), start, step).alias("s"))
+    found = F.transform(F.array(scanned), span)
+    valid = F.filter(found, lambda x: F.from_json(x, "map<string,string>", STRICT).isNotNull())
+    return F.get(valid, F.lit(0))

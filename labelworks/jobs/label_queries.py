@@ -192,7 +192,16 @@ def a13_running(spark, d):
     return r.select("attribute", "first_rows", *[F.round(c, 6).alias(c) for c in ("completion_rate", "accuracy")])
 
 
-@query()
+_CUT = "[x for x in string_split_regex(array_to_string({}, ' '), '\\s+') if x <> '']"
+_AT = "coalesce(list_position([contains(w[i], x) OR contains(x, w[i]) for x in {0}], true), 0)"
+_LEFT = "CASE WHEN {0} > 0 THEN list_concat({1}[1 : {0} - 1], {1}[{0} + 1 : len({1})]) ELSE {1} END"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT row_number() OVER () AS id, string_split(text, ' ') AS w FROM conversations WHERE text IS NOT NULL),
+m(id, i, w, p, t, tp, fp, fn) AS (SELECT id, 1, {_CUT.format('w')}, {_CUT.format('w[1:3]')}, {_CUT.format('w[2:4]')}, 0, 0, 0 FROM s
+ UNION ALL SELECT id, i + 1, w, {_LEFT.format('a', 'p')}, {_LEFT.format('b', 't')}, CAST(a > 0 AND b > 0 AS INT), CAST(a > 0 AND b = 0 AS INT), CAST(a = 0 AND b > 0 AS INT)
+ FROM (SELECT *, {_AT.format('p')} AS a, {_AT.format('t')} AS b FROM m WHERE i <= len(w)))
+SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, 2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS f1 FROM m""")
 def a14_entity_f1(spark, d):
     words = F.split("text", " ")
     df = table(spark, d, "conversations").select("text", F.slice(words, 1, 3).alias("p"), F.slice(words, 2, 3).alias("t"))

@@ -6,10 +6,8 @@ it has no error, a prediction and a truth other than null and "nan".
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import common_substring_length, normalize, similar_text, tokens
 from ..sources.scratch import stored
@@ -128,31 +126,28 @@ def running_metrics(long: DataFrame, row_id: str, step: int = 100, parts: int |
     return t.select(ATTRIBUTE, F.col("rows").alias("first_rows"), (F.col("done") / F.col("rows")).alias("completion_rate"), F.when(F.col("valid") > 0, F.col("hit") / F.col("valid")).otherwise(0.0).alias("accuracy"))
 
 
-def _token_marks(pred: list[str], truth: list[str], words: list[str]) -> tuple[int, int, int]:
-    """tp, fp, fn over a text's words: a word is marked by the first unused entity word that is in it or that it is in."""
+def entity_marks(text: Column, pred: Column, truth: Column) -> Column:
+    """struct(tp, fp, fn) over a text's words: a word is marked by the first unused entity word that is in it or that it is in.
+    Null texts have no words, null arrays no entities; null entities don't count."""
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    names = ["tp", "fp", "fn"]
 
-    def marks(own: list[str]) -> list[bool]:
-        left, out = list(own), []
-        for w in words:
-            at = next((i for i, x in enumerate(left) if x in w or w in x), None)
-            if at is not None:
-                left.pop(at)
-            out.append(at is not None)
-        return out
+    def without(left: Column, at: Column) -> Column:
+        return F.when(at > 0, F.concat(F.slice(left, 1, at - 1), F.slice(left, at + 1, F.size(left)))).otherwise(left)
 
-    p, t = marks(pred), marks(truth)
-    return sum(a and b for a, b in zip(p, t, strict=True)), sum(a and not b for a, b in zip(p, t, strict=True)), sum(b and not a for a, b in zip(p, t, strict=True))
+    def step(s: Column, w: Column) -> Column:
+        p, t = (F.array_position(F.transform(s[c], lambda x: w.contains(x) | x.contains(w)), F.lit(True)).cast("int") for c in ("p", "t"))
+        hits = [(p > 0) & (t > 0), (p > 0) & (t == 0), (p == 0) & (t > 0)]
+        return F.struct(without(s["p"], p).alias("p"), without(s["t"], t).alias("t"), *[(s[n] + h.cast("long")).alias(n) for n, h in zip(names, hits, strict=True)])
 
-
-@F.pandas_udf(StructType([StructField(n, LongType()) for n in ("tp", "fp", "fn")]))
-def entity_marks(text: pd.Series, pred: pd.Series, truth: pd.Series) -> pd.DataFrame:
-    rows = [_token_marks(" ".join(() if p is None else p).split(), " ".join(() if t is None else t).split(), (x or "").split()) for x, p, t in zip(text, pred, truth, strict=True)]
-    return pd.DataFrame(rows, columns=["tp", "fp", "fn"])
+    start = F.struct(words(F.array_join(pred, " ")).alias("p"), words(F.array_join(truth, " ")).alias("t"), *[F.lit(0).cast("long").alias(n) for n in names])
+    return F.aggregate(words(text), start, step, lambda s: F.struct(*[s[n].alias(n) for n in names]))
 
 
 def entity_f1(df: DataFrame, text: str, pred: str, truth: str) -> DataFrame:
     """Token F1 of entities (arrays of strings), over all words of all rows."""
-    s = df.select(entity_marks(text, pred, truth).alias("m")).agg(F.sum("m.tp").alias("tp"), F.sum("m.fp").alias("fp"), F.sum("m.fn").alias("fn"))
+    marks = df.select(entity_marks(F.col(text), F.col(pred), F.col(truth)).alias("m"))
+    s = marks.agg(*[F.coalesce(F.sum(f"m.{n}"), F.lit(0)).alias(n) for n in ("tp", "fp", "fn")])
     d = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     return s.select("tp", "fp", "fn", F.when(d > 0, 2.0 * F.col("tp") / d).otherwise(0.0).alias("f1"))
 

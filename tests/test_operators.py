@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from labelworks.functions import confidence, parse, templates, text
 from labelworks.operators import enrich, metrics, rows, store, validate, vectors
 from labelworks.sources import tables
 
+from . import plain
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -97,24 +100,80 @@ def test_parse_answers(spark):
 
 
 @pytest.mark.parametrize(("given", "found"), [("a {\"k\": {\"x\": 1}} b", {"k": {"x": 1}}), ("{ {\"a\": 2}", {"a": 2}), ("{oops}", None), ("", None), (None, None)])
-def test_first_json(given, found):
-    got = parse.first_json(given)
+def test_first_json(spark, given, found):
+    got = one(spark, parse.json_substring(F.lit(given).cast("string")))
+    assert got == plain.first_json(given)
     assert (json.loads(got) if got else None) == found
 
 
+TOKENS = "array<struct<token:string,logprob:double>>"
+
+
+def by_key(spark, tokens, logs, keys):
+    df = spark.createDataFrame([(list(zip(tokens, logs, strict=True)),)], f"x {TOKENS}")
+    return df.select(confidence.confidence_by_key(keys)("x").alias("m")).first().m
+
+
+def by_label(spark, tokens, logs, label):
+    df = spark.createDataFrame([(list(zip(tokens, logs, strict=True)), label)], f"x {TOKENS}, l string")
+    return df.select(confidence.confidence_by_label()("x", "l").alias("m")).first().m
+
+
+def test_scans_equal_plain_versions(spark):
+    """Random inputs, most of them odd, through the column functions and through loops."""
+    r = random.Random(4)
+    some = lambda alphabet, most: "".join(r.choice(alphabet) for _ in range(r.randint(0, most)))
+    texts = [None, "", "}", "{}", '}{"a": "}"}', '{"a": [1, {"b": NaN}]} {', "{'a': 1}", '{"a": 1,}', '{"a": 1]}', "é{ü{}", '{"a":\n1}', "x" * 50_000 + "{" * 50 + '{"k": 1}' + "y" * 50_000]
+    texts += [some('{}":,a1 \u00e9\n', 14) for _ in range(400)] + ["".join(r.choice(["{", "}", '{"a": 1}', "{}", " ", "x"]) for _ in range(r.randint(0, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x.j for x in df.select("i", parse.json_substring("t").alias("j")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain.first_json(t) for t in texts]
+
+    pieces = ['"a":', '"', "a", '":', '{"b":', "x", " ", "\n", "<unk>", "\\n", ";", " ; ", "ab", "b;a", ";;", "joy", "\u00e9", "b;c;ab", "", "\u00a0", '"a": "b":', ","]
+    rows = [(0, None, None), (1, [], ""), (2, [], "a;b"), (3, None, "a"), (4, [("a", -0.1)], None)]
+    for i in range(5, 400):
+        x = [(r.choice(pieces), r.choice([None, -0.1, -0.5, -2.0, 0.0, 0.3])) for _ in range(r.randint(0, 9))]
+        rows.append((i, x, ";".join(r.choice(["a", "b", " ab ", "joy", "", "\u00e9", "abc"]) for _ in range(r.randint(0, 4)))))
+    df = spark.createDataFrame(rows, f"i int, x {TOKENS}, l string")
+    keys = ["a", "b", "c", "a"]
+    both = df.select("i", confidence.confidence_by_key(keys)("x").alias("k"), confidence.confidence_by_label()("x", "l").alias("l"))
+    for found, (_, x, label) in zip(both.orderBy("i").collect(), rows, strict=True):
+        split = None if x is None else ([t for t, _ in x], [p for _, p in x])
+        assert found.k == (None if x is None else pytest.approx(plain.key_confidences(*split, keys)))
+        assert found.l == (None if x is None or label is None else pytest.approx(plain.label_confidences(*split, label)))
+    lengths = [(some("abc", 9), some("abcd", 12)) for _ in range(200)]
+    df = spark.createDataFrame(lengths, "a string, b string")
+    assert all(x.n == x.m for x in df.select(confidence.common_length(F.col("a"), F.col("b")).alias("n"), text.common_substring_length("a", "b").alias("m")).collect())
+
+    names = lambda: r.choice([None, [], [some("ab", 3) for _ in range(r.randint(0, 4))], ["New York", "is"]])
+    rows = [(i, r.choice([None, "", some("ab \u00a0\t", 30), "New York is new"]), names(), names()) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, x string, p array<string>, t array<string>")
+    split = lambda x: " ".join(x or ()).split()
+    for found, (_, x, p, t) in zip(df.select("i", metrics.entity_marks(F.col("x"), F.col("p"), F.col("t")).alias("m")).orderBy("i").collect(), rows, strict=True):
+        assert tuple(found.m) == plain.token_marks(split(p), split(t), (x or "").split())
+    assert metrics.entity_f1(df.where("false"), "x", "p", "t").collect() == [(0, 0, 0, 0.0)]
+
+
+def test_scans_need_no_python_worker(spark, capsys):
+    df = spark.createDataFrame([], f"x {TOKENS}, l string, p array<string>")
+    made = [parse.json_substring("l"), confidence.confidence_by_key(["a"])("x"), confidence.confidence_by_label()("x", "l"), metrics.entity_marks(F.col("l"), F.col("p"), F.col("p"))]
+    df.select(*[c.alias(f"c{i}") for i, c in enumerate(made)]).explain()
+    assert "Python" not in capsys.readouterr().out
+
+
 def test_confidence(spark):
     tok = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(p).cast("double").alias("logprob")) for t, p in (("a", -1.0), ("<unk>", -9.0), ("b", 0.5), ("c", None))])
     assert one(spark, confidence.mean_probability(tok)) == pytest.approx(math.exp((-1 + math.log(0.5)) / 2))
     assert one(spark, confidence.mean_probability(F.array().cast("array<struct<token:string,logprob:double>>"))) == 0
     names = ["{", '"a":', "x", ",", '"b":', "y", "}"]
-    got = confidence.key_confidences(names, [-1.0, -1, -0.5, -0.1, -1, -0.2, -0.4], ["a", "b", "c"])
+    got = by_key(spark, names, [-1.0, -1.0, -0.5, -0.1, -1.0, -0.2, -0.4], ["a", "b", "c"])
     assert got == pytest.approx({"a": math.exp(-0.3), "b": math.exp(-0.3), "c": 0})
-    assert confidence.key_confidences([], [], ["a"]) == {}
-    got = confidence.label_confidences(["joy", ";", " love"], [-0.1, -0.5, -0.3], "joy; love")
+    assert by_key(spark, [], [], ["a"]) == {}
+    got = by_label(spark, ["joy", ";", " love"], [-0.1, -0.5, -0.3], "joy; love")
     assert got == pytest.approx({"joy": math.exp(-0.1), "love": math.exp(-0.4)})
-    got = confidence.label_confidences(["cat", ";", "caterpillar"], [-0.1, -0.2, -0.9], "cat;caterpillar")
+    got = by_label(spark, ["cat", ";", "caterpillar"], [-0.1, -0.2, -0.9], "cat;caterpillar")
     assert got == pytest.approx({"cat": math.exp(-0.1), "caterpillar": math.exp(-0.55)})
-    assert confidence.label_confidences(["q"], [-0.1], "a;b") == pytest.approx({"a": math.exp(-0.1), "b": math.exp(-0.1)})
+    assert by_label(spark, ["q"], [-0.1], "a;b") == pytest.approx({"a": math.exp(-0.1), "b": math.exp(-0.1)})
 
 
 def test_trimming_many_parts(spark):
@@ -156,7 +215,8 @@ def test_auroc_equals_pair_count(spark):
 
 
 def test_entity_marks_and_empty_metrics(spark):
-    assert metrics._token_marks(["New"], ["New", "York"], ["New", "York", "is"]) == (1, 0, 1)
+    lists = [F.array(*map(F.lit, x)) for x in (["New"], ["New", "York"])]
+    assert tuple(one(spark, metrics.entity_marks(F.lit("New York is"), *lists))) == (1, 0, 1)
     long = spark.createDataFrame([], "error string, attribute string, pred string, truth string, conf double")
     assert metrics.scalar_metrics(long).count() == 0 and metrics.auroc(long).count() == 0
 
