@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,6 +28,10 @@ from .common import WordHasher, bytes_of, held_out, pieces, stored
 STATS = ["log_bytes", "log_words", "word_length", "word_spread", "upper", "lower", "digit", "blank", "line_end", "mark", "sign", "bar", "shout", "high", "distinct", "commonest", "repeats", "lines", "line_distinct", "sentence_length", "near_repeats", "word_signs"]
 
 
+#: Sums of one line of the normal equations that reach the driver, at most.
+PARTS = 8
+
+
 def _space_words() -> np.ndarray:
     inside = np.ones(256, bool)
     inside[[32, 9, 10, 11, 12, 13]] = False
@@ -125,7 +130,7 @@ def isotonic(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), s / c) for s, c, k in blocks]) if blocks else np.empty(0)
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, kept_out: int = 0, features: int = 256, ridge: float = 1e-2, bandwidth: float = 6.0, tasks: int = 16, seed: int = 3) -> RidgeModel:
+def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, kept_out: int = 0, features: int = 256, ridge: float = 1e-2, bandwidth: float = 6.0, seed: int = 3) -> RidgeModel:
     """``stats``: doc_id and stats of all documents. Learns from every labelled row of the training folds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, kept_out))
     rows = stored(stats.select(F.col("doc_id").cast("long").alias("doc_id"), "stats").join(known, "doc_id").select("stats", "y"), "quality-train")
@@ -141,10 +146,21 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", modulus: in
         for pdf in batches:
             z = np.column_stack([model.features(np.stack(pdf["stats"].to_numpy())), pdf["y"]]) if len(pdf) else np.empty((0, size))
             total += z.T @ z
-        yield pd.DataFrame({"total": [total.tobytes()]})
+        yield pd.DataFrame({"part": TaskContext.get().partitionId() % PARTS, "line": np.arange(size), "total": [x.tobytes() for x in total]})
 
-    # A bounded number of tasks, each with one matrix: what the driver gets does not grow with the rows.
-    total = sum((np.frombuffer(r.total).reshape(size, size) for r in rows.repartition(tasks).mapInPandas(equations, "total binary").collect()), np.zeros((size, size)))
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            for part, line, total in zip(pdf["part"], pdf["line"], pdf["total"], strict=True):
+                sums[part, line] = sums.get((part, line), 0) + np.frombuffer(total)
+        yield pd.DataFrame({"line": [line for _, line in sums], "total": [x.tobytes() for x in sums.values()]})
+
+    # Every partition sums its own rows, where they are. Lines of these matrices are dealt and summed again, so that neither the
+    # number of tasks is fixed nor the driver gets more than PARTS lines for each line.
+    lines = rows.mapInPandas(equations, "part int, line int, total binary").repartition("part", "line").mapInPandas(added, "line int, total binary")
+    total = np.zeros((size, size))
+    for r in lines.collect():
+        total[r.line] += np.frombuffer(r.total)
     n = total[size - 2, size - 2]
     if n == 0:
         return model
