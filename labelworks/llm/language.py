@@ -5,7 +5,8 @@ Each letter has a random vector of +1 and -1. An n-gram's vector binds (multipli
 over all texts of the training folds. A text gets the language whose prototype has the largest cosine with its vector.
 
 Letters are lower-cased; a run of other characters is one blank letter. Letters beyond a-z share CLASSES vectors by their
-code point. Prototypes are D numbers per language, summed natively over partial sums of batches.
+code point. Prototypes are D numbers per language, summed natively over partial sums of batches and kept as a table; what
+the driver and the tasks hold of them is a block of about MOST_LANGUAGES.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; null langs are not learned from; null doc ids
 are predicted, never learned from and not held out; without any prototype everything is ``und``; ties go to the language
@@ -14,6 +15,7 @@ that sorts first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held_out, pieces, spark_sum_vectors, texts_of
+from .common import held_out, pieces, spark_sum_vectors, stored, texts_of
 
 D, N, CLASSES, SEED = 512, 3, 128, 11
 #: Most n-gram vectors that a worker keeps; beyond that it starts anew.
 MOST_GRAMS = 30_000
+#: Languages whose prototypes are met in one pass; a column with more of them (a dirty one) takes more passes.
+MOST_LANGUAGES = 4096
 
 
 class Encoder:
@@ -108,8 +112,17 @@ def encoder() -> Encoder:
 
 @dataclass
 class Profiles:
-    languages: list[str]
-    prototypes: np.ndarray  # a unit vector for each
+    """A stored table (lang, vector) of one prototype per language, met in ``blocks`` parts by a hash of the name."""
+
+    table: DataFrame
+    blocks: int
+
+    def block(self, number: int) -> tuple[list[str], np.ndarray]:
+        """Names in order, and a unit vector for each."""
+        rows = self.table.where(F.pmod(F.xxhash64("lang"), F.lit(self.blocks)) == number).collect()  # about MOST_LANGUAGES at most
+        rows.sort(key=lambda r: r.lang)
+        vectors = np.array([r.vector for r in rows]).reshape(len(rows), D)
+        return [r.lang for r in rows], vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
 def fit(documents: DataFrame, modulus: int = 5, kept_out: int = 0) -> Profiles:
@@ -135,39 +148,46 @@ def fit(documents: DataFrame, modulus: int = 5, kept_out: int = 0) -> Profiles:
             yield pa.record_batch([list(totals), [v.tolist() for v in totals.values()]], schema=pa.schema([("lang", pa.string()), ("part", pa.list_(pa.float64()))]))
 
     sums = spark_sum_vectors(known.select("text", "lang").mapInArrow(run, "lang string, part array<double>"), ["lang"], "part")
-    rows = sums.collect()  # D numbers per language
-    languages = sorted({r.lang for r in rows})
-    prototypes = np.zeros((len(languages), D))
-    for r in rows:
-        prototypes[languages.index(r.lang), r.pos] = r.total
-    return Profiles(languages, prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "total")))  # D of them
+    table = stored(sums.groupBy("lang").agg(F.transform(ordered, lambda x: x["total"]).alias("vector")), "language-profiles")
+    return Profiles(table, max(1, math.ceil(table.count() / MOST_LANGUAGES)))
 
 
-def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
-    """All columns of ``documents`` with lang_pred and score, the cosine moved to 0..1 (columns of these names are replaced)."""
-    documents = documents.drop("lang_pred", "score")
-    shared = documents.sparkSession.sparkContext.broadcast(profiles)
+def _nearest(documents: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
+    """``documents``, of which the columns lang_pred and score hold the best of earlier blocks, with the best of these too."""
+    shared = documents.sparkSession.sparkContext.broadcast((names, prototypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, own = encoder(), shared.value
+        e, (names, prototypes) = encoder(), shared.value
         for batch in batches:
             for part in pieces(batch, "text"):
-                names, scores = [], []
-                for text in texts_of(part, "text"):
+                best_names, scores = part.column("lang_pred").to_pylist(), part.column("score").to_pylist()
+                for i, text in enumerate(texts_of(part, "text")):
                     codes = e.codes(text) if text else ()
-                    if not len(codes) or not own.languages:
-                        names.append("und")
-                        scores.append(0.0)
+                    if not len(codes) or not names:
                         continue
                     v = e.bundle(codes).astype(float)
-                    cosine = own.prototypes @ v / max(float(np.linalg.norm(v)), 1e-12)
+                    cosine = prototypes @ v / max(float(np.linalg.norm(v)), 1e-12)
                     best = int(cosine.argmax())
-                    names.append(own.languages[best])
-                    scores.append(float(np.clip((cosine[best] + 1) / 2, 0, 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                    name, score = names[best], float(np.clip((cosine[best] + 1) / 2, 0, 1))
+                    if best_names[i] == "und" or (-score, name) < (-scores[i], best_names[i]):
+                        best_names[i], scores[i] = name, score
+                columns = [part.column(c) for c in part.schema.names[:-2]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(best_names, pa.string()), pa.array(scores, pa.float64())], names=part.schema.names)
         e.forget()
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields]))
+    return documents.mapInArrow(run, documents.schema)
+
+
+def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
+    """All columns of ``documents`` with lang_pred and score, the cosine moved to 0..1 (columns of these names are replaced).
+
+    One pass for each block of languages; a pass is stored before the next one.
+    """
+    found = documents.drop("lang_pred", "score").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    for number in range(profiles.blocks):
+        found = _nearest(stored(found, "language-pass") if number else found, *profiles.block(number))
+    return found
 
 
 def op9_query(documents: DataFrame) -> DataFrame:
