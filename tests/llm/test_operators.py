@@ -119,6 +119,7 @@ def test_toxicity_has_one_learner_at_every_size(spark):
     turn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
     known = d.where(~toxicity.held_out("doc_id", 3, 1)).select(turn.alias("turn"), "text", F.col("toxic").alias("y")).toPandas()
     known["x"] = [np.unique(np.concatenate([b for b, _ in toxicity.features([t.encode()])])).astype(np.int32).tobytes() for t in known["text"]]
+    known["times"] = 1.0
     once = toxicity._learn(known, 1, 1.0, 1.0, 4.0, 0.0).sort_values("bucket")
     assert len(known) > 21_000 and once["bucket"].tolist() == [-1, *model.at.tolist()]
     assert np.allclose(once["weight"], [model.intercept, *model.weight], rtol=1e-3, atol=1e-5)
