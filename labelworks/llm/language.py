@@ -133,8 +133,15 @@ def fit(documents: DataFrame, modulus: int = 5, kept_out: int = 0) -> Profiles:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()
         totals: dict[str, np.ndarray] = {}
+
+        def summed() -> pa.RecordBatch:
+            return pa.record_batch([list(totals), [v.tolist() for v in totals.values()]], schema=pa.schema([("lang", pa.string()), ("part", pa.list_(pa.float64()))]))
+
         for batch in batches:
             for part in pieces(batch, "text"):
+                if len(totals) > MOST_LANGUAGES // 4:
+                    yield summed()
+                    totals.clear()
                 held: dict[str, list[np.ndarray]] = {}
                 for text, lang in zip(texts_of(part, "text"), part.column("lang").to_pylist(), strict=True):
                     held.setdefault(lang, []).append(e.codes(text))
@@ -145,7 +152,7 @@ def fit(documents: DataFrame, modulus: int = 5, kept_out: int = 0) -> Profiles:
                         total += n[a : a + 4096].astype(np.float32) @ e.vectors(own[a : a + 4096])
         e.forget()
         if totals:
-            yield pa.record_batch([list(totals), [v.tolist() for v in totals.values()]], schema=pa.schema([("lang", pa.string()), ("part", pa.list_(pa.float64()))]))
+            yield summed()
 
     sums = spark_sum_vectors(known.select("text", "lang").mapInArrow(run, "lang string, part array<double>"), ["lang"], "part")
     ordered = F.sort_array(F.collect_list(F.struct("pos", "total")))  # D of them

@@ -9,8 +9,8 @@ on the shingles themselves.
 
 The join is dealt out by shingles, without losing a pair: in one fixed order of all shingles two linked documents share
 one among the first n - ceil(0.8 n) + 1 (the prefix) of each. The order decides only the cost: shingles go by their hash,
-those of 0.1 % of the documents or more after the others (at most 1,000 times the mean size of a set of them), and those
-that more than MOST_MEMBERS documents have among their first ones at the very end. Each document deals out a quarter more
+those of 0.1 % of the documents or more after the others (a million of them at most: where there are more, the share rises),
+and those that more than MOST_MEMBERS documents have among their first ones at the very end. Each document deals out a quarter more
 than its prefix, so that it can give up shingles of the last kind. Then
 
 1. documents with equal sets count as one, the smallest id;
@@ -53,7 +53,11 @@ FEW_PROBES = 64
 MOST_PAIRS = 256
 #: Ids that a semi-join may broadcast (8 MB of them); more are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
+#: Rows of a shingle's cell beyond which its state is broadcast to them; they stay where they are.
+MOST_CELL_ROWS = 10_000
 COMMON_SHARE = 0.001
+#: Common shingles that the driver and each task hold (8 MB); where there are more, only the most frequent of them count as such.
+MOST_COMMON = 1_000_000
 
 
 def _space_words() -> np.ndarray:
@@ -210,8 +214,11 @@ def _describe(documents: DataFrame, common: np.ndarray) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, n_shingles long, key binary, points binary, fine binary, first array<bigint>, rare int")
 
 
-def common_shingles(documents: DataFrame, step: int = 2_000_000) -> np.ndarray:
-    """Sorted shingles seen in COMMON_SHARE of all documents at least, counting those that are frequent where they were read."""
+def common_shingles(documents: DataFrame, step: int = 2_000_000, most: int = MOST_COMMON) -> np.ndarray:
+    """Sorted shingles seen in COMMON_SHARE of all documents at least, counting those that are frequent where they were read.
+
+    Where they are more than ``most``, those seen twice, four times, .. as often: the first such share that few enough reach.
+    """
     share = COMMON_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +244,17 @@ def common_shingles(documents: DataFrame, step: int = 2_000_000) -> np.ndarray:
 
     total = documents.count()
     seen = documents.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = seen.where(F.col("n") >= max(20, int(total * share))).select("shingle").toPandas()
+    least = max(20, int(total * share))
+    often = stored(seen.where(F.col("n") >= least), "common-shingles")
+    # Shingles by the doubling of the least count that they reach: some dozens of rows. The order decides about costs only.
+    steps = often.groupBy((F.length(F.bin(F.expr(f"n div {least}"))) - 1).alias("step")).count().orderBy(F.desc("step")).collect()
+    held, first = 0, 0
+    for r in steps:
+        held += r["count"]
+        if held > most:
+            first = r["step"] + 1
+            break
+    rows = often.where(F.col("n") >= least * 2**first).select("shingle").toPandas()
     return np.sort(rows["shingle"].to_numpy(np.int64))
 
 
@@ -437,6 +454,16 @@ def _cells(singles: DataFrame) -> DataFrame:
     return rare.select(*names).unionAll(common.select(*names)).where("members > 1")
 
 
+def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``rows`` with the state (token, rows, ...) of their cells; those of large cells are not shuffled to one task."""
+    large = state.where(F.col("rows") > MOST_CELL_ROWS)
+    count = large.count()
+    if not 0 < count <= MOST_BROADCAST_IDS:
+        return rows.join(state, "token")
+    others = rows.join(F.broadcast(large.select("token")), "token", "left_anti").join(state.where(F.col("rows") <= MOST_CELL_ROWS), "token")
+    return rows.join(F.broadcast(large), "token").unionByName(others)
+
+
 def _search_rows(cells: DataFrame, singles: DataFrame, near: DataFrame) -> DataFrame:
     """The rows of ``cells`` that still have to be searched, as ``_tree_pairs`` takes them.
 
@@ -458,10 +485,11 @@ def _search_rows(cells: DataFrame, singles: DataFrame, near: DataFrame) -> DataF
     rows = rows.withColumn("place1", F.when(F.col("place") < prefix(F.col("n")), F.col("place")))
     rows = stored(rows.where("place0 is not null or place1 is not null").select("token", "id", "component", "probe", "several", "place0", "place1"), "prefix-rows")
     # Only cells of different components, and of kind 1 only those with a probe.
-    state = rows.groupBy("token").agg(*[F.expr(f"{how}(if(place{kind} is not null, component, null))").alias(f"{name}{kind}") for kind in (0, 1) for how, name in (("min", "lo"), ("max", "hi"), ("count", "m"))], F.count_if(F.col("probe") & F.col("place1").isNotNull()).alias("asked"))
-    state = state.select("token", F.expr("if(lo0 <> hi0, m0, null)").alias("m0"), F.expr("if(asked > 0 and lo1 <> hi1, m1, null)").alias("m1"), F.col("m0").alias("p0"), F.col("asked").alias("p1")).where("m0 is not null or m1 is not null")
+    state = rows.groupBy("token").agg(*[F.expr(f"{how}(if(place{kind} is not null, component, null))").alias(f"{name}{kind}") for kind in (0, 1) for how, name in (("min", "lo"), ("max", "hi"), ("count", "m"))], F.count_if(F.col("probe") & F.col("place1").isNotNull()).alias("asked"), F.count("*").alias("rows"))
+    state = state.select("token", "rows", F.expr("if(lo0 <> hi0, m0, null)").alias("m0"), F.expr("if(asked > 0 and lo1 <> hi1, m1, null)").alias("m1"), F.col("m0").alias("p0"), F.col("asked").alias("p1")).where("m0 is not null or m1 is not null")
+    state = stored(state, "cell-state")
     kinds = F.array(*[F.when(F.col(f"place{k}").isNotNull() & F.col(f"m{k}").isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(f"place{k}").alias("place"), F.col(f"m{k}").alias("members"), F.col(f"p{k}").alias("probes"))) for k in (0, 1)])
-    rows = rows.join(state, "token").select("token", "id", "component", "probe", "several", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("as"))
+    rows = _with_state(rows, state).select("token", "id", "component", "probe", "several", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("as"))
     rows = rows.select("as.*", "token", "id", "component", "probe", "several").repartition("id")
     in_order = Window.partitionBy("kind", "id").orderBy("place")
     rows = rows.withColumn("before", F.when(~F.col("several"), F.lag("token").over(in_order)))

@@ -301,6 +301,23 @@ def test_deep_pages_do_not_overflow():
     assert html_density.main_text("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
 
 
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_large_cells_meet_their_state_in_place(monkeypatch, spark, most):
+    rows = spark.range(60).select(F.when(F.col("id") < 40, 1).otherwise(F.col("id")).cast("long").alias("token"), "id")
+    state = rows.groupBy("token").agg(F.count("*").alias("rows"), F.max("id").alias("m"))
+    monkeypatch.setattr(ngram_join, "MOST_CELL_ROWS", most)
+    found = ngram_join._with_state(rows, state).select("token", "id", "rows", "m").collect()
+    assert sorted(map(tuple, found)) == [(1, i, 40, 39) for i in range(40)] + [(i, i, 1, i) for i in range(40, 60)]
+
+
+def test_common_shingles_are_bounded(spark):
+    texts = [f"a b c d e{' f' if i < 100 else ''}{' g' if i < 40 else ''} {i}" for i in range(160)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    seen = [ngram_join.common_shingles(documents, most=m).tolist() for m in (10, 2, 1, 0)]
+    # Seen 160, 100 and 40 times: the least count is 20, then 40, 80, 160 and beyond.
+    assert [len(s) for s in seen] == [3, 2, 1, 0] and set(seen[2]) < set(seen[1]) < set(seen[0])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=40), min_size=2, max_size=60))
 def test_count_tree_loses_no_link(token_lists):
