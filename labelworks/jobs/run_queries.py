@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import confidence, parse, templates
 from ..operators import enrich, metrics, run, store, vectors
+from ..sources.scratch import stored
 from .registry import query
 from .stub import LAB, labelled, table
 
@@ -45,7 +46,7 @@ def labelling_run(spark, d):
     seeds = placed.orderBy("row_id").limit(20).select(F.col("row_id").alias("cid"), "v", shot.alias("shot"))
     found = vectors.top_k(placed.select(F.col("row_id").alias("qid"), "v"), seeds, 2)
     chosen = vectors.chosen_examples(found, seeds, ["shot"]).select(F.col("qid").alias("row_id"), F.array_join(F.transform("examples", lambda x: x["shot"]), "\n\n").alias("examples"))
-    cut = rows.drop("at").join(chosen, "row_id", "left").withColumn("parts", templates.trimmed([F.coalesce("examples", F.lit("")), F.coalesce("text", F.lit("nan"))], MOST_TOKENS))
+    cut = rows.drop("at").join(store.shuffled(chosen), "row_id", "left").withColumn("parts", templates.trimmed([F.coalesce("examples", F.lit("")), F.coalesce("text", F.lit("nan"))], MOST_TOKENS))
     output = templates.attribute_description("quality", "1 is good", OPTIONS)
     prompts = cut.withColumn("prompt", templates.prompt("Judge the text.", output, F.concat(F.lit("Text: "), F.col("parts")[1]), F.array(F.col("parts")[0])))
     prompts = prompts.drop("parts", "examples", "text").withColumn("key", store.generation_key("stub", "{}", F.col("prompt")))
@@ -131,11 +132,11 @@ def _sampled(prompts: pd.Series, turn: int, generation: int) -> pd.DataFrame:
 
 def _hooked_run(spark, d):
     """All labelled rows; every fourth is a seed. The store knows the first answer of every fifth row, and another fifth too late."""
-    rows = labelled(spark, d).select("row_id", "text", "source", "quality", "toxic")
+    rows = stored(labelled(spark, d).select("row_id", "text", "source", "quality", "toxic"), "run-rows")
     seeds = rows.where("row_id % 4 = 0")
     prompts = run.prompts_of(rows, seeds, PLAN).withColumn("key", run.key_of(PLAN, 0))
     kept = prompts.where("row_id % 5 < 2").select("key", F.lit('{"quality": "1", "toxic": "0"}').alias("response"), F.when(F.col("row_id") % 5 == 0, 900).otherwise(0).cast("long").alias("created_ms"), F.lit(500).cast("long").alias("ttl_ms"))
-    return rows, run.label(rows, seeds, PLAN, _sampled, kept.dropDuplicates(["key", "created_ms"]), 1000)
+    return rows, run.label(rows, seeds, PLAN, _sampled, stored(kept.dropDuplicates(["key", "created_ms"]), "run-store"), 1000)
 
 
 _HOOKED = f"""WITH {LAB}, ln AS (SELECT row_id, source, quality, toxic, concat('Text: ', replace(coalesce(text, ''), chr(10), ' ')) AS line FROM lab),

@@ -56,7 +56,7 @@ def prompts_of(rows: DataFrame, seeds: DataFrame, plan: Plan) -> DataFrame:
     chosen = _hook(enrich.SELECTORS, "selector", plan.selector)(rows, shots).select("row_id", "examples")
     output = F.lit("\n".join(f"{a}: Options: {','.join(o)}" for a, o in plan.attributes.items()))
     current = templates.render(plan.current, rows.columns)
-    met = rows.withColumn("current", current).join(chosen, "row_id", "left")
+    met = rows.withColumn("current", current).join(stores.shuffled(chosen), "row_id", "left")
     return met.select("row_id", templates.prompt(plan.guidelines, output, F.col("current"), F.col("examples")).alias("prompt"))
 
 
@@ -93,13 +93,14 @@ def voted(said: DataFrame, plan: Plan) -> DataFrame:
     best = stores.majority(votes, "of", "pos", "label", ["conf"]).select("of.*", F.col("label").alias("pred"), "conf", "votes")
     failed = F.when(F.count_if(F.col("error_type").isNull()) == 0, F.min_by("error_type", "pos"))
     rows = said.groupBy("row_id").agg(failed.alias("error")).withColumn("attribute", F.explode(F.array(*map(F.lit, names))))
-    return rows.join(best, ["row_id", "attribute"], "left").select("row_id", "attribute", "pred", F.coalesce("conf", F.lit(0.0)).alias("conf"), F.coalesce("votes", F.lit(0)).cast("long").alias("votes"), "error")
+    return rows.join(stores.shuffled(best), ["row_id", "attribute"], "left").select("row_id", "attribute", "pred", F.coalesce("conf", F.lit(0.0)).alias("conf"), F.coalesce("votes", F.lit(0)).cast("long").alias("votes"), "error")
 
 
 def label(rows: DataFrame, seeds: DataFrame, plan: Plan, fn: Callable[[pd.Series, int, int], pd.DataFrame], store: DataFrame, now_ms: int) -> DataFrame:
-    """The run's rows. Prompts and answers are stored tables: neither is made twice, whatever reads them."""
+    """The run's rows. Prompts and answers are stored tables: neither is made twice, whatever reads them. The answers are met
+    by key and stored without the prompts' texts."""
     prompts = stored(prompts_of(rows, seeds, plan), "run-prompts")
-    return voted(stored(answers(prompts, plan, fn, store, now_ms), "run-answers"), plan)
+    return voted(stored(answers(prompts, plan, fn, store, now_ms).drop("prompt"), "run-answers"), plan)
 
 
 def evaluated(found: DataFrame, truths: DataFrame, plan: Plan) -> DataFrame:
@@ -107,6 +108,6 @@ def evaluated(found: DataFrame, truths: DataFrame, plan: Plan) -> DataFrame:
 
     A user's metric takes the long table (attribute, pred, truth, conf, error) and returns attribute and value.
     """
-    long = stored(found.join(truths, ["row_id", "attribute"], "left"), "run-long")
+    long = stored(found.join(stores.shuffled(truths), ["row_id", "attribute"], "left"), "run-long")
     own = [_hook(enrich.METRICS, "metric", name)(long).select("attribute", F.lit(name).alias("metric"), F.col("value").cast("double").alias("value")) for name in plan.metrics]
     return functools.reduce(DataFrame.unionByName, own, metrics.metric_rows(long))

@@ -36,12 +36,18 @@ def live(store: DataFrame, now_ms: int) -> DataFrame:
     return store.where(F.lit(now_ms) - F.col("created_ms") <= F.col("ttl_ms"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The frame, marked to be met by a sort-merge join. A table with a row for each row or prompt has small files and large rows:
+    by the size of its files Spark would send it through the driver."""
+    return df.hint("merge")
+
+
 def hits(df: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:
-    return df.join(store, key, "inner")
+    return df.join(shuffled(store), key, "inner")
 
 
 def misses(df: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:
-    return df.join(store.select(key), key, "left_anti")
+    return df.join(shuffled(store.select(key)), key, "left_anti")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "key", error: str | None = "error") -> DataFrame:
@@ -110,7 +116,7 @@ def call_in_rounds(prompts: DataFrame, fn: Callable[[pd.Series, int], pd.DataFra
         again = F.coalesce(F.col("error_type").isin(*retried), F.lit(False)) if turn < rounds else F.lit(False)
         kept.append(made.where(~again))
         if turn < rounds:
-            pending = stored(pending.join(made.where(again).select("key"), "key", "left_semi"), f"pending-{turn}")
+            pending = stored(pending.join(shuffled(made.where(again).select("key")), "key", "left_semi"), f"pending-{turn}")
     if not kept:
         return call_model(pending, lambda s: fn(s, 1)).withColumn("rounds", F.lit(0))
     return functools.reduce(DataFrame.unionByName, kept)
@@ -135,7 +141,7 @@ def label_prompts(prompts: DataFrame, store: DataFrame, fn: Callable[[pd.Series]
 
 def answered(prompts: DataFrame, known: DataFrame, made: DataFrame) -> DataFrame:
     cached = F.col("known").isNotNull()
-    joined = prompts.join(known, "key", "left").join(made.select("key", "response", "error", "error_type", "logprobs", "cost"), "key", "left")
+    joined = prompts.join(shuffled(known), "key", "left").join(shuffled(made.select("key", "response", "error", "error_type", "logprobs", "cost")), "key", "left")
     return joined.select(*prompts.columns, F.coalesce("known", "response").alias("response"), "error", "error_type", F.when(cached, F.col("known_logprobs")).otherwise(F.col("logprobs")).alias("logprobs"), F.when(cached, 0.0).otherwise(F.col("cost")).alias("cost"), cached.alias("cached"))
 
 
@@ -159,7 +165,7 @@ def expand_answers(answers: DataFrame, columns: list[str], label: str = "label",
 def embeddings_for(texts: DataFrame, store: DataFrame, embed: Callable[[pd.Series], pd.Series], model: str) -> tuple[DataFrame, DataFrame]:
     """(text, embedding) rows for all texts and the store's new rows; each new text is embedded once."""
     keyed = texts.withColumn("key", md5_of(F.lit(model), F.col("text")))
-    todo = keyed.dropDuplicates(["key"]).join(store.select("key"), "key", "left_anti")
+    todo = misses(keyed.dropDuplicates(["key"]), store)
     made = todo.select("key", "text", F.pandas_udf(lambda s: embed(s), "array<float>")("text").alias("embedding"))
     every = store.select("key", "embedding").unionByName(made.select("key", "embedding"))
-    return keyed.join(every, "key").drop("key"), made.select("key", "embedding")
+    return hits(keyed, every).drop("key"), made.select("key", "embedding")

@@ -53,3 +53,27 @@ def test_run_needs_registered_hooks(spark):
     empty = spark.createDataFrame([], "key string, response string, created_ms long, ttl_ms long")
     found = run.label(df, df, plan, lambda p, turn, g: pd.DataFrame({"text": None, "error": "no", "code": "context"}, index=p.index, dtype=object), empty, 0)
     assert [tuple(r) for r in found.collect()] == [(1, "quality", None, 0.0, 0, "context_length_error")]
+
+
+def test_tables_with_a_row_for_each_prompt_are_not_broadcast(spark):
+    from labelworks.operators import enrich, run
+    from labelworks.sources.scratch import stored
+
+    keyed = spark.range(50).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("key"), F.lit("a prompt").alias("prompt"))
+    prompts = stored(keyed, "prompts")
+    known = stored(keyed.where("row_id % 2 = 0").select("key", F.lit("old").alias("known"), F.lit(None).cast(store.TOKENS).alias("known_logprobs")), "known")
+    none = [F.lit(None).cast("string").alias(c) for c in ("error", "error_type")]
+    made = stored(keyed.where("row_id % 2 = 1").select("key", F.lit("new").alias("response"), *none, F.lit(None).cast(store.TOKENS).alias("logprobs"), F.lit(1.0).alias("cost")), "made")
+    answered = store.answered(prompts, known, made)
+    assert {r.row_id: r.response for r in answered.collect()} == {i: ("new" if i % 2 else "old") for i in range(50)}
+    plan = run.Plan("Judge.", {"quality": ["0", "1"]}, "{key}", "none's")
+    enrich.register_selector("none's", lambda rows, seeds: rows.select("row_id", F.array(F.lit("shot")).alias("examples")))
+    said = stored(answered.withColumn("pos", F.lit(0)), "said")
+    voted = run.voted(said, plan)
+    truths = stored(keyed.select("row_id", F.lit("quality").alias("attribute"), F.lit("1").alias("truth")), "truths")
+    seeds = prompts.limit(1).withColumn("quality", F.lit("1"))
+    for df in (answered, store.misses(prompts, known), store.hits(prompts, known), run.prompts_of(prompts.drop("prompt"), seeds, plan), voted):
+        assert df.count() in (25, 50)
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert run.evaluated(voted, truths, plan).where("attribute = 'quality' and metric = 'support'").first().value == 0
