@@ -100,7 +100,7 @@ def _two_of_a_source(rows, seeds):
     """The first two seeds of the row's source; at most two rows for each source are joined."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy("row_id"))
     first = seeds.withColumn("rank", rank).where("rank <= 2").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "shot"))).alias("r"))
-    return rows.select("row_id", "source").join(first, "source").select("row_id", F.transform("r", lambda x: x["shot"]).alias("examples"))
+    return rows.select("row_id", "source").join(vectors.small(first), "source").select("row_id", F.transform("r", lambda x: x["shot"]).alias("examples"))
 
 
 def _brier(long):

@@ -20,13 +20,21 @@ STEP, TILE = 256, 4_096
 BLOCK_NUMBERS, BLOCK_QUERIES = 4_000_000, 20_000
 
 
-#: Rows of a table of seeds, labels or prices that a join may broadcast; a larger one is joined by a shuffle.
-MOST_BROADCAST_ROWS = 100_000
+#: Rows, and bytes of their text form, of a table of seeds, labels or prices that a join may broadcast; a larger one is joined by a
+#: shuffle.
+MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 100_000, 64_000_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the frame is short enough for a broadcast."""
+    if df.limit(MOST_BROADCAST_ROWS + 1).count() > MOST_BROADCAST_ROWS:
+        return False
+    return (df.agg(F.sum(F.octet_length(F.struct("*").cast("string")))).first()[0] or 0) <= MOST_BROADCAST_BYTES
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The frame, marked for broadcast if it is short enough for that."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else df
+    """The frame, marked for broadcast if it is short enough for that, else for a sort-merge join."""
+    return F.broadcast(df) if is_small(df) else df.hint("merge")
 
 
 def cosine(a: Column, b: Column) -> Column:

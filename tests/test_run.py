@@ -77,3 +77,14 @@ def test_tables_with_a_row_for_each_prompt_are_not_broadcast(spark):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert run.evaluated(voted, truths, plan).where("attribute = 'quality' and metric = 'support'").first().value == 0
+
+
+def test_a_small_table_is_small_in_bytes(spark, monkeypatch):
+    from labelworks.operators import vectors
+
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 50).alias("text"), F.array("id").alias("many"))
+    assert vectors.is_small(df) and vectors.is_small(df.limit(0))
+    monkeypatch.setattr(vectors, "MOST_BROADCAST_BYTES", 4_000)
+    assert not vectors.is_small(df) and vectors.is_small(df.limit(10))
+    met = df.join(vectors.small(df.withColumnRenamed("text", "other")), "id")
+    assert met.count() == 100 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
