@@ -35,9 +35,12 @@ def ranges(df: DataFrame, order: list[Column], parts: int | None = None) -> Colu
     if not bounds:
         return F.lit(0)
     types = [f.dataType for f in keys.schema.fields]
-    known = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types, strict=True))]) for b in bounds])
+    known = F.sort_array(F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types, strict=True))]) for b in bounds]))
     key = F.struct(*[c.cast(t).alias(f"k{i}") for i, (c, t) in enumerate(zip(order, types, strict=True))])
-    return F.size(F.filter(known, lambda b: b <= key))
+    # A binary search: bounds up to the key, found by steps of falling powers of two; beyond the last bound the comparison is null.
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(len(bounds).bit_length()))])
+    search = lambda k: F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(known, n + step - 1) <= k, n + step).otherwise(n))
+    return F.transform(F.array(key), search)[0]
 
 
 def offsets(totals: DataFrame, group: list[str], sums: list[str], part: str = "part") -> DataFrame:

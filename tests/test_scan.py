@@ -37,6 +37,36 @@ def test_dense_ids(spark, parts):
     assert [tuple(r)[:4] for r in sorted(got, key=lambda r: r.n)] == want and sorted(r.n for r in got) == list(range(len(made)))
 
 
+def test_a_range_is_found_without_meeting_every_bound(spark, monkeypatch):
+    import time
+
+    monkeypatch.setattr(scan, "SAMPLE_PER_RANGE", 2)
+    df = spark.range(0, 300_000, 1, 4).select(F.xxhash64("id").alias("a"), "id")
+
+    def seconds(parts):
+        part, took = scan.ranges(df, [F.col("a"), F.col("id")], parts), []
+        for _ in range(3):
+            began = time.time()
+            assert df.agg(F.max(part)).first()[0] <= 2 * parts
+            took.append(time.time() - began)
+        return min(took)
+
+    few, many = seconds(8), seconds(800)
+    assert many < 8 * few + 0.5
+
+
+@pytest.mark.parametrize("parts", [2, 7, 33])
+def test_ranges_follow_the_order_of_any_type(spark, parts):
+    draw = random.Random(parts)
+    made = [(draw.choice([float("nan"), -0.0, 0.0, 1.5, float("-inf"), None]), draw.choice(["", "z", "é", "￿", "😀", "a\x00", None]), i) for i in range(400)]
+    df = spark.createDataFrame(made, "x double, s string, i int").repartition(3)
+    for order in (["x", "s", "i"], ["s", "x", "i"]):
+        got = df.withColumn("part", scan.ranges(df, [F.col(c) for c in order], parts)).orderBy(*order).collect()
+        assert [r.part for r in got] == sorted(r.part for r in got) and {r.part for r in got} > {0}
+        numbered = scan.dense_ids(df, [F.col(c) for c in order], "n", parts).orderBy("n").collect()
+        assert [r.i for r in numbered] == [r.i for r in got]
+
+
 @pytest.mark.parametrize("start, most", [(0, 7), (5, None), (499, None), (500, None), (900, 3), (123, 200), (250, 1), (0, None)])
 def test_slices(spark, start, most):
     made, df = table(spark)
