@@ -7,10 +7,14 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .scan import slice_of_order
+from .vectors import is_small
 
 #: Rows up to which a slice is sorted by tasks that keep its best rows only.
 TOP_ROWS = 10_000
+#: An input that more than this part of all rows share is met by a broadcast; there are fewer of them than its inverse.
+OFTEN = 0.001
 
 
 def slice_rows(df: DataFrame, start: int = 0, most: int | None = None, row_id: str = "row_id") -> DataFrame:
@@ -95,12 +99,20 @@ def paired(found: DataFrame, truths: DataFrame, key: str, names: dict[str, str])
 def beside(df: DataFrame, made: DataFrame, on: list[str]) -> DataFrame:
     """All rows of ``df`` with the columns of ``made``, which has a row for each different input ``on`` (nulls count as equal).
 
-    Columns of ``made`` replace those of the same name; rows without a result have nulls in them.
+    Columns of ``made`` replace those of the same name; rows without a result have nulls in them. A short ``made`` is broadcast; of a
+    longer one the results of inputs that many rows share are, so that no task gets all rows of an input.
     """
     new = [c for c in made.columns if c not in on]
     right = made.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[F.col(c).alias(f"_new_{c}") for c in new])
-    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
-    return df.join(right, same, "left").select(*[c for c in df.columns if c not in new], *[F.col(f"_new_{c}").alias(c) for c in new])
+    every = lambda left, other: functools.reduce(Column.__and__, [F.col(f"{left}{c}").eqNullSafe(F.col(f"{other}{c}")) for c in on])
+    met = lambda rows, results: rows.join(results, every("", "_on_"), "left").select(*[c for c in df.columns if c not in new], *[F.col(f"_new_{c}").alias(c) for c in new])
+    if is_small(right):
+        return met(df, F.broadcast(right))
+    counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
+    often = counts.where(F.col("_rows") > OFTEN * df.count()).select(*[F.col(c).alias(f"_often_{c}") for c in on])
+    often = F.broadcast(stored(often, "often"))
+    shared = met(df.join(often, every("", "_often_"), "left_semi"), F.broadcast(right.join(often, every("_on_", "_often_"), "left_semi")))
+    return shared.unionByName(met(df.join(often, every("", "_often_"), "left_anti"), right.hint("merge")))
 
 
 def appended(first: DataFrame, *others: DataFrame) -> DataFrame:

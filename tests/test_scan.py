@@ -140,3 +140,26 @@ def test_tables_put_together(spark):
     assert [tuple(r) for r in rows.paired(a, truth, "id", {"n": "t"}).collect()] == [(1, "t", None, "X")]
     every = rows.appended(a, spark.createDataFrame([("7", True)], "n string, more boolean"), a.limit(0))
     assert every.columns == ["id", "k", "n", "more"] and {tuple(r) for r in every.collect()} == {(1, "x", None, None), (2, None, "5", None), (None, None, "7", True)}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_no_task_gets_all_rows_of_a_shared_input(spark, monkeypatch, small):
+    from labelworks.operators import vectors
+    from labelworks.sources.scratch import stored
+
+    if not small:
+        monkeypatch.setattr(vectors, "MOST_BROADCAST_ROWS", 5)
+        monkeypatch.setattr(rows, "OFTEN", 0.2)
+    key = F.when(F.col("id") % 2 == 0, "a").when(F.col("id") % 10 < 7, F.lit(None)).otherwise((F.col("id") % 100).cast("string"))
+    df = stored(spark.range(2_000).select("id", key.alias("k"), F.repeat(F.col("id").cast("string"), 20).alias("text")), "beside")
+    made = df.select("k").distinct().where("k is null or k <> '19'").select("k", F.concat(F.lit("<"), F.coalesce("k", F.lit("none")), F.lit(">")).alias("code"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rows.beside(df, made, ["k"])
+        found = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.columns == ["id", "k", "text", "code"] and len(found) == 2_000 and len({r.id for r in found}) == 2_000
+    assert all(r.code == (None if r.k == "19" else f"<{r.k or 'none'}>") for r in found)
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and ("SortMergeJoin" in plan) == (not small)
