@@ -2,8 +2,8 @@
 
 Words are known by 64-bit hashes, and where the frequent ones fit a filter by their places in it. Three passes over the texts count words, word pairs, and phrases of three and four words;
 a batch counts its own phrases by sorting them, and the counts are combined on the map side before they are shuffled. A
-phrase that occurs often enough consists of such phrases, so a pass skips what the pass before has ruled out (where the
-filter fits ``MOST_FILTER`` numbers; else it counts everything and the threshold alone decides: the result is the same).
+phrase that occurs often enough consists of such phrases, so a pass skips what the pass before has ruled out (a filter of more
+than ``MOST_FILTER`` numbers is one of bits and lets some other phrases through; the threshold decides: the result is the same).
 
 The counts that reach the threshold are laid out twice, in prefix order (by first, second, .. word) and in suffix order (by
 last, last but one, ..), ranges of both being dealt to tasks by the first two words of the order. One scan of the first
@@ -37,8 +37,12 @@ TOP = 2000
 RANK_PARTS = 64
 #: Numbers of a filter that all tasks hold (8 bytes each).
 MOST_FILTER = 4_000_000
-#: Words that a join broadcasts; more are joined by merging.
+#: A filter of more numbers than that is 2 ** LOG_BITS bits (32 MB), made in BIT_PARTS parts, a power of two.
+LOG_BITS = 28
+BIT_PARTS = 64
+#: Words, and bytes of them, that a join broadcasts; more are joined by merging.
 MOST_BROADCAST = 300_000
+MOST_BROADCAST_BYTES = 8 << 20
 WORDS = ["w1", "w2", "w3", "w4"]
 COUNTS = ", ".join(["lang string", *(f"{w} long" for w in WORDS), "f long"])
 
@@ -118,6 +122,22 @@ def places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, known[at] == keys
 
 
+def bit_places(keys: np.ndarray) -> np.ndarray:
+    """Where a key's bit is in a filter of bits."""
+    return (keys >> np.uint64(64 - LOG_BITS)).astype(np.int64)
+
+
+def in_bits(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set."""
+    at = bit_places(keys)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def is_exact(known) -> bool:
+    """Whether a broadcast filter holds the keys themselves, so that a key has a place in it."""
+    return known.value.dtype == np.uint64
+
+
 def _arrow_long(x: np.ndarray | None, n: int) -> pa.Array:
     return pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
@@ -140,9 +160,9 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], words, pairs=None) -> DataFrame:
-    """Counts of all phrases of the given sizes whose words and pairs of words are all in the broadcast filters (None: any is).
+    """Counts of all phrases of the given sizes whose words and pairs of words are all in the broadcast filters (pairs None: any is).
 
-    A word's id is its place in the filter of words, or without one its hash.
+    A word's id is its place in the filter of words, or where that is one of bits its hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +172,16 @@ def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], words, pai
             for batch in pieces(whole, "text", STEP_BYTES):
                 h, lang, salt, same = read(batch)
                 good = np.ones(max(0, len(h) - of + 1), bool)
-                if words is not None:
-                    at, found = places(phrase_keys([h], salt), words.value)
+                key = phrase_keys([h], salt)
+                if is_exact(words):
+                    at, found = places(key, words.value)
                     h = at.astype(np.uint64)
-                    good &= np.logical_and.reduce(runs(found, of))
+                else:
+                    found = in_bits(key, words.value)
+                good &= np.logical_and.reduce(runs(found, of))
                 if pairs is not None:
-                    good &= places(phrase_keys(runs(h, 2), runs(salt, 2)[0]), pairs.value)[1]
+                    key = phrase_keys(runs(h, 2), runs(salt, 2)[0])
+                    good &= places(key, pairs.value)[1] if is_exact(pairs) else in_bits(key, pairs.value)
                 for n in sizes:
                     m = len(h) - n + 1
                     if m <= 0:
@@ -173,37 +197,79 @@ def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], words, pai
     return docs.mapInArrow(run, COUNTS).groupBy("lang", *WORDS).agg(F.sum("f").alias("f"))
 
 
+def keys_in(batch: pa.RecordBatch, n: int, read: Reader) -> np.ndarray:
+    """The keys of the first n words of a batch's phrases."""
+    salt = np.array([read.salt(x) for x in batch.column("lang").to_pylist()], np.uint64)
+    return phrase_keys([batch.column(w).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for w in WORDS[:n]], salt)
+
+
 def keyed(df: DataFrame, n: int) -> DataFrame:
     """``df`` with the key of its first n words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(0)
         for b in batches:
-            salt = np.array([read.salt(x) for x in b.column("lang").to_pylist()], np.uint64)
-            words = [b.column(w).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for w in WORDS[:n]]
-            yield b.append_column("key", _arrow_long(phrase_keys(words, salt), b.num_rows))
+            yield b.append_column("key", _arrow_long(keys_in(b, n, read), b.num_rows))
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField("key", LongType())]))
 
 
+def packed(df: DataFrame, n: int) -> DataFrame:
+    """The keys of the first n words, 8 bytes each: one row holds those of a whole batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(0)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([keys_in(b, n, read).tobytes()], pa.binary())], ["keys"])
+
+    return df.mapInArrow(run, "keys binary")
+
+
+def bits_of(frequent: DataFrame, n: int) -> np.ndarray:
+    """A filter of bits for the keys of the first n words; a task sets the bits of whole parts, whatever the number of keys."""
+    size = (1 << LOG_BITS) // BIT_PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = bit_places(b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            part = at // size
+            for k in np.unique(part).tolist():
+                held.setdefault(k, np.zeros(size, bool))[at[part == k] % size] = True
+        for k, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+        give_back()
+
+    dealt = keyed(frequent, n).select("key").repartition(BIT_PARTS, F.shiftrightunsigned("key", 64 - BIT_PARTS.bit_length() + 1))
+    bits = np.zeros((BIT_PARTS, size // 8), np.uint8)
+    for row in dealt.mapInArrow(run, "part long, bits binary").collect():
+        bits[row.part] |= np.frombuffer(row.bits, np.uint8)
+    return bits.ravel()
+
+
 def filter_of(frequent: DataFrame, n: int, most: int):
-    """The keys of a stored table of frequent phrases of n words, sorted and broadcast; None where they are more than ``most``, or
-    where two have one key."""
-    if frequent.count() > most:
-        return None
-    keys = np.sort(keyed(frequent.select("lang", *WORDS[:n]), n).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-    return None if (keys[1:] == keys[:-1]).any() else frequent.sparkSession.sparkContext.broadcast(keys)
+    """The keys of a stored table of frequent phrases of n words, sorted and broadcast; bits for them where they are more than
+    ``most``, or where two have one key. The driver gets keys as bytes: a Python row for each takes some sixty times its 8 bytes."""
+    words = frequent.select("lang", *WORDS[:n])
+    keys = None
+    if frequent.count() <= most:
+        keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(row.keys, np.uint64) for row in packed(words, n).collect())])
+        keys.sort()
+    if keys is None or (keys[1:] == keys[:-1]).any():
+        keys = bits_of(words, n)
+    give_back()
+    return frequent.sparkSession.sparkContext.broadcast(keys)
 
 
 def with_places(known: DataFrame, words) -> DataFrame:
     """Frequent words under the ids that ``phrase_counts`` uses."""
-    if words is None:
-        return known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, _ = places(b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), words.value)
-            yield b.set_column(b.schema.get_field_index("w1"), "w1", _arrow_long(at, b.num_rows))
+            if is_exact(words):
+                at, _ = places(b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), words.value)
+                b = b.set_column(b.schema.get_field_index("w1"), "w1", _arrow_long(at, b.num_rows))
+            yield b
 
     made = keyed(known, 1)
     return made.mapInArrow(run, made.schema).drop("key")
@@ -296,7 +362,7 @@ def phrases(docs: DataFrame, least: int = LEAST, most_filter: int = MOST_FILTER,
     turned = back.select("lang", "out2", "out3", "longer_left", "size", F.expr("CASE size WHEN 4 THEN k4 WHEN 3 THEN k3 ELSE k2 END").alias("k1"), F.expr("CASE size WHEN 4 THEN k3 WHEN 3 THEN k2 ELSE k1 END").alias("k2"), F.expr("CASE size WHEN 4 THEN k2 WHEN 3 THEN k1 ELSE 0 END").alias("k3"), F.expr("CASE size WHEN 4 THEN k1 ELSE 0 END").alias("k4"))
     both = left.hint("merge").join(turned, ["lang", "size", "k1", "k2", "k3", "k4"])
     kept = both.where("100 * greatest(longer_right, longer_left) < 80 * f").select("lang", *WORDS, "f", "in2", "in3", "out2", "out3")
-    few = known.count() <= MOST_BROADCAST
+    few = known.agg((F.count("*") <= MOST_BROADCAST) & (F.coalesce(F.sum(F.octet_length("word")), F.lit(0)) <= MOST_BROADCAST_BYTES)).first()[0]
     for i, w in enumerate(WORDS, 1):
         names = known.select("lang", F.col("w1").alias(w), F.col("word").alias(f"word{i}"), F.col("f").alias(f"f{i}"))
         kept = kept.join(F.broadcast(names) if few else names, ["lang", w], "left")

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from labelworks.llm import collocations, prefix_trie, url_rules
@@ -60,6 +62,44 @@ def test_phrases(spark, most_filter):
     assert found
 
 
+def phrase_table(spark, n):
+    """n different words; of one language."""
+    from pyspark.sql import functions as F
+
+    return spark.range(n).select(F.lit("en").alias("lang"), (F.col("id") * 7919).alias("w1"))
+
+
+def test_filter_reaches_the_driver_as_bytes(spark):
+    n, table = 200_000, phrase_table(spark, 200_000)
+    tracemalloc.start()
+    try:
+        keys = collocations.filter_of(table, 1, n).value
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert keys.dtype == np.uint64 and len(keys) == n and (keys[1:] > keys[:-1]).all()
+    assert most < 60 * n
+
+
+def test_filter_of_more_numbers_still_rules_out(spark):
+    table = phrase_table(spark, 5000)
+    bits = collocations.filter_of(table, 1, 4999).value
+    assert bits.nbytes == 2**collocations.LOG_BITS // 8
+    keys = np.array([r.key for r in collocations.keyed(table, 1).collect()], np.int64).view(np.uint64)
+    assert collocations.in_bits(keys, bits).all()
+    assert collocations.in_bits(np.random.default_rng(1).integers(0, 1 << 64, 100_000, np.uint64), bits).mean() < 0.001
+    twice = collocations.filter_of(table.unionByName(table), 1, 10_000).value
+    assert (twice == bits).all()
+
+
+def test_long_words_are_not_broadcast(spark, monkeypatch):
+    rows = [("en", "a b c, b a. " * 9), ("fr", "a b. " * 6 + "c d")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    monkeypatch.setattr(collocations, "MOST_BROADCAST_BYTES", 2)
+    found = {tuple(r) for r in collocations.phrases(df, least=5).select("lang", "phrase", "a", "l", "r", "n", "score").collect()}
+    assert found == phrases_by_hand(rows, 5) and found
+
+
 def test_phrases_of_nothing(spark):
     none = spark.createDataFrame([], "lang string, text string")
     assert collocations.op11_query(none).collect() == []
